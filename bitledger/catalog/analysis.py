@@ -225,7 +225,7 @@ def _pivot_throughput_by_model(spark, sf):
 
 def _pivot_perplexity(spark, sf):
     table = pivots.pivot_perplexity(_bench(spark, sf), _ppl(spark, sf), _METHOD_SCHEMES)
-    return rounded(table, 4, *_METHOD_SCHEMES)
+    return rounded(table, 8, *_METHOD_SCHEMES)
 
 
 QUERIES["pivot_latency"] = _pivot_latency
@@ -244,7 +244,7 @@ QUERIES["pivot_perplexity"] = _pivot_perplexity
 ORACLE["pivot_perplexity"] = _MERGED + _pivot_sql(
     "model_family",
     "(CASE WHEN scheme = 'unknown' THEN method_label ELSE method_label || ' (' || scheme || ')' END)",
-    "perplexity", _METHOD_SCHEMES, "m", 4,
+    "perplexity", _METHOD_SCHEMES, "m", 8,
 )
 
 

@@ -17,7 +17,7 @@ ORACLE: dict[str, str] = {}
 
 
 def _tests(spark: SparkSession, sf: str) -> DataFrame:
-    return read_engine_bench(bind(spark, sf, "engine_tests"), ("ord",))
+    return read_engine_bench(bind(spark, sf, "engine_tests").withColumnRenamed("ord", "pos"))
 
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,9 +29,9 @@ def _read_engine_bench(spark, sf):
     tests = bind(spark, sf, "engine_tests")
     entry = F.struct("test_name", "n_prompt", "n_gen", "avg_ts", "stddev_ts")
     as_json = tests.select("label", "ord", F.to_json(F.array(entry)).alias("json"))
-    parsed = read_engine_bench(parse_engine_bench(as_json), ("ord", "pos"))
-    return parsed.select(
-        "label", "name", F.col("first_at.ord").alias("first_ord"),
+    parsed = parse_engine_bench(as_json).withColumn("pos", F.col("ord") + F.col("pos"))
+    return read_engine_bench(parsed).select(
+        "label", "name", F.col("first_pos").alias("first_ord"),
         "avg_ts", "stddev_ts", "n_prompt", "n_gen",
     )
 

@@ -24,48 +24,63 @@ def path_basename(path: Column) -> Column:
     return F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
 
 
-_TOKENS = "|".join(sorted(fixed.METHOD_TOKENS, key=len, reverse=True))
+def name_tokens(name: Column) -> Column:
+    """Lower-case parts of a model directory name; runs of ``-`` and ``_`` separate them."""
+    return F.split(F.lower(name), "[-_]+")
 
 
-def _normal_name(name: Column) -> Column:
-    return F.regexp_replace(F.lower(name), "[-_]+", "-")
+def method_position(tokens: Column) -> Column:
+    """Place of the first token that names a method, from 1; null without one."""
+    places = [F.nullif(F.array_position(tokens, F.lit(t)), F.lit(0)) for t in fixed.METHOD_TOKENS]
+    return F.least(*places)
 
 
-def model_method(name: Column) -> Column:
-    """Method code of the first whole name token that names a method, else ``unknown``."""
-    token = F.regexp_extract(_normal_name(name), f"(^|-)({_TOKENS})(-|$)", 2)
+def _method_code(tokens: Column, position: Column) -> Column:
+    """Code of the method at ``position``, else ``unknown``."""
+    token = F.get(tokens, position - F.lit(1))
     aliases = [spelling for spelling, code in fixed.METHOD_TOKENS.items() if spelling != code]
     return (
-        F.when(token == "", F.lit("unknown"))
+        F.when(position.isNull(), F.lit("unknown"))
         .when(token.isin(aliases), F.lit("smooth"))
         .otherwise(token)
     )
 
 
-def model_family(name: Column) -> Column:
-    """Name tokens ahead of the method; a name that starts with its method keeps its raw form."""
-    norm = _normal_name(name)
-    return F.when(norm.rlike(f"^({_TOKENS})(-|$)"), name).otherwise(
-        F.regexp_replace(norm, f"(^|-)({_TOKENS})(-.*|$)", "")
+def _family(name: Column, tokens: Column, position: Column) -> Column:
+    """Tokens ahead of the method; a name that starts with its method keeps its raw form."""
+    n_tokens = F.coalesce(position - F.lit(1), F.size(tokens))
+    family = F.array_join(F.slice(tokens, F.lit(1), n_tokens.cast("int")), "-")
+    return F.when(position == 1, name).otherwise(family)
+
+
+def family_and_method(name: Column) -> Column:
+    """Both parts of a model directory name as a struct, from one pass over its tokens.
+
+    The lambdas name the intermediate values. However often the struct's fields are used,
+    or moved into filters by the planner, a name is split once per use and not once per step.
+    """
+    located = F.transform(
+        F.array(name_tokens(name)), lambda t: F.struct(t.alias("t"), method_position(t).alias("at"))
     )
+    parsed = F.transform(
+        located,
+        lambda p: F.struct(
+            _family(name, p["t"], p["at"]).alias("model_family"),
+            _method_code(p["t"], p["at"]).alias("method"),
+        ),
+    )
+    return F.get(parsed, F.lit(0))
 
 
 def model_scheme(name: Column) -> Column:
-    """``W<n>A<m>`` from the name; ``int4``/``int8`` anywhere are short for W4A16/W8A16."""
-    norm = _normal_name(name)
-    bits = r"w(\d+)a(\d+)"
+    """First ``w<n>a<m>`` as ``W<n>A<m>``; ``int4``/``int8`` anywhere mean W4A16/W8A16."""
+    lower = F.lower(name)
     return (
-        F.when(
-            norm.rlike(bits),
-            F.concat(
-                F.lit("W"), F.regexp_extract(norm, bits, 1),
-                F.lit("A"), F.regexp_extract(norm, bits, 2),
-            ),
-        )
-        .when(norm.contains("int4"), F.lit("W4A16"))
-        .when(norm.contains("int8"), F.lit("W8A16"))
+        F.when(lower.rlike(r"w\d+a\d+"), F.upper(F.regexp_extract(lower, r"w\d+a\d+", 0)))
+        .when(lower.contains("int4"), F.lit("W4A16"))
+        .when(lower.contains("int8"), F.lit("W8A16"))
         .otherwise(F.lit("unknown"))
-    )
+    )
 
 
 def method_label(method: Column) -> Column:

@@ -133,7 +133,5 @@ WHITESPACE = (
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
     "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_RUN = (
-    r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-)
+# The same characters as a pattern: Unicode white space and the four separators U+001C to U+001F.
+WHITESPACE_RUN = r"(?U)[\s\x1C-\x1F]+"

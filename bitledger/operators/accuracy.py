@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitledger.functions import fixed_values as fixed
@@ -40,9 +40,9 @@ def with_expected(df: DataFrame, dim: DataFrame, key: str = "label") -> DataFram
 def latest_result_file(files: DataFrame) -> DataFrame:
     """The newest file of each (label, part); with equal times the name without suffix wins.
 
-    Takes one row per file or many; a minimum over the sort key combines before the shuffle,
-    so a label with most of the rows does not matter. ``file_mtime`` is a timestamp or a
-    number.
+    Takes one row per file or many: rows are reduced to distinct files by hash first, so a
+    label with most of the rows does not matter and only file names are compared.
+    ``file_mtime`` is a timestamp or a number.
     """
     name = F.col("file_name")
     mtime = F.col("file_mtime")
@@ -53,7 +53,9 @@ def latest_result_file(files: DataFrame) -> DataFrame:
     has_suffix = name.rlike(f"_({'|'.join(fixed.PARTS)})_[^/]*$")
     newest = F.min_by(F.struct("file_name", "file_mtime"), F.struct(age, has_suffix, name))
     return (
-        files.groupBy("label", "part")
+        files.select(*FILE_KEYS)
+        .distinct()
+        .groupBy("label", "part")
         .agg(newest.alias("newest"))
         .select("label", "part", "newest.file_name", "newest.file_mtime")
     )
@@ -90,7 +92,7 @@ def pick_task_metric(metrics: DataFrame, candidates: DataFrame | None = None) ->
     """
     candidates = candidates or metric_candidates(metrics.sparkSession)
     rows = metrics.join(F.broadcast(candidates), ["task", "metric_key"])
-    is_value = F.col("role") == "value"
+    value_rank = F.when(F.col("role") == "value", F.col("rank"))
     n_ranks = max(len(keys) for _, keys in fixed.TASK_METRICS)
     errors = [
         F.max(F.when((F.col("role") == "stderr") & (F.col("rank") == r), F.col("value"))).alias(
@@ -99,20 +101,19 @@ def pick_task_metric(metrics: DataFrame, candidates: DataFrame | None = None) ->
         for r in range(n_ranks)
     ]
     picked = rows.groupBy("label", "task").agg(
-        F.min_by(
-            F.struct("value", "metric_key", "rank"), F.when(is_value, F.col("rank"))
-        ).alias("best"),
+        F.min(value_rank).alias("rank"),
+        F.min_by("value", value_rank).alias("value"),
         *errors,
     )
     stderr = reduce(
-        lambda chain, r: chain.when(F.col("best.rank") == r, F.col(f"_stderr_{r}")),
+        lambda chain, r: chain.when(F.col("rank") == r, F.col(f"_stderr_{r}")),
         range(1, n_ranks),
-        F.when(F.col("best.rank") == 0, F.col("_stderr_0")),
+        F.when(F.col("rank") == 0, F.col("_stderr_0")),
+    )
+    keys = candidates.where(F.col("role") == "value").drop("role")
+    return picked.join(F.broadcast(keys), ["task", "rank"]).select(
+        "label", "task", "metric_key", "value", stderr.alias("stderr")
     )
-    return picked.where(F.col("best").isNotNull()).select(
-        "label", "task", F.col("best.metric_key").alias("metric_key"),
-        F.col("best.value").alias("value"), stderr.alias("stderr"),
-    )
 
 
 def with_stderr_rows(metrics: DataFrame) -> DataFrame:
@@ -135,7 +136,11 @@ def delta_vs_baseline(
     baseline is missing.
     """
     base = df.agg(F.max(F.when(F.col(label_col) == baseline, F.col(value_col)))).scalar()
-    return df.withColumn(out_col, round_half_up((F.col(value_col) - base) * 100.0, 2))
+    return df.withColumn(out_col, _points(F.col(value_col), base))
+
+
+def _points(value: Column, base: Column) -> Column:
+    return round_half_up((value - base) * 100.0, 2)
 
 
 def accuracy_table(
@@ -191,7 +196,11 @@ def accuracy_table(
     )
     table = table.withColumn("_status", status)
     table = table.drop(*[f"_{t}" for t in tasks], *[f"_{t}_se" for t in tasks])
-    return delta_vs_baseline(table, "label", baseline, "avg", delta_col)
+    # One row per expected label: a window over them avoids computing the table twice.
+    base = F.max(F.when(F.col("label") == baseline, F.col("avg"))).over(
+        Window.partitionBy(F.lit(0))
+    )
+    return table.withColumn(delta_col, _points(F.col("avg"), base))
 
 
 def accuracy_vs_performance(accuracy: DataFrame, performance: DataFrame) -> DataFrame:

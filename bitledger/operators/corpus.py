@@ -79,6 +79,9 @@ def concat_corpus(tokens: DataFrame) -> DataFrame:
     texts are never joined.
     """
     counts = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
+    # The aggregate puts the counts behind a shuffle: range sampling then reads them there
+    # and does not split the texts a second time.
+    counts = counts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"))
     return running_total(counts, ["doc_id"], "n_tokens", "start_offset")
 
 

@@ -30,15 +30,10 @@ def pick_engine_test(tests: DataFrame, prefix: str) -> DataFrame:
     done, other = ("n_prompt", "n_gen") if prefix == "pp" else ("n_gen", "n_prompt")
     by_name = ~F.col("name_is_number") & F.col("name").startswith(prefix)
     by_shape = (F.col(done) > 0) & (F.col(other) == 0)
-    position = F.when(by_name | by_shape, F.col("first_at"))
-    return (
-        tests.groupBy("label")
-        .agg(F.min_by(F.struct("avg_ts", "stddev_ts"), position).alias("t"))
-        .select(
-            "label",
-            F.coalesce("t.avg_ts", F.lit(0.0)).alias(f"{prefix}_tok_s"),
-            F.coalesce("t.stddev_ts", F.lit(0.0)).alias(f"{prefix}_std"),
-        )
+    position = F.when(by_name | by_shape, F.col("first_pos"))
+    return tests.groupBy("label").agg(
+        F.coalesce(F.min_by("avg_ts", position), F.lit(0.0)).alias(f"{prefix}_tok_s"),
+        F.coalesce(F.min_by("stddev_ts", position), F.lit(0.0)).alias(f"{prefix}_std"),
     )
 
 

@@ -46,6 +46,21 @@ def _scored_perplexity(
     )
 
 
+def _leading_documents(tokens: DataFrame, max_length: int) -> DataFrame:
+    """Documents that are sure to hold the first ``max_length`` tokens.
+
+    Normally the first ``max_length`` ids do, found without reading a text. If too many of
+    those are empty, all documents are searched.
+    """
+    first_ids = tokens.select("doc_id").orderBy("doc_id").limit(max_length)
+    last_id = first_ids.agg(F.max("doc_id")).first()[0]
+    if last_id is None:
+        return tokens
+    head = tokens.where(F.col("doc_id") <= F.lit(last_id))
+    held = head.agg(F.sum(F.size("tokens"))).first()[0]
+    return head if held >= max_length else tokens
+
+
 def _first_window_counts(tokens: DataFrame, max_length: int) -> DataFrame:
     """Token counts of the first window, with and without its first token.
 
@@ -53,7 +68,8 @@ def _first_window_counts(tokens: DataFrame, max_length: int) -> DataFrame:
     ``max_length`` tokens, so everything here is bounded by those two numbers.
     """
     head = (
-        tokens.where(F.size("tokens") > 0)
+        _leading_documents(tokens, max_length)
+        .where(F.size("tokens") > 0)
         .select("doc_id", F.slice("tokens", 1, max_length).alias("tokens"))
         .orderBy("doc_id")
         .limit(max_length)

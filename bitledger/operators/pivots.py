@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitledger.operators.filters import dropna_metric
+from bitledger.operators.filters import dropna_metric, present
 from bitledger.operators.merge import drop_and_derive, merged_sums, with_labels, with_model_dir
 from bitledger.operators.prefix import number_rows, rank_of_values
 
@@ -14,11 +14,6 @@ def _mean(metric: str) -> Column:
     return F.try_divide(F.sum(f"{metric}_sum"), F.sum(f"{metric}_n"))
 
 
-def _keyed(df: DataFrame, *cols: str) -> DataFrame:
-    """Rows whose group keys are present; groups with a missing key are dropped."""
-    return df.dropna(subset=list(cols))
-
-
 def pivot_metric(
     df: DataFrame, metric: str, row: str, col: str, values: list[str] | None = None
 ) -> DataFrame:
@@ -28,7 +23,7 @@ def pivot_metric(
     values up first.
     """
     return (
-        _keyed(dropna_metric(df, [metric]), row, col)
+        present(dropna_metric(df, [metric]), [row, col])
         .groupBy(row)
         .pivot(col, values)
         .agg(F.avg(metric))
@@ -38,9 +33,11 @@ def pivot_metric(
 def _pivot_sums(
     sums: DataFrame, metric: str, row: str, col: str, values: list[str] | None
 ) -> DataFrame:
-    """The same pivot from partial sums and counts."""
-    present = _keyed(sums.where(F.col(f"{metric}_n") > 0), row, col)
-    return present.groupBy(row).pivot(col, values).agg(_mean(metric))
+    """The same pivot from partial sums and counts; keys read from a name are never missing.
+
+    A null test on such keys would be pushed below the first sum and parse every run's name.
+    """
+    return sums.where(F.col(f"{metric}_n") > 0).groupBy(row).pivot(col, values).agg(_mean(metric))
 
 
 def pivot_runs_by_family(
@@ -52,11 +49,11 @@ def pivot_runs_by_family(
     not once per run, and only sums are shuffled.
     """
     by_name = (
-        dropna_metric(bench, [metric])
+        dropna_metric(bench, [metric, "model_name"])
         .groupBy("model_name")
         .agg(F.sum(metric).alias(f"{metric}_sum"), F.count(metric).alias(f"{metric}_n"))
     )
-    named = with_labels(drop_and_derive(with_model_dir(by_name)))
+    named = with_labels(drop_and_derive(with_model_dir(by_name), one_row_per_name=True))
     return _pivot_sums(named, metric, "model_family", "method_label", values)
 
 
@@ -64,15 +61,15 @@ def pivot_perplexity(
     bench: DataFrame, ppl: DataFrame, values: list[str] | None = None
 ) -> DataFrame:
     """Mean perplexity over the joined rows, model family by ``label (scheme)``."""
-    named = with_labels(drop_and_derive(merged_sums(bench, ppl, [], [])))
+    named = with_labels(drop_and_derive(merged_sums(bench, ppl, [], []), one_row_per_name=True))
     return _pivot_sums(named, "perplexity", "model_family", "method_scheme", values)
 
 
 def summary_by_hardware_method(bench: DataFrame, ppl: DataFrame) -> DataFrame:
     """Means of latency, throughput, memory and perplexity per hardware and method."""
     metrics = ["latency_ms", "throughput_tok_per_sec", "peak_memory_mb"]
-    named = drop_and_derive(merged_sums(bench, ppl, ["hardware"], metrics))
-    return _keyed(named, "hardware", "method").groupBy("hardware", "method").agg(
+    named = drop_and_derive(merged_sums(bench, ppl, ["hardware"], metrics), one_row_per_name=True)
+    return present(named, ["hardware"]).groupBy("hardware", "method").agg(
         _mean("latency_ms").alias("latency_ms"),
         _mean("throughput_tok_per_sec").alias("throughput"),
         _mean("peak_memory_mb").alias("memory_mb"),
@@ -87,7 +84,7 @@ def memory_perplexity_points(merged: DataFrame) -> DataFrame:
     over the families.
     """
     points = with_labels(dropna_metric(merged, ["peak_memory_mb", "perplexity"]))
-    ranked = rank_of_values(_keyed(points, "model_family"), "model_family", "family_rank")
+    ranked = rank_of_values(points, "model_family", "family_rank")
     return ranked.select(
         "model_family",
         "method_label",
@@ -101,7 +98,7 @@ def memory_perplexity_points(merged: DataFrame) -> DataFrame:
 
 def memory_perplexity_by_method(merged: DataFrame) -> DataFrame:
     """Points grouped by method only, five markers; incomplete points stay in."""
-    ranked = rank_of_values(_keyed(merged, "method"), "method", "method_rank")
+    ranked = rank_of_values(merged, "method", "method_rank")
     return ranked.select(
         "method",
         "method_rank",
@@ -113,5 +110,5 @@ def memory_perplexity_by_method(merged: DataFrame) -> DataFrame:
 
 def latency_rank_by_hardware(bench: DataFrame) -> DataFrame:
     """Runs of each hardware ranked by latency, fastest first; ties by the other columns."""
-    runs = _keyed(bench, "hardware").select("hardware", "latency_ms", "method", "model_name")
+    runs = present(bench, ["hardware"]).select("hardware", "latency_ms", "method", "model_name")
     return number_rows(runs, ["hardware"], ["latency_ms"], "latency_rank")

@@ -13,11 +13,16 @@ from bitledger.functions import fixed_values as fixed
 
 
 def _best_choice_accuracy(choices: DataFrame, score: Column, name: str) -> DataFrame:
-    """Share of documents whose best-scored choice is gold; the first of equal scores wins."""
-    best = F.max_by("is_gold", F.struct(score, -F.col("choice")))
+    """Share of documents whose best-scored choice is gold; the first of equal scores wins.
+
+    Equal scores of a document are settled first. Both steps hash plain numbers, while one
+    step over (score, choice) pairs would have to sort all choices.
+    """
     return (
-        choices.groupBy("task", "doc_id")
-        .agg(best.alias("hit"))
+        choices.groupBy("task", "doc_id", score.alias("_score"))
+        .agg(F.min_by("is_gold", "choice").alias("is_gold"))
+        .groupBy("task", "doc_id")
+        .agg(F.max_by("is_gold", "_score").alias("hit"))
         .groupBy("task")
         .agg(F.avg(F.col("hit").cast("double")).alias(name), F.count("*").alias("n"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitledger.operators.merge import drop_and_derive, join_bench_ppl, with_model_dir
+from bitledger.operators.merge import drop_and_derive, join_and_derive, with_model_dir
 from bitledger.sources.runs import read_benchmark_csv, read_ppl_json
 
 
@@ -16,11 +16,9 @@ def merge_results(
         raise ValueError("neither benchmark runs nor perplexity results were given")
     if bench is not None and "model_dir" not in bench.columns:
         bench = with_model_dir(bench)
-    if bench is None or ppl is None:
-        merged = ppl if bench is None else bench
-    else:
-        merged = join_bench_ppl(bench, ppl)
-    return drop_and_derive(merged, prefer_recorded_method)
+    if bench is not None and ppl is not None:
+        return join_and_derive(bench, ppl, prefer_recorded_method)
+    return drop_and_derive(ppl if bench is None else bench, prefer_recorded_method)
 
 
 def load_results(

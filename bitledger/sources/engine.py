@@ -21,14 +21,13 @@ def parse_engine_bench(df_json: DataFrame, json_col: str = "json") -> DataFrame:
     return tests.select(*kept, "pos", "t.*")
 
 
-def read_engine_bench(
-    tests: DataFrame, order_cols: tuple[str, ...] = ("pos",)
-) -> DataFrame:
+def read_engine_bench(tests: DataFrame) -> DataFrame:
     """One row per label and test name: the last values under the name, at its first position.
 
     The name is the first non-empty one of ``test_name``, ``test`` and ``n_prompt``, else
-    ``?``. A name taken from ``n_prompt`` is a number and never equals a text name.
-    Both picks are plain aggregates, so they combine before the shuffle.
+    ``?``. A name taken from ``n_prompt`` is a number and never equals a text name. ``pos``
+    numbers the tests of a label. All picks are hash aggregates over numbers, which combine
+    before the shuffle and need no sort.
     """
     columns = set(tests.columns)
     text_names = [
@@ -36,25 +35,21 @@ def read_engine_bench(
     ]
     text_name = F.coalesce(*text_names, F.lit(None).cast("string"))
     number_name = F.nullif(F.col("n_prompt"), F.lit(0))
-    order = F.struct(*order_cols)
-    values = F.struct(
-        F.coalesce("avg_ts", F.lit(0.0)).alias("avg_ts"),
-        F.coalesce("stddev_ts", F.lit(0.0)).alias("stddev_ts"),
-        F.coalesce("n_prompt", F.lit(0)).alias("n_prompt"),
-        F.coalesce("n_gen", F.lit(0)).alias("n_gen"),
-    )
-    picked = (
+    defaults = {"avg_ts": 0.0, "stddev_ts": 0.0, "n_prompt": 0, "n_gen": 0}
+    return (
         tests.select(
             "label",
             F.coalesce(text_name, number_name.cast("string"), F.lit("?")).alias("name"),
             (text_name.isNull() & number_name.isNotNull()).alias("name_is_number"),
-            order.alias("at"),
-            values.alias("v"),
+            "pos",
+            *[F.coalesce(c, F.lit(default)).alias(c) for c, default in defaults.items()],
         )
         .groupBy("label", "name", "name_is_number")
-        .agg(F.min("at").alias("first_at"), F.max_by("v", "at").alias("v"))
+        .agg(
+            F.min("pos").alias("first_pos"),
+            *[F.max_by(c, "pos").alias(c) for c in defaults],
+        )
     )
-    return picked.select("label", "name", "name_is_number", "first_at", "v.*")
 
 
 def read_telemetry(
@@ -62,15 +57,14 @@ def read_telemetry(
 ) -> DataFrame:
     """Telemetry logs as ``(label, seq, line)``; the label is read from the file's path.
 
-    ``seq`` sorts the lines of a file: offset of the block, then row within it. Long logs
-    are therefore read in blocks and never as one value.
+    ``seq`` sorts the lines of a file: offset of the block, then row within it, in one number
+    because numbers aggregate by hash. Long logs are read in blocks and never as one value.
     """
+    block = F.col("_metadata.file_block_start").cast("decimal(16,0)")
+    row = F.monotonically_increasing_id().cast("decimal(20,0)")
     return spark.read.text(path).select(
         F.regexp_extract(F.col("_metadata.file_path"), label_pattern, 1).alias("label"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("seq"),
+        (block * F.lit(10**20).cast("decimal(21,0)") + row).cast("decimal(38,0)").alias("seq"),
         F.col("value").alias("line"),
     )
 

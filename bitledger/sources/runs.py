@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,25 +14,34 @@ from bitledger.functions.columns import missing_if_nan, path_basename
 from bitledger.schemas import BENCHMARK_RUN, PERPLEXITY_RESULT
 
 
-def _file_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """First line of every CSV file.
+def _file_headers(lines: DataFrame) -> DataFrame:
+    """Header line of every CSV file: the first line that names column ``model_name``.
 
-    A block's rows come in file order within one task, so the smallest row id among the
-    rows of the block at offset 0 is the first line. One row per file leaves each task.
+    Only such lines pass the filter, so one row per file is left to aggregate. A block's rows
+    come in file order within one task: the smallest row id is the earliest line.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("row"),
-    )
     return (
-        lines.where(F.col("block_start") == 0)
+        lines.select(
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+        .where(
+            (F.col("block_start") == 0)
+            & F.col("value").contains("model_name")
+            & F.col("value").rlike('(^|,)"?model_name"?(,|$)')
+        )
         .groupBy("file")
         .agg(F.min_by("value", "row").alias("header"))
     )
 
 
+def _local_name(file: str) -> str:
+    """A file's path without scheme and escapes, which listings and metadata write differently."""
+    return unquote(urlsplit(file).path)
+
+
 def _schema_for(header: str) -> T.StructType:
     known = {field.name: field.dataType for field in BENCHMARK_RUN}
     names = next(csv.reader([header]))
@@ -45,13 +55,18 @@ def read_benchmark_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     distinct header, and only the file names (which Spark's planner lists anyway) meet on
     the driver.
     """
+    lines = spark.read.text(path)
     by_header = (
-        _file_headers(spark, path)
+        _file_headers(lines)
         .groupBy("header")
         .agg(F.sort_array(F.collect_list("file")).alias("files"))
         .orderBy("header")
         .collect()
     )
+    named = {_local_name(file) for row in by_header for file in row.files}
+    unnamed = {_local_name(file) for file in lines.inputFiles()} - named
+    if unnamed:
+        raise ValueError(f"no header with model_name in {sorted(unnamed)[:5]}")
     if not by_header:
         return spark.createDataFrame([], BENCHMARK_RUN)
     if len(by_header) == 1:
