@@ -92,7 +92,9 @@ def _unigram_perplexity(tokens: DataFrame, max_length: int) -> DataFrame:
     token outside the first window is scored once. The first window weighs its mean by all
     its tokens although its first token has no loss.
     """
-    counts = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(
+    # An inner explode would add a test for empty lists below it and split every text twice.
+    all_tokens = tokens.select(F.explode_outer("tokens").alias("token"))
+    counts = all_tokens.where(F.col("token").isNotNull()).groupBy("token").agg(
         F.count("*").alias("c")
     )
     # At most max_length words.

@@ -64,7 +64,7 @@ def read_telemetry(
     row = F.monotonically_increasing_id().cast("decimal(20,0)")
     return spark.read.text(path).select(
         F.regexp_extract(F.col("_metadata.file_path"), label_pattern, 1).alias("label"),
-        (block * F.lit(10**20).cast("decimal(21,0)") + row).cast("decimal(38,0)").alias("seq"),
+        (block * F.lit(str(10**20)).cast("decimal(21,0)") + row).cast("decimal(38,0)").alias("seq"),
         F.col("value").alias("line"),
     )
 
