@@ -165,21 +165,22 @@ def window_tokens(
     last = F.least(
         F.floor((start + n - 1) / F.lit(stride)), _window_count(F.col("_total"), stride, max_length) - 1
     )
-    begin, end = F.col("begin"), F.col("end")
-    piece_start = F.greatest(begin, start)
-    piece_len = F.least(end, start + n) - piece_start
+
+    def piece(k: Column) -> Column:
+        window = _window_columns(k, F.col("_total"), stride, max_length)
+        at = F.greatest(window["begin"], start)
+        size = F.least(window["end"], start + n) - at
+        cut = F.slice("tokens", (at - start + 1).cast("int"), size.cast("int"))
+        return F.struct(
+            *[c.alias(name) for name, c in window.items()],
+            F.struct(at.alias("at"), cut.alias("piece")).alias("p"),
+        )
+
+    # Cutting comes before exploding: a long document is not copied once per window.
     pieces = (
         tokens.join(offsets.where(n > 0), "doc_id")
         .withColumn("_total", total)
-        .withColumn("_k", F.explode(_sequence(first, last)))
-        .withColumns(_window_columns(F.col("_k"), F.col("_total"), stride, max_length))
-        .select(
-            "begin", "end", "target_len",
-            F.struct(
-                piece_start.alias("at"),
-                F.slice("tokens", (piece_start - start + 1).cast("int"), piece_len.cast("int")).alias("piece"),
-            ).alias("p"),
-        )
-    )
+        .select(F.inline(F.transform(_sequence(first, last), piece)))
+    )
     joined = F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]))
     return pieces.groupBy("begin", "end", "target_len").agg(joined.alias("tokens"))

@@ -36,5 +36,9 @@ def engine_summary(
     samples = parse_telemetry(read_telemetry(spark, telemetry_log))
     table = engine_performance_table(engine_tests(spark, bench_json), samples)
     if summary_csv:
-        append_summary_csv(table.select(*fixed.ENGINE_SUMMARY_COLUMNS), summary_csv)
+        append_engine_summary(table, summary_csv)
     return table
+
+
+def append_engine_summary(table: DataFrame, summary_csv: str) -> None:
+    append_summary_csv(table.select(*fixed.ENGINE_SUMMARY_COLUMNS), summary_csv)

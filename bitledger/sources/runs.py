@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitledger.functions.columns import missing_if_nan, path_basename
-from bitledger.schemas import BENCHMARK_RUN, PERPLEXITY_RESULT
+from bitledger.schemas import BENCHMARK_RUN, PERPLEXITY_RESULT, RUN_TIMESTAMP_FORMAT
 
 
 def _file_headers(lines: DataFrame) -> DataFrame:
@@ -82,6 +82,13 @@ def read_benchmark_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return merged.withColumns({name: missing_if_nan(F.col(name)) for name in numeric})
 
 
+def with_run_time(runs: DataFrame) -> DataFrame:
+    """Fill a missing or empty ``timestamp`` with the present time; add it parsed as ``run_time``."""
+    now = F.date_format(F.current_timestamp(), RUN_TIMESTAMP_FORMAT)
+    stamped = runs.withColumn("timestamp", F.coalesce(F.nullif("timestamp", F.lit("")), now))
+    return stamped.withColumn("run_time", F.to_timestamp("timestamp", RUN_TIMESTAMP_FORMAT))
+
+
 def read_ppl_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Perplexity files as ``(model_dir, perplexity, ppl_dataset)``, one JSON object per file.
 

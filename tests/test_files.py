@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from bitledger.functions import fixed_values as fixed
 from bitledger.plans.accuracy_tables import METHOD_TABLE_COLUMNS, accuracy_by_method_files
 from bitledger.plans.engine_tables import engine_summary
+from bitledger.plans.evaluation_jobs import pending_evaluations
 from bitledger.plans.results import load_results
 from bitledger.sinks import tables
 from bitledger.sources.corpus import file_inventory, read_corpus
 from bitledger.sources.engine import parse_telemetry, read_telemetry
 from bitledger.sources.evaluations import matches_output, read_eval_results, result_texts, valid_results
-from bitledger.sources.runs import read_benchmark_csv, read_ppl_json
+from bitledger.sources.runs import read_benchmark_csv, read_ppl_json, with_run_time
 
 
 def write(path, text):
@@ -38,6 +39,13 @@ def test_csv_without_model_name_is_an_error(spark, tmp_path):
         read_benchmark_csv(spark, f"{tmp_path}/*.csv")
 
 
+def test_run_time(spark):
+    df = spark.createDataFrame([(1, "2026-05-27 10:00:01"), (2, ""), (3, None)], "k int, timestamp string")
+    rows = {r.k: r for r in with_run_time(df).collect()}
+    assert str(rows[1].run_time) == "2026-05-27 10:00:01"
+    assert rows[2].run_time is not None and len(rows[3].timestamp) == 19
+
+
 def test_ppl_json_takes_name_from_file(spark, tmp_path):
     write(f"{tmp_path}/m-awq__ppl_wikitext2.json", '{\n "perplexity": 8.5,\n "dataset": "wikitext2"\n}')
     write(f"{tmp_path}/other.json", '{"model": "./results/m-rtn/", "perplexity": 9.5}')
@@ -97,6 +105,11 @@ def test_valid_and_corrupt_results(spark, tmp_path):
     assert [r.file_name for r in valid.collect()] == ["x.json"]
     assert "x_1.json" in {r.file_name for r in corrupt.collect()}
     assert os.path.exists(f"{tmp_path}/x_1.json")
+    models = spark.createDataFrame([("fp16",), ("awqW4A16",)], "label string")
+    write(f"{tmp_path}/jobs/q_fp16_gsm8k_1.json", "{}")
+    write(f"{tmp_path}/jobs/q_awqW4A16_gsm8k.json", '{"results": ')
+    left = pending_evaluations(spark, f"{tmp_path}/jobs/*.json", models, "q", ["fp16", "awqW4A16"]).collect()
+    assert len(left) == 5 and ("fp16", "gsm8k") not in {(r.label, r.part) for r in left}
     names = spark.createDataFrame([("x.json",), ("x_1.json",), ("x2.json",), ("x_1.jsonl",)], "n string")
     hits = names.where(matches_output(F.col("n"), F.lit("x.json"))).collect()
     assert [r.n for r in hits] == ["x.json", "x_1.json"]
