@@ -22,7 +22,6 @@ _V = (
     cte("vectors")
     + ", e AS (SELECT layer, row_id, CAST(generate_subscripts(vec, 1) - 1 AS BIGINT) AS pos, CAST(unnest(vec) AS DOUBLE) AS x FROM vectors) "
 )
-_ACT = "act AS (SELECT pos AS channel, MAX(ABS(x)) AS act_scale FROM e GROUP BY pos)"
 _WGT = "wgt AS (SELECT pos AS channel, GREATEST(MAX(ABS(x)), 1.0e-5) AS weight_scale FROM e GROUP BY pos)"
 
 

@@ -29,7 +29,7 @@ def scheme_dimension(spark: SparkSession) -> DataFrame:
 
 def with_method_bits(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Readable method and bit width of a label."""
-    return df.join(F.broadcast(dim.select("label", "method", "bits")), "label", "left")
+    return df.join(dim.select("label", "method", "bits"), "label", "left")
 
 
 def with_expected(df: DataFrame, dim: DataFrame, key: str = "label") -> DataFrame:
@@ -91,7 +91,7 @@ def pick_task_metric(metrics: DataFrame, candidates: DataFrame | None = None) ->
     aggregate over the rows of candidate keys.
     """
     candidates = candidates or metric_candidates(metrics.sparkSession)
-    rows = metrics.join(F.broadcast(candidates), ["task", "metric_key"])
+    rows = metrics.join(candidates, ["task", "metric_key"])
     value_rank = F.when(F.col("role") == "value", F.col("rank"))
     n_ranks = max(len(keys) for _, keys in fixed.TASK_METRICS)
     errors = [
@@ -111,7 +111,7 @@ def pick_task_metric(metrics: DataFrame, candidates: DataFrame | None = None) ->
         F.when(F.col("rank") == 0, F.col("_stderr_0")),
     )
     keys = candidates.where(F.col("role") == "value").drop("role")
-    return picked.join(F.broadcast(keys), ["task", "rank"]).select(
+    return picked.join(keys, ["task", "rank"]).select(
         "label", "task", "metric_key", "value", stderr.alias("stderr")
     )
 

@@ -84,11 +84,11 @@ def number_rows(
 def rank_of_values(df: DataFrame, col: str, out_col: str) -> DataFrame:
     """Position of a row's value among the distinct values in sorted order, from 0.
 
-    Only distinct values (names of models or methods) are ranked; the rows themselves are
-    not moved into one task. The planner broadcasts the ranks if they turn out small and
+    Only distinct values are ranked, in ranges, so no task sees all of them and the rows
+    themselves are not sorted. The planner broadcasts the ranks if they turn out small and
     splits hot values otherwise.
     """
-    position = (F.row_number().over(Window.orderBy(col)) - F.lit(1)).cast("bigint")
-    ranks = df.select(col).where(F.col(col).isNotNull()).distinct()
-    ranks = ranks.withColumn(out_col, position)
+    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    one = values.withColumn("_one", F.lit(1).cast("bigint"))
+    ranks = running_total(one, [col], "_one", out_col).drop("_one")
     return df.join(ranks, col)

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from bitledger.functions import fixed_values as fixed
 from bitledger.operators import accuracy, jobs

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bitledger.functions import fixed_values as fixed
 from bitledger.plans.accuracy_tables import METHOD_TABLE_COLUMNS, accuracy_by_method_files
 from bitledger.plans.engine_tables import engine_summary
-from bitledger.plans.evaluation_jobs import pending_evaluations
+from bitledger.plans.evaluation_jobs import finished_models, pending_evaluations
 from bitledger.plans.results import load_results
 from bitledger.sinks import tables
 from bitledger.sources.corpus import file_inventory, read_corpus
@@ -109,6 +109,7 @@ def test_valid_and_corrupt_results(spark, tmp_path):
     write(f"{tmp_path}/jobs/q_fp16_gsm8k_1.json", "{}")
     write(f"{tmp_path}/jobs/q_awqW4A16_gsm8k.json", '{"results": ')
     left = pending_evaluations(spark, f"{tmp_path}/jobs/*.json", models, "q", ["fp16", "awqW4A16"]).collect()
+    assert finished_models(spark, f"{tmp_path}/jobs/*.json", "q", ["fp16"]).count() == 0
     assert len(left) == 5 and ("fp16", "gsm8k") not in {(r.label, r.part) for r in left}
     names = spark.createDataFrame([("x.json",), ("x_1.json",), ("x2.json",), ("x_1.jsonl",)], "n string")
     hits = names.where(matches_output(F.col("n"), F.lit("x.json"))).collect()

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitledger.operators import scoring, timing
-from bitledger.operators.accuracy import with_expected
 from bitledger.operators.engine import telemetry_summary
 from bitledger.sinks import reports
 from bitledger.sources.engine import parse_telemetry
