@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitledger.functions import fixed_values as fixed
+from bitledger.functions.columns import missing_if_nan, strip
 from bitledger.schemas import EVALUATION_RESULT
 
 
@@ -35,7 +36,7 @@ def metric_rows(files: DataFrame) -> DataFrame:
         *kept,
         "task",
         "metric_key",
-        F.col("raw_value").try_cast("double").alias("value"),
+        missing_if_nan(F.col("raw_value").try_cast("double")).alias("value"),
     )
 
 
@@ -63,8 +64,18 @@ def with_label_and_part(files: DataFrame, prefix: str, labels: list[str]) -> Dat
 
 
 def _parses(text: Column) -> Column:
-    """True for JSON text that can be read to its end."""
-    return F.try_parse_json(text).isNotNull()
+    """True for JSON text that can be read to its end.
+
+    Objects may repeat a key or hold NaN, as result writers produce them; the strict variant
+    parser, which refuses both, only sees other texts.
+    """
+    body = strip(text)
+    options = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
+    record = F.from_json(body, "results STRING, _corrupt STRING", options)
+    whole_object = record.isNotNull() & record["_corrupt"].isNull() & body.endswith("}")
+    return F.when(body.startswith("{"), whole_object).otherwise(
+        F.try_parse_json(body).isNotNull()
+    )
 
 
 def result_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:

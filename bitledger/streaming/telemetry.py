@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bitledger.operators.engine import telemetry_summary
 from bitledger.sources.engine import parse_telemetry
 
 
+def stream_telemetry(
+    spark: SparkSession, path: str, label_pattern: str = r"([^/]+)/[^/]+$"
+) -> DataFrame:
+    """Telemetry lines of log files as they arrive, as ``(label, seq, line)``.
+
+    A logger that rotates its file gives many short files, and each is read when it is
+    complete. ``seq`` sorts by the file's time and then by line.
+    """
+    millis = F.unix_millis("_metadata.file_modification_time").cast("decimal(15,0)")
+    files = spark.readStream.option("wholetext", True).text(path)
+    lines = files.select(
+        F.regexp_extract(F.col("_metadata.file_path"), label_pattern, 1).alias("label"),
+        millis.alias("millis"),
+        F.posexplode(F.split("value", "\r?\n")).alias("i", "line"),
+    )
+    seq = F.col("millis") * F.lit(10**9).cast("decimal(10,0)") + F.col("i").cast("decimal(10,0)")
+    return lines.select("label", seq.alias("seq"), "line")
+
+
 def telemetry_stream_summary(lines: DataFrame) -> DataFrame:
     """The batch summary over a stream of ``(label, seq, line)``.
 

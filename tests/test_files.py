@@ -101,9 +101,14 @@ def test_valid_and_corrupt_results(spark, tmp_path):
     write(f"{tmp_path}/x.json", '{\n "results": {}\n}')
     write(f"{tmp_path}/x_1.json", '{"results": {')
     write(f"{tmp_path}/y.json", "")
+    write(f"{tmp_path}/nan.json", '{"results": {"mmlu": {"acc,none": NaN, "a": 1, "a": 2}}}\n')
+    write(f"{tmp_path}/tail.json", '{"results": {}} x')
+    write(f"{tmp_path}/list.json", "[1, 2]")
     valid, corrupt = valid_results(result_texts(spark, f"{tmp_path}/*.json"))
-    assert [r.file_name for r in valid.collect()] == ["x.json"]
-    assert "x_1.json" in {r.file_name for r in corrupt.collect()}
+    assert sorted(r.file_name for r in valid.collect()) == ["list.json", "nan.json", "x.json"]
+    assert {"x_1.json", "tail.json"} <= {r.file_name for r in corrupt.collect()}
+    read = read_eval_results(spark, f"{tmp_path}/nan.json").where("metric_key = 'acc,none'").collect()
+    assert [r.value for r in read] == [None]
     assert os.path.exists(f"{tmp_path}/x_1.json")
     models = spark.createDataFrame([("fp16",), ("awqW4A16",)], "label string")
     write(f"{tmp_path}/jobs/q_fp16_gsm8k_1.json", "{}")

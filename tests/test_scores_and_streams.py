@@ -1,3 +1,4 @@
+import os
 import time
 
 import pytest
@@ -7,7 +8,7 @@ from bitledger.operators import scoring, timing
 from bitledger.operators.engine import telemetry_summary
 from bitledger.sinks import reports
 from bitledger.sources.engine import parse_telemetry
-from bitledger.streaming.telemetry import telemetry_stream_summary, write_summary
+from bitledger.streaming.telemetry import stream_telemetry, telemetry_stream_summary, write_summary
 
 CHOICES = "task string, doc_id long, choice int, loglik double, choice_len long, is_gold boolean"
 
@@ -95,3 +96,22 @@ def test_stream_equals_batch_over_late_files(spark, tmp_path):
     assert arrive(rows[30:]) == batch(rows[30:])
     time.sleep(0.1)
     assert arrive(rows[:30]) == batch(rows)
+
+
+def test_log_files_as_a_stream(spark, tmp_path):
+    logs = {
+        "Q8_0/part2.log": ("RAM 900/9MB VDD_IN 30mW\nRAM 800/9MB GR3D_FREQ 10%\n", 2000),
+        "Q8_0/part1.log": ("noise\nRAM 500/9MB VDD_IN 10mW\n", 1000),
+        "F16/part1.log": ("GR3D_FREQ 30%\n", 1500),
+    }
+    for name, (text, mtime) in logs.items():
+        path = tmp_path / "logs" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+        os.utime(path, (mtime, mtime))
+    lines = stream_telemetry(spark, f"{tmp_path}/logs/*")
+    out = f"{tmp_path}/summary"
+    write_summary(telemetry_stream_summary(lines), out, f"{tmp_path}/checkpoint").awaitTermination()
+    rows = {r.label: r for r in spark.read.parquet(out).collect()}
+    assert (rows["Q8_0"].avg_power_mw, rows["Q8_0"].peak_ram_mb, rows["Q8_0"].ram_delta_mb) == (20.0, 900, 400)
+    assert (rows["F16"].avg_gpu_util_pct, rows["F16"].n_samples, rows["F16"].peak_ram_mb) == (30.0, 0, 0)
