@@ -5,8 +5,6 @@ Metric rows are ``(label, part, file_name, file_mtime, task, metric_key, value)`
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +82,25 @@ def metric_candidates(spark: SparkSession) -> DataFrame:
     return lookup(spark, ["task", "metric_key", "rank", "role"], rows)
 
 
+_N_RANKS = max(len(keys) for _, keys in fixed.TASK_METRICS)
+_STDERRS = [f"_stderr_{r}" for r in range(_N_RANKS)]
+
+
+def _first_present(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Best rank of a present value key, its value, and the standard error at each rank."""
+    value_rank = F.when(F.col("role") == "value", F.col("rank"))
+    at_rank = [(F.col("role") == "stderr") & (F.col("rank") == r) for r in range(_N_RANKS)]
+    return rows.groupBy(*keys).agg(
+        F.min(value_rank).alias("rank"),
+        F.min_by("value", value_rank).alias("value"),
+        *[F.max(F.when(hit, F.col("value"))).alias(c) for hit, c in zip(at_rank, _STDERRS)],
+    )
+
+
+def _stderr_at_rank() -> Column:
+    return F.coalesce(*[F.when(F.col("rank") == r, F.col(c)) for r, c in enumerate(_STDERRS)])
+
+
 def pick_task_metric(metrics: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Per label and task the first candidate key that is present, and its standard error.
 
@@ -91,28 +108,27 @@ def pick_task_metric(metrics: DataFrame, candidates: DataFrame | None = None) ->
     aggregate over the rows of candidate keys.
     """
     candidates = candidates or metric_candidates(metrics.sparkSession)
-    rows = metrics.join(candidates, ["task", "metric_key"])
-    value_rank = F.when(F.col("role") == "value", F.col("rank"))
-    n_ranks = max(len(keys) for _, keys in fixed.TASK_METRICS)
-    errors = [
-        F.max(F.when((F.col("role") == "stderr") & (F.col("rank") == r), F.col("value"))).alias(
-            f"_stderr_{r}"
-        )
-        for r in range(n_ranks)
-    ]
-    picked = rows.groupBy("label", "task").agg(
-        F.min(value_rank).alias("rank"),
-        F.min_by("value", value_rank).alias("value"),
-        *errors,
-    )
-    stderr = reduce(
-        lambda chain, r: chain.when(F.col("rank") == r, F.col(f"_stderr_{r}")),
-        range(1, n_ranks),
-        F.when(F.col("rank") == 0, F.col("_stderr_0")),
-    )
+    picked = _first_present(metrics.join(candidates, ["task", "metric_key"]), ["label", "task"])
     keys = candidates.where(F.col("role") == "value").drop("role")
     return picked.join(keys, ["task", "rank"]).select(
-        "label", "task", "metric_key", "value", stderr.alias("stderr")
+        "label", "task", "metric_key", "value", _stderr_at_rank().alias("stderr")
+    )
+
+
+def merge_and_pick(metrics: DataFrame) -> DataFrame:
+    """:func:`merge_parts` and :func:`pick_task_metric` in one pass over the rows.
+
+    Metrics are picked within each part, and the last part that has the task at all decides,
+    even if it holds none of the wanted keys.
+    """
+    rows = metrics.withColumn("_order", part_order(F.col("part"))).join(
+        metric_candidates(metrics.sparkSession), ["task", "metric_key"], "left"
+    )
+    per_part = _first_present(rows, ["label", "task", "_order"])
+    last = [F.max_by(c, "_order").alias(c) for c in ["rank", "value", *_STDERRS]]
+    merged = per_part.groupBy("label", "task").agg(*last)
+    return merged.where(F.col("rank").isNotNull()).select(
+        "label", "task", "value", _stderr_at_rank().alias("stderr")
     )
 
 
@@ -160,7 +176,7 @@ def accuracy_table(
     wanted = metrics.where(F.col("label").isin(labels) & F.col("part").isin(fixed.PARTS))
     newest = latest_result_file(wanted)
     rows = wanted.join(F.broadcast(newest), FILE_KEYS)
-    picked = pick_task_metric(merge_parts(rows.where(F.col("task").isNotNull())))
+    picked = merge_and_pick(rows.where(F.col("task").isNotNull()))
     scores = picked.groupBy("label").agg(
         *[F.max(F.when(F.col("task") == t, F.col("value"))).alias(f"_{t}") for t in tasks],
         *[F.max(F.when(F.col("task") == t, F.col("stderr"))).alias(f"_{t}_se") for t in tasks],

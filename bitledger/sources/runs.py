@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
-from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +36,6 @@ def _file_headers(lines: DataFrame) -> DataFrame:
     )
 
 
-def _local_name(file: str) -> str:
-    """A file's path without scheme and escapes, which listings and metadata write differently."""
-    return unquote(urlsplit(file).path)
-
-
 def _schema_for(header: str) -> T.StructType:
     known = {field.name: field.dataType for field in BENCHMARK_RUN}
     names = next(csv.reader([header]))
@@ -52,27 +46,26 @@ def read_benchmark_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All benchmark CSV files of a path or glob as one table, matched by column name.
 
     Files may differ in their columns; those a file lacks are null. One scan is planned per
-    distinct header, and only the file names (which Spark's planner lists anyway) meet on
-    the driver.
+    distinct header. File names reach the driver only where headers differ, and are no more
+    than the listing its planner holds anyway.
     """
     lines = spark.read.text(path)
-    by_header = (
-        _file_headers(lines)
-        .groupBy("header")
-        .agg(F.sort_array(F.collect_list("file")).alias("files"))
-        .orderBy("header")
-        .collect()
-    )
-    named = {_local_name(file) for row in by_header for file in row.files}
-    unnamed = {_local_name(file) for file in lines.inputFiles()} - named
-    if unnamed:
-        raise ValueError(f"no header with model_name in {sorted(unnamed)[:5]}")
-    if not by_header:
+    files = _file_headers(lines).cache()
+    counts = files.groupBy("header").agg(F.count("*").alias("n")).orderBy("header").collect()
+    n_unnamed = len(lines.inputFiles()) - sum(row.n for row in counts)
+    if n_unnamed:
+        raise ValueError(f"{n_unnamed} files have no header with model_name")
+    if not counts:
         return spark.createDataFrame([], BENCHMARK_RUN)
-    if len(by_header) == 1:
-        parts = [(by_header[0].header, path)]
+    if len(counts) == 1:
+        parts = [(counts[0].header, path)]
     else:
-        parts = [(row.header, row.files) for row in by_header]
+        names = [
+            [row.file for row in files.where(F.col("header") == c.header).orderBy("file").collect()]
+            for c in counts
+        ]
+        parts = [(c.header, paths) for c, paths in zip(counts, names)]
+    files.unpersist()
     tables = [
         spark.read.schema(_schema_for(header)).option("header", True).csv(paths)
         for header, paths in parts

@@ -36,6 +36,25 @@ def test_later_part_replaces_whole_task(spark):
     assert [(r.metric_key, r.value) for r in merged] == [("other,none", 0.9)]
 
 
+def test_one_pass_equals_merge_then_pick(spark):
+    rows = [
+        ("l", "likelihood", "f", 1, "mmlu", "acc,none", 0.1),
+        ("l", "ifeval", "g", 1, "mmlu", "other,none", 0.9),
+        ("l", "likelihood", "f", 1, "gsm8k", "exact_match,strict-match", 0.2),
+        ("l", "gsm8k", "h", 1, "gsm8k", "exact_match,flexible-extract", None),
+        ("l", "gsm8k", "h", 1, "gsm8k", "exact_match,strict-match", 0.3),
+        ("m", "ifeval", "g", 1, "ifeval", "inst_level_strict_acc,none", 0.4),
+        ("m", "ifeval", "g", 1, "ifeval", "inst_level_strict_acc_stderr,none", 0.04),
+        ("m", "ifeval", "g", 1, "ifeval", None, None),
+    ]
+    metrics = frame(spark, rows)
+    steps = accuracy.pick_task_metric(accuracy.merge_parts(metrics)).drop("metric_key")
+    assert sorted(accuracy.merge_and_pick(metrics).collect()) == sorted(steps.collect())
+    assert {(r.label, r.task): (r.value, r.stderr) for r in steps.collect()} == {
+        ("l", "gsm8k"): (None, None), ("m", "ifeval"): (0.4, 0.04),
+    }
+
+
 def test_newest_file_and_ties(spark):
     rows = [
         ("l", "gsm8k", "x_l_gsm8k_2.json", 5, None, None, None),
