@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitledger.functions import fixed_values as fixed
 from bitledger.operators import pivots
 from bitledger.operators.merge import with_labels
 from bitledger.plans import accuracy_tables, engine_tables, perplexity_run, results
@@ -30,8 +31,8 @@ def _parser() -> argparse.ArgumentParser:
         output_dir={"required": True},
     )
     for name, prefix in [
-        ("accuracy-by-method", "qwen2.5-0.5b-instruct"),
-        ("accuracy-by-scheme", "tabel4"),
+        ("accuracy-by-method", fixed.METHOD_FILE_PREFIX),
+        ("accuracy-by-scheme", fixed.SCHEME_FILE_PREFIX),
     ]:
         command(
             name, "accuracy table from result files",

@@ -68,6 +68,9 @@ METHOD_ROWS = [
 SCHEME_ROWS = ["F16", "Q8_0", "Q5_K_M", "Q4_K_M", "Q4_0"]
 ACCURACY_MODEL = "Qwen2.5-0.5B-Instruct"
 SCHEME_ENGINE = "llama.cpp"
+# Start of the names of result files, ahead of label and part.
+METHOD_FILE_PREFIX = "qwen2.5-0.5b-instruct"
+SCHEME_FILE_PREFIX = "tabel4"
 
 # --- fixed values: engine workload and telemetry -----------------------------------
 PROMPT_TOKENS = 256

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from bitledger.functions import fixed_values as fixed
 from bitledger.operators.accuracy import accuracy_table, method_dimension, scheme_dimension
@@ -46,13 +45,15 @@ def evaluation_metrics(
 
 
 def accuracy_by_method_files(
-    spark: SparkSession, path: str, prefix: str = "qwen2.5-0.5b-instruct"
+    spark: SparkSession, path: str, prefix: str = fixed.METHOD_FILE_PREFIX
 ) -> DataFrame:
     labels = [row[0] for row in fixed.METHOD_ROWS]
     table = accuracy_by_method(evaluation_metrics(spark, path, prefix, labels))
     return table.orderBy("ord")
 
 
-def accuracy_by_scheme_files(spark: SparkSession, path: str, prefix: str = "tabel4") -> DataFrame:
+def accuracy_by_scheme_files(
+    spark: SparkSession, path: str, prefix: str = fixed.SCHEME_FILE_PREFIX
+) -> DataFrame:
     table = accuracy_by_scheme(evaluation_metrics(spark, path, prefix, fixed.SCHEME_ROWS))
-    return table.orderBy(F.col("ord"))
+    return table.orderBy("ord")
