@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from bitledger.llm.decontaminate import OP8_SQL, op8_decontaminate
+from bitledger.llm.licenses import op10_license_scan
 from bitledger.llm.url_filter import op3_url_filter
 
 QUERIES = {
     "op3_url_filter": op3_url_filter,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_license_scan": op10_license_scan,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_decontaminate": OP8_SQL}
