@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from bitledger.llm.chat import OP4_SQL, op4_chat_format
 from bitledger.llm.decontaminate import OP8_SQL, op8_decontaminate
+from bitledger.llm.language import op9_language_id
 from bitledger.llm.licenses import op10_license_scan
+from bitledger.llm.mixing import op6_mixing
+from bitledger.llm.quality import op2_quality
 from bitledger.llm.url_filter import op3_url_filter
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
+    "op4_chat_format": op4_chat_format,
+    "op6_mixing": op6_mixing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE: dict[str, str] = {"op8_decontaminate": OP8_SQL}
+ORACLE: dict[str, str] = {
+    "op4_chat_format": OP4_SQL,
+    "op8_decontaminate": OP8_SQL,
+}
