@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bitledger.llm.chat import OP4_SQL, op4_chat_format
 from bitledger.llm.decontaminate import OP8_SQL, op8_decontaminate
+from bitledger.llm.jaccard_join import OP1_SQL, op1_ngram_jaccard
 from bitledger.llm.language import op9_language_id
 from bitledger.llm.licenses import op10_license_scan
 from bitledger.llm.mixing import op6_mixing
@@ -11,6 +12,7 @@ from bitledger.llm.quality import op2_quality
 from bitledger.llm.url_filter import op3_url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
     "op4_chat_format": op4_chat_format,
@@ -20,6 +22,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard": OP1_SQL,
     "op4_chat_format": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
 }
