@@ -77,23 +77,30 @@ def set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+def row_key() -> Column:
+    """Identity of a row by its id and text."""
+    return F.xxhash64(F.lit("row"), "doc_id", "text")
+
+
 def set_summary(docs: DataFrame) -> DataFrame:
-    """``(doc_id, sk, n)`` per row: identity and size of its set, null identity if empty."""
+    """``(doc_id, row_key, sk, n)`` per row: identity and size of its set, null identity if empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
             keys, sizes = [], []
-            for text in utf8(batch.column(1)):
+            for text in utf8(batch.column(2)):
                 hashes = shingle_hashes(space_words(text or b""), known)
                 keys.append(set_id(hashes) if len(hashes) else None)
                 sizes.append(len(hashes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "sk", "n"]
+                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())],
+                ["doc_id", "row_key", "sk", "n"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sk bigint, n bigint")
+    keyed = docs.select("doc_id", row_key().alias("row_key"), "text")
+    return keyed.mapInArrow(run, f"doc_id {kind}, row_key bigint, sk bigint, n bigint")
 
 
 # Blobs: a header of four numbers, then columns. Rows of a set stand together.
@@ -478,7 +485,7 @@ def class_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` per row of ``docs``.
+    """``(doc_id, n_shingles, component_id, class_id, row_key)`` per row of ``docs``.
 
     Words are lower-cased (A-Z) runs without ASCII white space; a document's set holds its
     distinct shingles of five words, or its whole sequence if it is shorter. Documents link
@@ -486,7 +493,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reachable by links, itself included. Null, empty and wordless texts have size 0 and are
     linked with nothing. Repeated rows and equal texts are linked; a null ``doc_id`` is never
     the smallest unless there is no other. Only ``doc_id`` and ``text`` are read; an empty
-    table gives an empty result. Shingles are compared by hashes of about 54 bits.
+    table gives an empty result. ``class_id`` names the component (null for empty sets) and
+    ``row_key`` is that of ``row_key()``. Shingles are compared by hashes of about 54 bits.
     """
     sets = set_summary(docs)
     joined = connected_components(class_links(docs, percent))
@@ -498,12 +506,31 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"),
+        F.col("class").alias("class_id"),
+        "row_key",
     )
 
 
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near duplicates, columns unchanged.
+
+    Of each component the row with the smallest ``doc_id`` stays (null ids last; then by row
+    key); rows that repeat its id and text are copies too. Rows with empty sets all stay.
+    """
+    found = jaccard_components(docs, percent)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    heads = found.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.min(order).alias("head"))
+    kept = heads.select(F.col("head.row_key").alias("_kept"))
+    keyed = docs.withColumn("_key", row_key())
+    one = keyed.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"])
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return one.union(keyed.where(empty)).drop("_key")
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    found = jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 OP1_SQL = r"""
