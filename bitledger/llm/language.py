@@ -9,7 +9,6 @@ numbers a language and is broadcast; documents are not moved.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -64,16 +63,37 @@ def script_of(char: str) -> int:
     return _SCRIPT_AT[bisect_right(_STARTS, ord(char)) - 1]
 
 
-def word_parts(word: bytes, buckets: int) -> tuple[int, int, list[int]]:
-    """Number of letters, script of the first letter and n-gram buckets; no letters: (0, 0, [])."""
+def letters_and_script(word: bytes) -> tuple[int, int]:
+    """Number of letters and script of the first letter; without letters (0, 0)."""
+    if word.isascii():
+        return len(word), _SCRIPT_AT[0]
     text = word.decode()
-    letters = len(text) if word.isascii() else sum(map(str.isalpha, text))
-    if not letters:
-        return 0, 0, []
-    first = text[0] if text[0].isalpha() else next(filter(str.isalpha, text))
-    marked = f"^{text}$"
-    grams = [marked[i : i + n] for n in ORDERS for i in range(len(marked) - n + 1)]
-    return letters, script_of(first), [zlib.crc32(g.encode()) % buckets for g in grams]
+    letters = sum(map(str.isalpha, text))
+    return (letters, script_of(next(filter(str.isalpha, text)))) if letters else (0, 0)
+
+
+def gram_buckets(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte n-grams of each marked word, and the position of the word.
+
+    All words are hashed at once; word after word, so positions ascend.
+    """
+    joined = np.frombuffer(b"^" + b"$^".join(words) + b"$", np.uint8).astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(joined))
+    code = np.zeros(len(joined), np.uint64)
+    found, places = [], []
+    for n in ORDERS:
+        ahead = np.zeros(len(joined), np.uint64)
+        ahead[: len(joined) - n + 1] = joined[n - 1 :]
+        code = code * np.uint64(256) + ahead
+        at = np.flatnonzero(left >= n)
+        mixed = (code[at] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        found.append((mixed >> np.uint64(40)) % np.uint64(buckets))
+        places.append(owner[at])
+    place = np.concatenate(places)
+    order = np.argsort(place, kind="stable")
+    return np.concatenate(found).astype(np.int64)[order], place[order]
 
 
 def held_out(remainder: int, modulus: int) -> Column:
@@ -95,11 +115,15 @@ class LanguageModel:
         # A script that no language knows leaves all of them.
         self.allowed = np.where(allowed.any(axis=1, keepdims=True), allowed, True)
 
-    def word(self, word: bytes) -> tuple[int, np.ndarray]:
-        letters, script, buckets = word_parts(word, len(self.logs))
-        if not letters:
-            return 0, np.zeros(len(self.languages), np.float32)
-        return letters, np.where(self.allowed[script], self.logs[buckets].sum(axis=0), np.float32(-1e4))
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of each word and its scores; a word without letters scores 0 everywhere."""
+        parts = np.array([letters_and_script(w) for w in words], np.int64).reshape(-1, 2)
+        letters, scripts = parts[:, 0], parts[:, 1]
+        buckets, place = gram_buckets(words, len(self.logs))
+        heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        scores = np.add.reduceat(self.logs[buckets], heads, axis=0)
+        scores = np.where(self.allowed[scripts], scores, np.float32(-1e4))
+        return letters, np.where(letters[:, None] > 0, scores, np.float32(0))
 
 
 def fit(docs: DataFrame, buckets: int = BUCKETS) -> LanguageModel:
@@ -116,17 +140,13 @@ def fit(docs: DataFrame, buckets: int = BUCKETS) -> LanguageModel:
         def settle() -> None:
             for lang, found in words.items():
                 total = sums.setdefault(lang, np.zeros(buckets + len(SCRIPTS), np.int64))
-                at: list[int] = []
-                times: list[int] = []
-                for word, n in found.items():
-                    letters, script, grams = word_parts(word, buckets)
-                    if letters:
-                        at += grams
-                        times += [n] * len(grams)
-                        total[buckets + script] += n * letters
-                total[:buckets] += np.bincount(
-                    np.array(at, np.int64), np.array(times, np.float64), minlength=buckets
-                ).astype(np.int64)
+                if not found:
+                    continue
+                kinds = np.array([letters_and_script(w) for w in found], np.int64)
+                times = np.array(list(found.values()), np.int64) * (kinds[:, 0] > 0)
+                at, place = gram_buckets(list(found), buckets)
+                total[:buckets] += np.bincount(at, times[place], minlength=buckets).astype(np.int64)
+                np.add.at(total, buckets + kinds[:, 1], times * kinds[:, 0])
             words.clear()
 
         for batch in batches:
@@ -204,30 +224,31 @@ class _Labeller:
 
     def _forget(self) -> None:
         self.ids: dict[bytes, int] = {}
-        self.letters: list[int] = []
-        self.rows: list[np.ndarray] = []
+        self.letters = np.empty(0, np.int64)
+        self.scores = np.empty((0, len(self.model.languages)), np.float32)
 
-    def _known(self, words: list[bytes]) -> list[int]:
+    def _learn(self, texts: list[list[bytes]]) -> None:
+        """Scores the words that no earlier text had, all at once."""
         ids = self.ids
-        for word in words:
-            if word not in ids:
-                ids[word] = len(self.rows)
-                letters, row = self.model.word(word)
-                self.letters.append(letters)
-                self.rows.append(row)
-        return [ids[word] for word in words]
+        new = list({word for words in texts for word in words if word not in ids})
+        if new:
+            letters, scores = self.model.words(new)
+            ids.update(zip(new, range(len(ids), len(ids) + len(new))))
+            self.letters = np.concatenate([self.letters, letters])
+            self.scores = np.concatenate([self.scores, scores])
 
     def __call__(self, texts: list[list[bytes]]) -> list[tuple[str, float, list[dict]]]:
         """Language, share of its letters and spans of each text of words."""
         names = self.model.languages
-        if len(self.rows) > _CACHE:
-            self._forget()
         lengths = np.array([len(words) for words in texts], np.int64)
-        ids = np.array([i for words in texts for i in self._known(words)], np.int64)
-        if not names or not len(ids):
+        if not names or not lengths.sum():
             return [(UNKNOWN, 0.0, [])] * len(texts)
-        labels = viterbi(np.array(self.rows)[ids], lengths)
-        letters = np.array(self.letters)[ids]
+        if len(self.ids) > _CACHE:
+            self._forget()
+        self._learn(texts)
+        ids = np.fromiter((self.ids[w] for words in texts for w in words), np.int64, int(lengths.sum()))
+        labels = viterbi(self.scores[ids], lengths)
+        letters = self.letters[ids]
         text_of = np.repeat(np.arange(len(texts)), lengths)
         shares = np.bincount(
             text_of * len(names) + labels, letters, minlength=len(texts) * len(names)
