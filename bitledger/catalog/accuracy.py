@@ -226,14 +226,17 @@ ORACLE["completed_groups"] = (
 
 
 def _status_counts(spark, sf):
-    statuses = jobs.job_statuses(_labels(spark).select("label"), bind(spark, sf, "eval_files"))
+    # The fp16 model is not there, yet an old part of it is; rtnW8A16 is there and all its parts failed.
+    models = _labels(spark).select("label", (F.col("label") != "fp16").alias("model_present"))
+    found = bind(spark, sf, "eval_files").where("label <> 'fp16' OR part <> 'gsm8k'")
+    statuses = jobs.job_statuses(models, found)
     return jobs.status_counts(statuses)
 
 
 QUERIES["status_counts"] = _status_counts
 ORACLE["status_counts"] = (
     cte("eval_files")
-    + f", {_JOBS} SELECT status, COUNT(*) AS n FROM (SELECT CASE WHEN (label, part) IN (SELECT (label, part) FROM eval_files) THEN 'ok' WHEN label IN (SELECT label FROM eval_files) THEN 'failed' ELSE 'skipped' END AS status FROM jobs) GROUP BY status"
+    + f", {_JOBS} SELECT status, COUNT(*) AS n FROM (SELECT CASE WHEN (label, part) IN (SELECT (label, part) FROM eval_files WHERE label <> 'fp16' OR part <> 'gsm8k') THEN 'ok' WHEN label <> 'fp16' THEN 'failed' ELSE 'skipped' END AS status FROM jobs) GROUP BY status"
 )
 QUERIES["parse_job_spec"] = lambda spark, sf: jobs.parse_job_spec(bind(spark, sf, "job_specs")).drop("spec")
 ORACLE["parse_job_spec"] = (

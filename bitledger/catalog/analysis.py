@@ -17,8 +17,8 @@ ORACLE: dict[str, str] = {}
 
 _METHOD_SCHEMES = [
     label + scheme
-    for label in ["AWQ", "FP16", "GPTQ", "RTN", "SmoothQuant", "bnb"]
-    for scheme in ["", " (W4A16)", " (W8A16)"]
+    for label in fixed.PARSED_METHOD_LABELS
+    for scheme in ["", " (W3A16)", " (W4A16)", " (W8A16)", " (W8A8)"]
 ]
 
 
@@ -112,6 +112,10 @@ ORACLE["method_scheme_label"] = (
 )
 
 
+# Negative, very large and infinite numbers.
+_EXTREME = "CASE WHEN latency_ms > 60000 THEN CAST('Infinity' AS DOUBLE) WHEN latency_ms > 40000 THEN latency_ms * 1.0e13 ELSE -latency_ms / 7.0e0 END"
+
+
 def _round_metrics(spark, sf):
     runs = bind(spark, sf, "bench_runs")
     return runs.select(
@@ -120,6 +124,7 @@ def _round_metrics(spark, sf):
         round_half_up(F.col("throughput_tok_per_sec"), 2).alias("throughput_2"),
         round_half_up(F.col("peak_memory_mb"), 0).alias("memory_0"),
         round_half_up(F.col("throughput_tok_per_sec"), 4).alias("throughput_4"),
+        round_half_up(F.expr(_EXTREME), 2).alias("extreme_2"),
     )
 
 
@@ -127,7 +132,7 @@ QUERIES["round_metrics"] = _round_metrics
 ORACLE["round_metrics"] = (
     _BENCH
     + f"SELECT model_name, {r('latency_ms / 7.0e0', 1)} AS latency_1, {r('throughput_tok_per_sec', 2)} AS throughput_2, "
-    + f"{r('peak_memory_mb', 0)} AS memory_0, {r('throughput_tok_per_sec', 4)} AS throughput_4 FROM bench_runs"
+    + f"{r('peak_memory_mb', 0)} AS memory_0, {r('throughput_tok_per_sec', 4)} AS throughput_4, {r(_EXTREME, 2)} AS extreme_2 FROM bench_runs"
 )
 
 
@@ -184,15 +189,15 @@ ORACLE["join_bench_ppl"] = _MERGED + "SELECT model_dir, hardware, latency_ms, pe
 
 # --- aggregates and pivots ---------------------------------------------------------
 def _summary(spark, sf):
-    summary = pivots.summary_by_hardware_method(_bench(spark, sf), _ppl(spark, sf))
+    summary = pivots.summary_by_hardware_method(bind(spark, sf, "bench_runs"))
     return rounded(summary, 2, "latency_ms", "throughput", "memory_mb", "perplexity")
 
 
 QUERIES["summary_by_hardware_method"] = _summary
 ORACLE["summary_by_hardware_method"] = (
-    _MERGED
+    _BENCH
     + f"SELECT hardware, method, {r('AVG(latency_ms)', 2)} AS latency_ms, {r('AVG(throughput_tok_per_sec)', 2)} AS throughput, "
-    + f"{r('AVG(peak_memory_mb)', 2)} AS memory_mb, {r('AVG(perplexity)', 2)} AS perplexity FROM m WHERE hardware IS NOT NULL GROUP BY hardware, method"
+    + f"{r('AVG(peak_memory_mb)', 2)} AS memory_mb, {r('AVG(perplexity)', 2)} AS perplexity FROM bench_runs GROUP BY hardware, method"
 )
 
 
@@ -203,16 +208,19 @@ def _pivot_sql(row: str, col: str, metric: str, values: list[str], source: str,
     return f"SELECT {row}, {cells} FROM {source} WHERE {metric} IS NOT NULL GROUP BY {row}"
 
 
+def _merged_pivot(spark: SparkSession, sf: str, metric: str, digits: int) -> DataFrame:
+    table = pivots.pivot_merged(
+        _bench(spark, sf), _ppl(spark, sf), metric, "method_label", fixed.PARSED_METHOD_LABELS
+    )
+    return rounded(table, digits, *fixed.PARSED_METHOD_LABELS)
+
+
 def _pivot_latency(spark, sf):
-    table = pivots.pivot_runs_by_family(_bench(spark, sf), "latency_ms", fixed.PARSED_METHOD_LABELS)
-    return rounded(table, 4, *fixed.PARSED_METHOD_LABELS)
+    return _merged_pivot(spark, sf, "latency_ms", 4)
 
 
 def _pivot_throughput(spark, sf):
-    table = pivots.pivot_runs_by_family(
-        _bench(spark, sf), "throughput_tok_per_sec", fixed.PARSED_METHOD_LABELS
-    )
-    return rounded(table, 6, *fixed.PARSED_METHOD_LABELS)
+    return _merged_pivot(spark, sf, "throughput_tok_per_sec", 6)
 
 
 def _pivot_throughput_by_model(spark, sf):
@@ -229,12 +237,12 @@ def _pivot_perplexity(spark, sf):
 
 
 QUERIES["pivot_latency"] = _pivot_latency
-ORACLE["pivot_latency"] = _NAMED + _pivot_sql(
-    "model_family", "method_label", "latency_ms", fixed.PARSED_METHOD_LABELS, "n", 4
+ORACLE["pivot_latency"] = _MERGED + _pivot_sql(
+    "model_family", "method_label", "latency_ms", fixed.PARSED_METHOD_LABELS, "m", 4
 )
 QUERIES["pivot_throughput"] = _pivot_throughput
-ORACLE["pivot_throughput"] = _NAMED + _pivot_sql(
-    "model_family", "method_label", "throughput_tok_per_sec", fixed.PARSED_METHOD_LABELS, "n", 6
+ORACLE["pivot_throughput"] = _MERGED + _pivot_sql(
+    "model_family", "method_label", "throughput_tok_per_sec", fixed.PARSED_METHOD_LABELS, "m", 6
 )
 QUERIES["pivot_throughput_by_model"] = _pivot_throughput_by_model
 ORACLE["pivot_throughput_by_model"] = _BENCH + _pivot_sql(
@@ -248,6 +256,30 @@ ORACLE["pivot_perplexity"] = _MERGED + _pivot_sql(
 )
 
 
+# The complete results in long form, whatever methods and schemes there are.
+_SCHEME_LABEL = "(CASE WHEN scheme = 'unknown' THEN method_label ELSE method_label || ' (' || scheme || ')' END)"
+
+
+def _mean_perplexity(spark, sf):
+    means = pivots.merged_mean_by(_bench(spark, sf), _ppl(spark, sf), "perplexity", "method_scheme")
+    return rounded(means, 8, "mean")
+
+
+def _mean_throughput_by_model(spark, sf):
+    means = pivots.mean_by(bind(spark, sf, "bench_runs"), "throughput_tok_per_sec", "model_name", "method")
+    return rounded(means, 6, "mean")
+
+
+QUERIES["mean_perplexity"] = _mean_perplexity
+ORACLE["mean_perplexity"] = (
+    _MERGED + f"SELECT model_family, {_SCHEME_LABEL} AS method_scheme, {r('AVG(perplexity)', 8)} AS mean FROM m WHERE perplexity IS NOT NULL GROUP BY ALL"
+)
+QUERIES["mean_throughput_by_model"] = _mean_throughput_by_model
+ORACLE["mean_throughput_by_model"] = (
+    _BENCH + f"SELECT model_name, method, {r('AVG(throughput_tok_per_sec)', 6)} AS mean FROM bench_runs WHERE throughput_tok_per_sec IS NOT NULL GROUP BY ALL"
+)
+
+
 def _points(spark, sf):
     return pivots.memory_perplexity_points(_merged(spark, sf))
 
@@ -261,13 +293,13 @@ ORACLE["memory_perplexity_points"] = (
 
 
 def _points_by_method(spark, sf):
-    return pivots.memory_perplexity_by_method(_merged(spark, sf))
+    return pivots.memory_perplexity_by_method(bind(spark, sf, "bench_runs"))
 
 
 QUERIES["memory_perplexity_by_method"] = _points_by_method
 ORACLE["memory_perplexity_by_method"] = (
-    _MERGED
-    + ", k AS (SELECT *, DENSE_RANK() OVER (ORDER BY method) - 1 AS method_rank FROM m) "
+    _BENCH
+    + ", k AS (SELECT *, DENSE_RANK() OVER (ORDER BY method) - 1 AS method_rank FROM bench_runs) "
     + "SELECT method, method_rank, method_rank % 5 AS marker, peak_memory_mb, perplexity FROM k"
 )
 

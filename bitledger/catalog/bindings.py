@@ -14,26 +14,26 @@ BINDINGS: dict[str, tuple[str, str]] = {
     "bench_runs": (
         "lineitem",
         f"""SELECT {_MODEL.format(a="l_suppkey % 4")}
-        || '_' || CASE l_partkey % 6 WHEN 0 THEN 'fp16' WHEN 1 THEN 'awq' WHEN 2 THEN 'gptq' WHEN 3 THEN 'rtn' WHEN 4 THEN 'smooth' ELSE 'bnb' END
-        || CASE l_linenumber % 3 WHEN 0 THEN '_w4a16' WHEN 1 THEN '-int8' ELSE '' END AS model_name,
+        || '_' || CASE l_partkey % 6 WHEN 0 THEN 'fp16' WHEN 1 THEN 'awq' WHEN 2 THEN 'gptq' WHEN 3 THEN 'rtn' WHEN 4 THEN 'smooth' ELSE CASE WHEN l_partkey % 4 = 1 THEN 'base' ELSE 'bnb' END END
+        || CASE l_linenumber % 5 WHEN 0 THEN '_w4a16' WHEN 1 THEN '-int8' WHEN 2 THEN '_w8a8' WHEN 3 THEN '_w3a16' ELSE '' END AS model_name,
         CASE l_partkey % 6 WHEN 0 THEN 'fp16' WHEN 1 THEN 'awq' WHEN 2 THEN 'gptq' WHEN 3 THEN 'rtn' WHEN 4 THEN 'smooth' ELSE 'bnb4' END AS method,
         CASE l_returnflag WHEN 'A' THEN 'Jetson' WHEN 'N' THEN 'RTX 3090' ELSE 'CPU' END AS hardware,
         256 AS input_length, 64 AS output_length, 1 AS batch_size,
         l_extendedprice AS latency_ms,
         CASE WHEN l_extendedprice > 0 THEN 64.0e0 / (l_extendedprice / 1000.0e0) END AS throughput_tok_per_sec,
         CASE WHEN l_linestatus = 'F' THEN l_quantity * 100.0e0 END AS peak_memory_mb,
-        CAST(NULL AS DOUBLE) AS perplexity,
+        CASE WHEN l_linenumber % 4 <> 0 THEN 5.0e0 + l_quantity / 10.0e0 END AS perplexity,
         substr(CAST(l_shipdate AS STRING), 1, 19) AS run_ts
         FROM {{lineitem}}""",
     ),
-    # One result per model and dataset, from all parts. 'ppl-only-7b' has no run, 'bnb' no result.
+    # One to three results per model, one a dataset, from all parts. 'ppl-only-7b' has no run, 'bnb' no result.
     "ppl_results": (
         "part",
         f"""SELECT model, dataset, 8.0e0 + CAST(SUM(p_size) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) / 10.0e0 AS perplexity FROM (
         SELECT {_MODEL.format(a="p_partkey % 5")}
-        || '_' || CASE CAST(FLOOR(p_partkey / 5) AS BIGINT) % 5 WHEN 0 THEN 'fp16' WHEN 1 THEN 'awq' WHEN 2 THEN 'gptq' WHEN 3 THEN 'rtn' ELSE 'smooth' END
-        || CASE CAST(FLOOR(p_partkey / 25) AS BIGINT) % 3 WHEN 0 THEN '_w4a16' WHEN 1 THEN '-int8' ELSE '' END AS model,
-        CASE WHEN p_size % 2 = 0 THEN 'wikitext2' ELSE 'ptb' END AS dataset, p_size
+        || '_' || CASE CAST(FLOOR(p_partkey / 5) AS BIGINT) % 5 WHEN 0 THEN 'fp16' WHEN 1 THEN 'awq' WHEN 2 THEN 'gptq' WHEN 3 THEN 'rtn' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'base' ELSE 'smooth' END END
+        || CASE CAST(FLOOR(p_partkey / 25) AS BIGINT) % 5 WHEN 0 THEN '_w4a16' WHEN 1 THEN '-int8' WHEN 2 THEN '_w8a8' WHEN 3 THEN '_w3a16' ELSE '' END AS model,
+        CASE WHEN p_partkey % 5 = 0 THEN 'wikitext2' WHEN p_size % 2 = 0 THEN 'wikitext2' WHEN p_partkey % 5 = 2 AND p_size % 3 = 0 THEN 'c4' ELSE 'ptb' END AS dataset, p_size
         FROM {{part}}) t GROUP BY model, dataset""",
     ),
     # Metric rows of result files. 'rtnW8A16' has no file, 'smoothW8A8' none for ifeval.

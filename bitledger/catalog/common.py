@@ -20,7 +20,8 @@ def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
 def r(expr: str, digits: int) -> str:
     """The same rounding in SQL."""
     scale = f"{10**digits}.0e0"
-    return f"FLOOR(({expr}) * {scale} + 0.5e0) / {scale}"
+    large = repr(2.0**52 / 10**digits)
+    return f"CASE WHEN ABS({expr}) >= {large}::DOUBLE THEN ({expr}) ELSE FLOOR(({expr}) * {scale} + 0.5e0) / {scale} END"
 
 
 def name_parts(name: str) -> dict[str, str]:

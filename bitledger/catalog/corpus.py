@@ -60,10 +60,10 @@ ORACLE["head_filter_head"] = (
 QUERIES["filter_head"] = lambda spark, sf: _with_length(corpus.filter_head(_documents(spark, sf)))
 ORACLE["filter_head"] = _CORPUS + f"SELECT {_DIGEST} FROM s WHERE length(body) > 50 ORDER BY doc_id LIMIT 128"
 QUERIES["seeded_sample"] = lambda spark, sf: _with_length(
-    corpus.seeded_sample(_documents(spark, sf), n=100)
+    corpus.seeded_sample(_documents(spark, sf), strict=False)
 )
 ORACLE["seeded_sample"] = (
-    _CORPUS + f"SELECT {_DIGEST} FROM s WHERE body <> '' ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100"
+    _CORPUS + f"SELECT {_DIGEST} FROM s WHERE body <> '' ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 512"
 )
 
 

@@ -10,7 +10,7 @@ from bitledger.catalog.common import Query, r, rounded
 from bitledger.operators import engine, timing
 from bitledger.session import scratch_path
 from bitledger.sources.engine import parse_engine_bench, parse_telemetry, read_engine_bench
-from bitledger.streaming.telemetry import telemetry_stream_summary, write_summary
+from bitledger.streaming.telemetry import read_summary, telemetry_stream_summary, write_summary
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -115,17 +115,14 @@ ORACLE["engine_performance_table"] = _RATES + PERFORMANCE_SQL
 def _stream(spark, sf):
     """The events table as a stream of telemetry lines, summarised until it is read to its end."""
     source, select = "events", "telemetry"
-    events = (
-        spark.readStream.schema(table(spark, sf, source).schema)
-        .option("pathGlobFilter", f"{source}.parquet")
-        .parquet(sf)
-    )
+    # The glob matches the table as one file and as a folder of parts.
+    events = spark.readStream.schema(table(spark, sf, source).schema).parquet(f"{sf}/{source}.parquet*")
     from bitledger.catalog.bindings import BINDINGS
 
     lines = spark.sql(BINDINGS[select][1], **{source: events})
     out = scratch_path(spark, "stream-summary")
     write_summary(telemetry_stream_summary(lines), out, f"{out}-checkpoint").awaitTermination()
-    return rounded(spark.read.parquet(out), 6, "avg_power_mw", "avg_gpu_util_pct")
+    return rounded(read_summary(spark, out), 6, "avg_power_mw", "avg_gpu_util_pct")
 
 
 QUERIES["telemetry_stream_summary"] = _stream

@@ -124,8 +124,21 @@ ORACLE["load_counts"] = (
     cte("bench_runs", "ppl_results")
     + "SELECT 'benchmark' AS source, COUNT(*) AS n_rows, COUNT(DISTINCT model_name) AS n_files FROM bench_runs UNION ALL SELECT 'perplexity', COUNT(*), COUNT(DISTINCT model) FROM ppl_results"
 )
-# A listing of the tables' files; their sizes are not visible to SQL over the tables.
-QUERIES["file_inventory"] = lambda spark, sf: corpus.file_inventory(spark, sf, "*.parquet")
+
+
+def _file_inventory(spark, sf):
+    """Files of the texts written by language: each takes its bytes and one line end a text."""
+    path = scratch_path(spark, "texts")
+    texts = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL")
+    texts.select("lang", "text").write.partitionBy("lang").text(path)
+    files = corpus.file_inventory(spark, path, "part-*")
+    return files.groupBy("lang").agg((F.sum("size_mb") * 1048576.0).cast("bigint").alias("n_bytes"))
+
+
+QUERIES["file_inventory"] = _file_inventory
+ORACLE["file_inventory"] = (
+    "SELECT lang, CAST(SUM(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents WHERE text IS NOT NULL GROUP BY lang"
+)
 
 
 # --- sinks -------------------------------------------------------------------------
@@ -208,8 +221,8 @@ ORACLE["format_report"] = (
 
 
 def _format_report_runs(spark, sf):
-    """Runs that report memory; every other one has a perplexity."""
-    with_ppl = _runs(spark, sf).where("peak_memory_mb IS NOT NULL").withColumn(
+    """All runs; about half report memory, and half have a perplexity."""
+    with_ppl = _runs(spark, sf).withColumn(
         "perplexity", F.expr("CASE WHEN latency_ms > 50000 THEN latency_ms / 10000 ELSE 0 END")
     )
     return reports.run_lines(with_ppl, ["timestamp"])
@@ -218,8 +231,8 @@ def _format_report_runs(spark, sf):
 QUERIES["format_report_runs"] = _format_report_runs
 ORACLE["format_report_runs"] = (
     _RUNS
-    + f"SELECT timestamp, {_pad('method', 12, 'rpad')} || ' ' || {_pad(_num('latency_ms', 1), 14, 'rpad')} || ' ' || {_pad(_num('throughput_tok_per_sec', 1), 14, 'rpad')} || ' ' || {_pad(_num('peak_memory_mb', 1), 12, 'rpad')} || ' ' || "
-    + f"CASE WHEN latency_ms > 50000 THEN {_num('(latency_ms / 10000)', 2)} ELSE 'N/A' END AS line FROM runs WHERE peak_memory_mb IS NOT NULL"
+    + f"SELECT timestamp, {_pad('method', 12, 'rpad')} || ' ' || {_pad(_num('latency_ms', 1), 14, 'rpad')} || ' ' || {_pad(_num('throughput_tok_per_sec', 1), 14, 'rpad')} || ' ' || COALESCE({_pad(_num('peak_memory_mb', 1), 12, 'rpad')}, '-           ') || ' ' || "
+    + f"CASE WHEN latency_ms > 50000 THEN {_num('(latency_ms / 10000)', 2)} ELSE 'N/A' END AS line FROM runs"
 )
 QUERIES["format_report_engine"] = lambda spark, sf: reports.engine_lines(
     engine_queries.performance(spark, sf)

@@ -9,6 +9,7 @@ from bitledger.catalog.bindings import bind, cte
 from bitledger.catalog.common import Query, r, rounded
 from bitledger.functions import fixed_values as fixed
 from bitledger.operators import quantize, smoothing
+from bitledger.operators.prefix import number_rows
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -38,27 +39,32 @@ ORACLE["weight_scales"] = _V + f", {_WGT} SELECT channel, weight_scale AS scale
 
 
 def _factors(spark: SparkSession, sf: str) -> DataFrame:
-    """Activations of layer fc0 against the weights of both layers."""
+    """Each layer is a group: even rows are its activation samples, odd rows its weights."""
     vectors = _vectors(spark, sf)
-    act = smoothing.activation_scales(vectors.where(F.col("layer") == "fc0"))
-    return smoothing.smoothing_factors(act, smoothing.weight_scales(vectors))
+    act = smoothing.activation_scales(vectors.where(F.col("row_id") % 2 == 0))
+    weight = smoothing.weight_scales(vectors.where(F.col("row_id") % 2 == 1), keys=("layer",))
+    return smoothing.smoothing_factors(act, weight, keys=("layer",))
 
 
 _F = (
     _V
-    + ", act AS (SELECT pos AS channel, MAX(ABS(x)) AS act_scale FROM e WHERE layer = 'fc0' GROUP BY pos), "
-    + f"{_WGT}, f AS (SELECT channel, GREATEST(pow(act_scale, 0.5e0) / pow(weight_scale, 0.5e0), 1.0e-5) AS factor FROM act JOIN wgt USING (channel)) "
+    + ", act AS (SELECT layer, pos AS channel, MAX(ABS(x)) AS act_scale FROM e WHERE row_id % 2 = 0 GROUP BY layer, pos), "
+    + "wgt AS (SELECT layer, pos AS channel, GREATEST(MAX(ABS(x)), 1.0e-5) AS weight_scale FROM e WHERE row_id % 2 = 1 GROUP BY layer, pos), "
+    + "f AS (SELECT layer, channel, GREATEST(pow(act_scale, 0.5e0) / pow(weight_scale, 0.5e0), 1.0e-5) AS factor FROM act JOIN wgt USING (layer, channel)), "
+    + "u AS (SELECT * FROM f WHERE layer = 'fc0' OR channel % 7 <> 3) "
 )
 QUERIES["smoothing_factors"] = lambda spark, sf: rounded(_channels(_factors(spark, sf)), 6, "factor")
-ORACLE["smoothing_factors"] = _F + f"SELECT channel, {r('factor', 6)} AS factor FROM f"
+ORACLE["smoothing_factors"] = _F + f"SELECT layer, channel, {r('factor', 6)} AS factor FROM f"
 
 
 def _smoothed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Norm and weights of both layers; some channels of one have no factor."""
     vectors = _vectors(spark, sf)
-    norm = smoothing.activation_scales(vectors.where(F.col("layer") == "fc1")).select(
-        "channel", F.col("scale").alias("weight"), (F.col("scale") / 2.0).alias("bias")
+    norm = smoothing.activation_scales(vectors).select(
+        "layer", "channel", F.col("scale").alias("weight"), (F.col("scale") / 2.0).alias("bias")
     )
-    return smoothing.apply_smoothing(vectors, norm, _factors(spark, sf))
+    factors = _factors(spark, sf).where((F.col("layer") == "fc0") | (F.col("channel") % 7 != 3))
+    return smoothing.apply_smoothing(vectors, norm, factors, keys=("layer",))
 
 
 def _smoothed_weights(spark, sf):
@@ -68,12 +74,14 @@ def _smoothed_weights(spark, sf):
 
 
 QUERIES["apply_smoothing"] = _smoothed_weights
-ORACLE["apply_smoothing"] = _F + f"SELECT layer, row_id, pos, {r('x * factor', 6)} AS w FROM e JOIN f ON e.pos = f.channel"
+ORACLE["apply_smoothing"] = (
+    _F + f"SELECT layer, row_id, pos, {r('x * COALESCE(factor, 1.0e0)', 6)} AS w FROM e LEFT JOIN (SELECT layer, channel AS pos, factor FROM u) USING (layer, pos)"
+)
 QUERIES["apply_smoothing_norm"] = lambda spark, sf: rounded(
     _channels(_smoothed(spark, sf)[1]), 6, "weight", "bias"
 )
 ORACLE["apply_smoothing_norm"] = (
-    _F + f", n AS (SELECT pos AS channel, MAX(ABS(x)) AS s FROM e WHERE layer = 'fc1' GROUP BY pos) SELECT channel, {r('s / factor', 6)} AS weight, {r('s / 2.0e0 / factor', 6)} AS bias FROM n JOIN f USING (channel)"
+    _F + f", n AS (SELECT layer, pos AS channel, MAX(ABS(x)) AS s FROM e GROUP BY layer, pos) SELECT layer, channel, {r('s / COALESCE(factor, 1.0e0)', 6)} AS weight, {r('s / 2.0e0 / COALESCE(factor, 1.0e0)', 6)} AS bias FROM n LEFT JOIN u USING (layer, channel)"
 )
 
 
@@ -127,7 +135,14 @@ ORACLE["quantize_nf4"] = _V + _NF4 + "SELECT row_id, pos, CAST(c AS INTEGER) AS
 
 
 def _double_quantized(spark, sf):
-    scales = quantize.double_quantize_scales(_vectors(spark, sf), block_size=16)
+    # Scale blocks of 256 are cut by row number, so rows are numbered within their layer.
+    numbered = number_rows(_vectors(spark, sf).select("layer", "row_id"), ["layer"], ["row_id"], "_n")
+    vectors = (
+        _vectors(spark, sf)
+        .join(numbered, ["layer", "row_id"])
+        .select("layer", (F.col("_n") - 1).alias("row_id"), "vec")
+    )
+    scales = quantize.double_quantize_scales(vectors, block_size=16)
     kept = scales.select(
         "layer", "row_id", F.col("block").cast("bigint").alias("block"), "q", "dequantized"
     )
@@ -137,7 +152,7 @@ def _double_quantized(spark, sf):
 QUERIES["quantize_nf4_scales"] = _double_quantized
 ORACLE["quantize_nf4_scales"] = (
     _V
-    + ", b AS (SELECT layer, row_id, CAST(FLOOR(pos / 16) AS BIGINT) AS block, MAX(ABS(x)) AS top FROM e GROUP BY ALL), "
+    + ", b AS (SELECT layer, DENSE_RANK() OVER (PARTITION BY layer ORDER BY row_id) - 1 AS row_id, block, top FROM (SELECT layer, row_id, CAST(FLOOR(pos / 16) AS BIGINT) AS block, MAX(ABS(x)) AS top FROM e GROUP BY ALL)), "
     + "c AS (SELECT b.*, top - mean AS d, mean, FLOOR((row_id * 4 + block) / 256) AS sb FROM b JOIN (SELECT layer, AVG(top) AS mean FROM b GROUP BY layer) USING (layer)), "
     + "s AS (SELECT *, MAX(ABS(d)) OVER (PARTITION BY layer, sb) / 127.0e0 AS scale FROM c), "
     + "q AS (SELECT *, CASE WHEN scale > 0 THEN round_even(d / scale, 0) ELSE 0.0e0 END AS q FROM s) "

@@ -9,9 +9,15 @@ from bitledger.functions import fixed_values as fixed
 
 
 def round_half_up(value: Column, digits: int) -> Column:
-    """Round at ``digits`` decimals with the one rule used everywhere: floor(x*10^n + 0.5)."""
+    """Round at ``digits`` decimals with the one rule used everywhere: floor(x*10^n + 0.5).
+
+    NaN, infinities and numbers too large to have such decimals pass unchanged.
+    """
     scale = float(10**digits)
-    return F.floor(value * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    value = value.cast("double")
+    rounded = F.floor(value * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    # NaN counts as larger than any number.
+    return F.when(F.abs(value) >= F.lit(2.0**52 / scale), value).otherwise(rounded)
 
 
 def missing_if_nan(value: Column) -> Column:

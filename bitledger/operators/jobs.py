@@ -44,21 +44,21 @@ def completed_groups(
 
 
 def job_statuses(
-    models: DataFrame, valid: DataFrame, parts: list[str] = fixed.PARTS, key: str = "label"
+    models: DataFrame,
+    valid: DataFrame,
+    parts: list[str] = fixed.PARTS,
+    key: str = "label",
+    present: str = "model_present",
 ) -> DataFrame:
-    """Status of each model part: ``ok`` with a result, ``skipped`` for a model without any
-    result at all (nothing was there to run), else ``failed``."""
+    """Status of each model part: ``ok`` with a result, ``skipped`` where the model itself is
+    not there (column ``present`` of ``models`` is not true), else ``failed``."""
     results = valid.select(key, "part").distinct().withColumn("_has", F.lit(True))
-    started = valid.select(key).distinct().withColumn("_any", F.lit(True))
+    there = F.coalesce(F.col(present), F.lit(False))
     return (
         pending_jobs(models, valid, parts, force=True, key=key)
         .join(results, [key, "part"], "left")
-        .join(started, key, "left")
-        .withColumn(
-            "status",
-            F.when(F.col("_has"), "ok").when(F.col("_any"), "failed").otherwise("skipped"),
-        )
-        .drop("_has", "_any")
+        .withColumn("status", F.when(F.col("_has"), "ok").when(there, "failed").otherwise("skipped"))
+        .drop("_has")
     )
 
 

@@ -28,8 +28,10 @@ def corpus_perplexity(
     """
     if scorer is not None:
         return _scored_perplexity(tokens, scorer, stride, max_length)
-    if not 0 < stride < max_length:
-        raise ValueError("the unigram model needs a stride below max_length")
+    if not 0 < stride <= max_length:
+        raise ValueError("stride must be positive and at most max_length")
+    if stride == max_length:
+        return _disjoint_perplexity(tokens, max_length)
     return _unigram_perplexity(tokens, max_length)
 
 
@@ -46,21 +48,6 @@ def _scored_perplexity(
     )
 
 
-def _leading_documents(tokens: DataFrame, max_length: int) -> DataFrame:
-    """Documents that are sure to hold the first ``max_length`` tokens.
-
-    Normally the first ``max_length`` ids do, found without reading a text. If too many of
-    those are empty, all documents are searched.
-    """
-    first_ids = tokens.select("doc_id").orderBy("doc_id").limit(max_length)
-    last_id = first_ids.agg(F.max("doc_id")).first()[0]
-    if last_id is None:
-        return tokens
-    head = tokens.where(F.col("doc_id") <= F.lit(last_id))
-    held = head.agg(F.sum(F.size("tokens"))).first()[0]
-    return head if held >= max_length else tokens
-
-
 def _first_window_counts(tokens: DataFrame, max_length: int) -> DataFrame:
     """Token counts of the first window, with and without its first token.
 
@@ -68,8 +55,7 @@ def _first_window_counts(tokens: DataFrame, max_length: int) -> DataFrame:
     ``max_length`` tokens, so everything here is bounded by those two numbers.
     """
     head = (
-        _leading_documents(tokens, max_length)
-        .where(F.size("tokens") > 0)
+        tokens.where(F.size("tokens") > 0)
         .select("doc_id", F.slice("tokens", 1, max_length).alias("tokens"))
         .orderBy("doc_id")
         .limit(max_length)
@@ -116,3 +102,27 @@ def _unigram_perplexity(tokens: DataFrame, max_length: int) -> DataFrame:
     return sums.select(
         round_half_up(F.exp(loss), 4).alias("perplexity"), F.col("n").alias("n_tokens")
     )
+
+
+def _disjoint_perplexity(tokens: DataFrame, max_length: int) -> DataFrame:
+    """Unigram perplexity over windows that do not overlap.
+
+    The first token of every window has no loss, and the mean of the others weighs as much as
+    all of them. A last window of one token has no loss at all and no weight.
+    """
+    all_tokens = tokens.select(F.explode_outer("tokens").alias("token"))
+    counts = all_tokens.where(F.col("token").isNotNull()).groupBy("token").agg(F.count("*").alias("c"))
+    log_total = counts.agg(F.log((F.sum("c") + F.count("*")).cast("double"))).scalar()
+    scored = window_tokens(tokens, max_length, max_length).select(
+        "begin", "target_len", F.explode(F.slice("tokens", 2, max_length)).alias("token")
+    )
+    words = scored.groupBy("begin", "target_len", "token").agg(F.count("*").alias("n"))
+    means = (
+        words.join(counts, "token")
+        .groupBy("begin", "target_len")
+        .agg((F.sum(F.col("n") * F.log(F.col("c") + 1.0)) / F.sum("n")).alias("mean_log"))
+    )
+    n_tokens = tokens.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("bigint")).scalar()
+    loss = (F.col("_total") - F.col("mean_log")) * F.col("target_len")
+    total = means.withColumn("_total", log_total).agg((F.sum(loss) / F.sum("target_len")).alias("_loss"))
+    return total.select(round_half_up(F.exp("_loss"), 4).alias("perplexity"), n_tokens.alias("n_tokens"))

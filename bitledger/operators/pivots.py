@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitledger.operators.filters import dropna_metric, present
-from bitledger.operators.merge import drop_and_derive, merged_sums, with_labels, with_model_dir
+from bitledger.operators.merge import drop_and_derive, merged_sums, with_labels
 from bitledger.operators.prefix import number_rows, rank_of_values
 
 
@@ -14,66 +14,67 @@ def _mean(metric: str) -> Column:
     return F.try_divide(F.sum(f"{metric}_sum"), F.sum(f"{metric}_n"))
 
 
+def _listed(col: str, values: list[str] | None) -> Column:
+    """True for listed values; any other value fails the query instead of vanishing from it."""
+    if values is None:
+        return F.lit(True)
+    shown = F.concat(F.lit(f"{col} has a value that is not listed: "), F.col(col).cast("string"))
+    return F.when(F.col(col).isin(values), F.lit(True)).otherwise(F.raise_error(shown).cast("boolean"))
+
+
 def pivot_metric(
     df: DataFrame, metric: str, row: str, col: str, values: list[str] | None = None
 ) -> DataFrame:
     """Mean of ``metric`` with one line per ``row`` value and one column per ``col`` value.
 
-    With ``values`` the plan is one pass and the schema is fixed; without, Spark looks the
-    values up first.
+    With ``values`` the plan is one pass and the schema is fixed, and a value outside the list
+    is an error; without, Spark looks the values up first. ``mean_by`` is the long form.
     """
-    return (
-        present(dropna_metric(df, [metric]), [row, col])
-        .groupBy(row)
-        .pivot(col, values)
-        .agg(F.avg(metric))
-    )
+    means = mean_by(df, metric, row, col).where(_listed(col, values))
+    return means.groupBy(row).pivot(col, values).agg(F.first("mean"))
 
 
-def _pivot_sums(
-    sums: DataFrame, metric: str, row: str, col: str, values: list[str] | None
-) -> DataFrame:
-    """The same pivot from partial sums and counts; keys read from a name are never missing.
+def mean_by(df: DataFrame, metric: str, row: str, col: str) -> DataFrame:
+    """Mean of ``metric`` as ``(row, col, mean)``, whatever values there are."""
+    kept = present(dropna_metric(df, [metric]), [row, col])
+    return kept.groupBy(row, col).agg(F.avg(metric).alias("mean"))
 
-    A null test on such keys would be pushed below the first sum and parse every run's name.
+
+def merged_mean_by(bench: DataFrame, ppl: DataFrame, metric: str, col: str) -> DataFrame:
+    """Mean of a metric over the merged rows as ``(model_family, col, mean)``.
+
+    A run counts once per result of its directory and a result once per run of it, but their
+    product is never built: the mean comes from sums per directory. Keys read from a name are
+    never missing.
     """
-    return sums.where(F.col(f"{metric}_n") > 0).groupBy(row).pivot(col, values).agg(_mean(metric))
+    metrics = [] if metric == "perplexity" else [metric]
+    named = with_labels(drop_and_derive(merged_sums(bench, ppl, [], metrics), one_row_per_name=True))
+    found = named.groupBy("model_family", col).agg(_mean(metric).alias("mean"))
+    return found.where(F.col("mean").isNotNull())
 
 
-def pivot_runs_by_family(
-    bench: DataFrame, metric: str, values: list[str] | None = None
+def pivot_merged(
+    bench: DataFrame, ppl: DataFrame, metric: str, col: str, values: list[str] | None = None
 ) -> DataFrame:
-    """Mean of a run metric, model family by method label.
-
-    Runs are added up per recorded model name first, so names are parsed once per name and
-    not once per run, and only sums are shuffled.
-    """
-    by_name = (
-        dropna_metric(bench, [metric, "model_name"])
-        .groupBy("model_name")
-        .agg(F.sum(metric).alias(f"{metric}_sum"), F.count(metric).alias(f"{metric}_n"))
-    )
-    named = with_labels(drop_and_derive(with_model_dir(by_name), one_row_per_name=True))
-    return _pivot_sums(named, metric, "model_family", "method_label", values)
+    """:func:`merged_mean_by` with one line per family and one column per value."""
+    means = merged_mean_by(bench, ppl, metric, col).where(_listed(col, values))
+    return means.groupBy("model_family").pivot(col, values).agg(F.first("mean"))
 
 
 def pivot_perplexity(
     bench: DataFrame, ppl: DataFrame, values: list[str] | None = None
 ) -> DataFrame:
-    """Mean perplexity over the joined rows, model family by ``label (scheme)``."""
-    named = with_labels(drop_and_derive(merged_sums(bench, ppl, [], []), one_row_per_name=True))
-    return _pivot_sums(named, "perplexity", "model_family", "method_scheme", values)
-
-
-def summary_by_hardware_method(bench: DataFrame, ppl: DataFrame) -> DataFrame:
-    """Means of latency, throughput, memory and perplexity per hardware and method."""
-    metrics = ["latency_ms", "throughput_tok_per_sec", "peak_memory_mb"]
-    named = drop_and_derive(merged_sums(bench, ppl, ["hardware"], metrics), one_row_per_name=True)
-    return present(named, ["hardware"]).groupBy("hardware", "method").agg(
-        _mean("latency_ms").alias("latency_ms"),
-        _mean("throughput_tok_per_sec").alias("throughput"),
-        _mean("peak_memory_mb").alias("memory_mb"),
-        _mean("perplexity").alias("perplexity"),
+    """Mean perplexity over the merged rows, model family by ``label (scheme)``."""
+    return pivot_merged(bench, ppl, "perplexity", "method_scheme", values)
+
+
+def summary_by_hardware_method(bench: DataFrame) -> DataFrame:
+    """Means of latency, throughput, memory and recorded perplexity per hardware and recorded method."""
+    return present(bench, ["hardware", "method"]).groupBy("hardware", "method").agg(
+        F.avg("latency_ms").alias("latency_ms"),
+        F.avg("throughput_tok_per_sec").alias("throughput"),
+        F.avg("peak_memory_mb").alias("memory_mb"),
+        F.avg("perplexity").alias("perplexity"),
     )
 
 
@@ -96,9 +97,12 @@ def memory_perplexity_points(merged: DataFrame) -> DataFrame:
     )
 
 
-def memory_perplexity_by_method(merged: DataFrame) -> DataFrame:
-    """Points grouped by method only, five markers; incomplete points stay in."""
-    ranked = rank_of_values(merged, "method", "method_rank")
+def memory_perplexity_by_method(bench: DataFrame) -> DataFrame:
+    """Memory and recorded perplexity of the runs, grouped by recorded method only, five markers.
+
+    Incomplete points stay in; runs without a method belong to no group.
+    """
+    ranked = rank_of_values(bench, "method", "method_rank")
     return ranked.select(
         "method",
         "method_rank",

@@ -2,13 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import math
 
-from bitledger.session import shared_folder
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Copies of one row are written out in blocks of this size, so no task writes them all.
 COPIES_PER_BLOCK = 64
+# About so many values are sampled to cut the order into ranges.
+SAMPLED_VALUES = 4000
+
+
+def _as_number(df: DataFrame, col: str) -> Column:
+    """A number that never falls along the order of a column: itself, or the first seven bytes of a text."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.StringType):
+        first = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 7)), 14, "0")
+        return F.conv(first, 16, 10).cast("bigint")
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return F.unix_micros(F.col(col).cast("timestamp"))
+    return F.col(col).cast("bigint" if isinstance(kind, T.IntegralType) else "double")
+
+
+def _with_range(df: DataFrame, groups: list[str], col: str) -> DataFrame:
+    """Rows with ``_range``, the place of their value among the bounds of their group.
+
+    Bounds are the values whose hash is a multiple of a number that follows from the number of
+    rows: they depend on the data alone, so every evaluation of the plan finds the same ones.
+    """
+    marked = df.withColumn("_lead", _as_number(df, col))
+    one_in = F.greatest(F.floor(F.count("*") / F.lit(SAMPLED_VALUES)), F.lit(1)).cast("bigint")
+    drawn = marked.select(*groups, "_lead").withColumn("_m", marked.agg(one_in.alias("m")).scalar())
+    drawn = drawn.where(F.pmod(F.xxhash64("_lead"), F.col("_m")) == 0)
+    bounds = drawn.groupBy(*groups).agg(F.array_sort(F.collect_set("_lead")).alias("_b"))
+    # Few enough to search: every value of a coarse list first, then those in between.
+    width = math.isqrt(SAMPLED_VALUES)
+    coarse = F.filter("_b", lambda x, i: (i + 1) % width == 0)
+    bounds = bounds.select(*[F.col(g).alias(f"_{g}") for g in groups], F.struct("_b", coarse.alias("_c")).alias("_s"))
+    if groups:
+        same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+        placed = marked.join(bounds, same, "left").drop(*[f"_{g}" for g in groups])
+    else:
+        placed = marked.withColumn("_s", bounds.scalar())
+    skipped = F.size(F.filter("_s._c", lambda x: x < F.col("_lead"))) * width
+    rest = F.size(F.filter(F.slice("_s._b", F.col("_skipped") + 1, F.lit(width)), lambda x: x < F.col("_lead")))
+    # A missing value sorts first, as does a group without bounds into its only range.
+    found = placed.withColumn("_skipped", F.greatest(skipped, F.lit(0)))
+    return found.withColumn("_range", F.col("_skipped") + F.greatest(rest, F.lit(0))).drop("_lead", "_s", "_skipped")
 
 
 def running_total(
@@ -20,39 +61,33 @@ def running_total(
 ) -> DataFrame:
     """Sum of ``value_col`` over all earlier rows of the group (the row itself excluded).
 
-    A window over a whole group would put it into one task. Here the rows are range
-    partitioned on group and order, so even a group with most of the rows is spread out;
-    each range is summed on its own and the sums of the earlier ranges are added. The
-    ranges are checkpointed because a second evaluation could cut them elsewhere.
-    ``(partition_cols, order_cols)`` should be unique; equal keys share a range.
+    A window over a whole group would put it into one task. Here the first order column cuts
+    each group into ranges; each range is summed on its own and the sums of the earlier ranges
+    are added. Nothing runs before the result is read. ``(partition_cols, order_cols)`` should
+    be unique; equal values of the first order column share a range.
     """
     groups = partition_cols or []
-    spark = df.sparkSession
-    shared_folder(spark)
-    # No fixed count: adaptive execution merges small neighbouring ranges.
-    ranged = (
-        df.repartitionByRange(*groups, *order_cols)
-        .withColumn("_range", F.spark_partition_id())
-        .checkpoint()
-    )
+    ranged = _with_range(df, groups, order_cols[0])
     # At most (ranges + groups) rows: small next to the data, one window per group.
-    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     range_starts = (
         ranged.groupBy(*groups, "_range")
         .agg(F.sum(value_col).alias("_sum"))
-        .withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-        .drop("_sum")
+        .select(
+            *[F.col(g).alias(f"_{g}") for g in groups],
+            F.col("_range").alias("_r"),
+            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"),
+        )
     )
     within = Window.partitionBy(*groups, "_range").orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, -1
     )
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
     return (
         ranged.withColumn("_within", F.coalesce(F.sum(value_col).over(within), F.lit(0)))
-        .join(range_starts, [*groups, "_range"])
+        .join(range_starts, [*same, F.col("_range") == F.col("_r")])
         .withColumn(out_col, F.col("_start") + F.col("_within"))
-        .drop("_start", "_within", "_range")
+        .drop("_start", "_within", "_range", "_r", *[f"_{g}" for g in groups])
     )
 
 

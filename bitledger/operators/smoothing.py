@@ -17,44 +17,58 @@ def _channel_max(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def activation_scales(rows: DataFrame) -> DataFrame:
-    """Per layer and input channel the largest absolute activation over all samples."""
-    return _channel_max(rows, ["layer"])
+def activation_scales(rows: DataFrame, keys: tuple[str, ...] = ("layer",)) -> DataFrame:
+    """Per group and input channel the largest absolute activation over all samples."""
+    return _channel_max(rows, list(keys))
 
 
-def weight_scales(weights: DataFrame, floor: float = 1e-5) -> DataFrame:
-    """Per input channel the largest absolute weight over all matrices, at least ``floor``."""
-    scales = _channel_max(weights, [])
+def weight_scales(weights: DataFrame, floor: float = 1e-5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per input channel the largest absolute weight, at least ``floor``, over all matrices that
+    a norm feeds. ``keys`` tells apart the groups (a norm and its matrices) of one model."""
+    scales = _channel_max(weights, list(keys))
     return scales.withColumn("scale", F.greatest("scale", F.lit(floor)))
 
 
 def smoothing_factors(
-    act: DataFrame, weight: DataFrame, alpha: float = 0.5, floor: float = 1e-5
+    act: DataFrame, weight: DataFrame, alpha: float = 0.5, floor: float = 1e-5, keys: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``act^alpha / weight^(1 - alpha)`` per channel, at least ``floor``."""
-    a = act.select("channel", F.col("scale").alias("act_scale"))
-    w = weight.select("channel", F.col("scale").alias("weight_scale"))
+    """``act^alpha / weight^(1 - alpha)`` per group and channel, at least ``floor``."""
+    a = act.select(*keys, "channel", F.col("scale").alias("act_scale"))
+    w = weight.select(*keys, "channel", F.col("scale").alias("weight_scale"))
     raw = F.pow("act_scale", F.lit(alpha)) / F.pow("weight_scale", F.lit(1.0 - alpha))
-    return a.join(w, "channel").select("channel", F.greatest(raw, F.lit(floor)).alias("factor"))
+    joined = a.join(w, [*keys, "channel"])
+    return joined.select(*keys, "channel", F.greatest(raw, F.lit(floor)).alias("factor"))
+
+
+def _factor_arrays(factors: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Per group one array with the factor of each channel at its place, 1 where there is none."""
+    placed = factors.withColumn("channel", F.col("channel").cast("int"))
+    found = placed.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("channel", "factor"))).alias("_by"), F.max("channel").alias("_last")
+    )
+    dense = F.transform(
+        F.sequence(F.lit(0), F.col("_last")),
+        lambda c: F.coalesce(F.try_element_at("_by", c), F.lit(1.0)),
+    )
+    return found.select(*keys, dense.alias("_factors"))
 
 
 def apply_smoothing(
-    weights: DataFrame, norm: DataFrame, factors: DataFrame
+    weights: DataFrame, norm: DataFrame, factors: DataFrame, keys: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Divide the norm's weight and bias by the factors and multiply the weight columns by them.
 
-    The factors become one array with an entry per input channel, no longer than a weight
-    row, and reach the rows as a scalar subquery: no shuffle of the weights.
+    Factors are found by channel; a channel without a factor keeps its values. With ``keys``
+    each group uses its own factors. A group's factors are one array, no longer than a weight
+    row; without keys it reaches the rows as a scalar subquery and the weights do not move.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("channel", "factor")))
-    by_channel = factors.agg(F.transform(ordered, lambda f: f["factor"])).scalar()
-    smoothed = weights.withColumn("_factors", by_channel).withColumn(
-        "vec", F.zip_with(F.col("vec").cast("array<double>"), "_factors", lambda w, s: w * s)
+    arrays = _factor_arrays(factors, keys)
+    held = weights.join(arrays, list(keys), "left") if keys else weights.withColumn("_factors", arrays.scalar())
+    scaled = F.transform(
+        F.col("vec").cast("array<double>"), lambda w, i: w * F.coalesce(F.get("_factors", i), F.lit(1.0))
     )
-    scaled_norm = norm.join(factors, "channel").withColumns(
-        {
-            "weight": F.col("weight") / F.col("factor"),
-            "bias": F.col("bias") / F.col("factor"),
-        }
+    by = F.coalesce("factor", F.lit(1.0))
+    scaled_norm = norm.join(factors, [*keys, "channel"], "left").withColumns(
+        {"weight": F.col("weight") / by, "bias": F.col("bias") / by}
     )
-    return smoothed.drop("_factors"), scaled_norm.drop("factor")
+    return held.withColumn("vec", scaled).drop("_factors"), scaled_norm.drop("factor")

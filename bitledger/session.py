@@ -46,9 +46,15 @@ def lookup(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one where it names none."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where none is named, one machine uses a temporary folder; several would not share it, so
+    there the setting is required.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not folder and not context.getCheckpointDir() and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bitledger-"))
     return (folder or context.getCheckpointDir()).rstrip("/")

@@ -53,17 +53,22 @@ def accuracy_header(name_titles: dict[str, int], delta_title: str) -> str:
 
 
 def run_lines(runs: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Benchmark runs as text lines; a missing or zero perplexity prints as ``N/A``.
+    """Benchmark runs as text lines; a missing or zero perplexity prints as ``N/A``, any other
+    missing value as ``-``.
 
     Lines keep their order columns and are not numbered, which would need a global order.
     """
     ppl = F.col("perplexity")
     shown = F.when(ppl.isNull() | (ppl == 0), F.lit("N/A")).otherwise(number_text(ppl, 2))
+
+    def cell(value: Column, width: int) -> Column:
+        return _left(F.coalesce(value, F.lit("-")), width)
+
     line = F.concat(
-        _left(F.col("method"), 12), F.lit(" "),
-        _left(number_text(F.col("latency_ms"), 1), 14), F.lit(" "),
-        _left(number_text(F.col("throughput_tok_per_sec"), 1), 14), F.lit(" "),
-        _left(number_text(F.col("peak_memory_mb"), 1), 12), F.lit(" "), shown,
+        cell(F.col("method"), 12), F.lit(" "),
+        cell(number_text(F.col("latency_ms"), 1), 14), F.lit(" "),
+        cell(number_text(F.col("throughput_tok_per_sec"), 1), 14), F.lit(" "),
+        cell(number_text(F.col("peak_memory_mb"), 1), 12), F.lit(" "), shown,
     )
     return runs.select(*order_cols, line.alias("line"))
 

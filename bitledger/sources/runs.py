@@ -85,7 +85,8 @@ def with_run_time(runs: DataFrame) -> DataFrame:
 def read_ppl_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Perplexity files as ``(model_dir, perplexity, ppl_dataset)``, one JSON object per file.
 
-    A file without a model takes the part of its own name ahead of ``__ppl_``.
+    A file without a model takes the part of its own name ahead of ``__ppl_``. A file that is
+    no complete JSON object fails the query that reads it.
     """
     name_part = F.split(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""), "__ppl_", 2
@@ -93,6 +94,7 @@ def read_ppl_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return (
         spark.read.schema(PERPLEXITY_RESULT)
         .option("multiLine", True)
+        .option("mode", "FAILFAST")
         .json(path)
         .select(
             path_basename(F.coalesce("model", F.get(name_part, 0))).alias("model_dir"),

@@ -102,7 +102,7 @@ def test_delta_uses_rounded_averages(spark):
 
 
 def test_jobs(spark):
-    models = spark.createDataFrame([("a",), ("b",), ("c",)], "label string")
+    models = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "label string, model_present boolean")
     valid = spark.createDataFrame(
         [("a", p) for p in fixed.PARTS] + [("a", "gsm8k"), ("b", "gsm8k")], "label string, part string"
     )
@@ -112,6 +112,10 @@ def test_jobs(spark):
     assert [r.label for r in jobs.completed_groups(valid).collect()] == ["a"]
     counts = {r.status: r.n for r in jobs.status_counts(jobs.job_statuses(models, valid)).collect()}
     assert counts == {"ok": 4, "failed": 2, "skipped": 3}
+    # A model that is there but has no result at all has failed.
+    there = models.withColumn("model_present", models.model_present | (models.label == "c"))
+    counts = {r.status: r.n for r in jobs.status_counts(jobs.job_statuses(there, valid)).collect()}
+    assert counts == {"ok": 4, "failed": 5}
 
 
 def test_expected_labels_keep_their_order(spark):

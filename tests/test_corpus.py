@@ -89,6 +89,20 @@ def test_unigram_perplexity(spark, stride, max_length, n):
     assert row.perplexity == pytest.approx(stream_perplexity(stream, stride, max_length), abs=1e-4)
 
 
+@pytest.mark.parametrize("length, n", [(7, 30), (50, 60), (5000, 20)])
+def test_windows_that_do_not_overlap(spark, length, n):
+    df, stream = random_documents(spark, n=n)
+    loss, total, weight = unigram(stream), 0.0, 0
+    for begin in range(0, len(stream), length):
+        window = stream[begin : begin + length]
+        if len(window) > 1:
+            total += sum(loss[t] for t in window[1:]) / (len(window) - 1) * len(window)
+            weight += len(window)
+    row = corpus_perplexity(corpus.with_tokens(df), stride=length, max_length=length).first()
+    assert row.n_tokens == len(stream)
+    assert row.perplexity == pytest.approx(math.exp(total / weight), abs=1e-4)
+
+
 def test_perplexity_with_mostly_empty_documents(spark):
     df = documents(spark, [""] * 50 + ["a b c d e f a b", "", "c c c d"])
     stream = "a b c d e f a b c c c d".split()

@@ -62,6 +62,24 @@ def test_load_results_end_to_end(spark, tmp_path):
     ]
 
 
+def test_results_of_one_kind_or_none(spark, tmp_path):
+    none = f"{tmp_path}/absent*.csv"
+    write(f"{tmp_path}/eval/m_awq__ppl_x.json", '{"perplexity": 8.5}')
+    write(f"{tmp_path}/benchmark_1.csv", "model_name,latency_ms\n./r/m_awq,10.0\n")
+    only = load_results(spark, none, f"{tmp_path}/eval/*__ppl_*.json").collect()
+    assert [(r.model_family, r.method, r.perplexity) for r in only] == [("m", "awq", 8.5)]
+    runs = load_results(spark, f"{tmp_path}/benchmark_*.csv", f"{tmp_path}/eval/none*.json").collect()
+    assert [(r.model_family, r.latency_ms) for r in runs] == [("m", 10.0)]
+    empty = load_results(spark, none, none)
+    assert empty.count() == 0 and {"model_family", "method", "scheme", "latency_ms"} <= set(empty.columns)
+
+
+def test_broken_perplexity_file_is_an_error(spark, tmp_path):
+    write(f"{tmp_path}/a__ppl_x.json", '{"perplexity": 8.5, "data')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_ppl_json(spark, f"{tmp_path}/*.json").collect()
+
+
 def evaluation(task_values):
     return json.dumps({"results": {t: {k: v for k, v in m.items()} for t, m in task_values.items()}})
 
@@ -182,7 +200,9 @@ def test_corpus_by_name_and_inventory(spark, tmp_path):
     first = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     second = spark.createDataFrame([("b", 2)], "sentence string, n int")
     catalog = {"wikitext2": first, "ptb": second}
-    assert read_corpus(spark, "ptb", catalog).first().text == "b"
+    assert tuple(read_corpus(spark, "ptb", catalog, order="n").first()) == (2, "b")
+    with pytest.raises(ValueError, match="order"):
+        read_corpus(spark, "ptb", catalog)
     assert read_corpus(spark, "unknown", catalog).first().text == "a"
     write(f"{tmp_path}/inv/b.gguf", "x" * 1048576)
     write(f"{tmp_path}/inv/a.gguf", "x" * 524288)

@@ -1,7 +1,18 @@
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
+from bitledger.functions.columns import round_half_up
 from bitledger.operators.jobs import parse_job_spec, resolve_task_preset
 from bitledger.operators.merge import drop_and_derive, parse_model_dir, with_labels
+from bitledger.operators.pivots import (
+    mean_by,
+    memory_perplexity_by_method,
+    merged_mean_by,
+    pivot_metric,
+    summary_by_hardware_method,
+)
 
 NAMES = {
     "qwen2.5_0.5b_instruct_awq_w4a16": ("qwen2.5-0.5b-instruct", "awq", "W4A16"),
@@ -52,3 +63,33 @@ def test_job_spec_keeps_later_colons(spark):
 def test_task_presets(spark, tasks, expected):
     df = spark.createDataFrame([(tasks,)], "tasks string")
     assert [r.task for r in resolve_task_preset(df).collect()] == expected
+
+
+def test_rounding_of_extreme_numbers(spark):
+    values = [float("nan"), float("inf"), -float("inf"), 1e16, -1e300, 123.456, -0.126, None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    got = [r.r for r in rows.select("k", round_half_up(F.col("v"), 2).alias("r")).orderBy("k").collect()]
+    assert math.isnan(got[0]) and got[1:] == [float("inf"), -float("inf"), 1e16, -1e300, 123.46, -0.13, None]
+
+
+def test_pivot_refuses_what_is_not_listed(spark):
+    runs = spark.createDataFrame([("m", "awq", 1.0), ("m", "new", 3.0)], "row string, col string, x double")
+    assert pivot_metric(runs, "x", "row", "col").first().asDict() == {"row": "m", "awq": 1.0, "new": 3.0}
+    assert {r.col: r["mean"] for r in mean_by(runs, "x", "row", "col").collect()} == {"awq": 1.0, "new": 3.0}
+    with pytest.raises(Exception, match="not listed: new"):
+        pivot_metric(runs, "x", "row", "col", ["awq"]).collect()
+
+
+def test_merged_means_weigh_by_results_and_summaries_use_runs_alone(spark):
+    bench = spark.createDataFrame(
+        [("d_awq_w4a16", "h", "rec", 100.0, 1.0), ("d_awq_w8a8", "h", "rec", 200.0, 2.0)],
+        "model_dir string, hardware string, method string, latency_ms double, perplexity double",
+    ).selectExpr("*", "latency_ms AS throughput_tok_per_sec", "latency_ms AS peak_memory_mb")
+    ppl = spark.createDataFrame(
+        [("d_awq_w4a16", 5.0), ("d_awq_w4a16", 6.0), ("d_awq_w8a8", 7.0)], "model_dir string, perplexity double"
+    )
+    row = merged_mean_by(bench, ppl, "latency_ms", "method_label").first()
+    assert (row.model_family, row.method_label, row["mean"]) == ("d", "AWQ", pytest.approx(400 / 3))
+    row = summary_by_hardware_method(bench).first()
+    assert (row.method, row.latency_ms, row.perplexity) == ("rec", 150.0, 1.5)
+    assert {r.method for r in memory_perplexity_by_method(bench).collect()} == {"rec"}

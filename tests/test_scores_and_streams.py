@@ -8,7 +8,7 @@ from bitledger.operators import scoring, timing
 from bitledger.operators.engine import telemetry_summary
 from bitledger.sinks import reports
 from bitledger.sources.engine import parse_telemetry
-from bitledger.streaming.telemetry import stream_telemetry, telemetry_stream_summary, write_summary
+from bitledger.streaming.telemetry import read_summary, stream_telemetry, telemetry_stream_summary, write_summary
 
 CHOICES = "task string, doc_id long, choice int, loglik double, choice_len long, is_gold boolean"
 
@@ -68,12 +68,13 @@ def test_timing(spark):
 
 def test_report_lines(spark):
     runs = spark.createDataFrame(
-        [(1, "a-very-long-method", 12.345, 3.0, 4.0, 0.0), (2, "awq", 1.0, 2.0, 3.0, 7.125)],
+        [(1, "a-very-long-method", 12.345, 3.0, 4.0, 0.0), (2, "awq", 1.0, 2.0, 3.0, 7.125), (3, None, None, 2.0, None, None)],
         "k int, method string, latency_ms double, throughput_tok_per_sec double, peak_memory_mb double, perplexity double",
     )
     lines = {r.k: r.line for r in reports.run_lines(runs, ["k"]).collect()}
     assert lines[1] == f"a-very-long-method {'12.3':<14} {'3.0':<14} {'4.0':<12} N/A"
     assert lines[2] == f"{'awq':<12} {'1.0':<14} {'2.0':<14} {'3.0':<12} 7.13"
+    assert lines[3] == f"{'-':<12} {'-':<14} {'2.0':<14} {'-':<12} N/A"
     header = reports.accuracy_header({"Method": 14, "Bits": 8}, "Δ vs FP16")
     assert header.startswith("Method        Bits        arc_e") and header.endswith("        Status")
 
@@ -88,7 +89,7 @@ def test_stream_equals_batch_over_late_files(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         write_summary(telemetry_stream_summary(stream), out, checkpoint).awaitTermination()
-        return sorted(spark.read.parquet(out).collect())
+        return sorted(read_summary(spark, out).collect())
 
     def batch(part):
         return sorted(telemetry_summary(parse_telemetry(spark.createDataFrame(part, schema))).collect())
@@ -112,6 +113,6 @@ def test_log_files_as_a_stream(spark, tmp_path):
     lines = stream_telemetry(spark, f"{tmp_path}/logs/*")
     out = f"{tmp_path}/summary"
     write_summary(telemetry_stream_summary(lines), out, f"{tmp_path}/checkpoint").awaitTermination()
-    rows = {r.label: r for r in spark.read.parquet(out).collect()}
+    rows = {r.label: r for r in read_summary(spark, out).collect()}
     assert (rows["Q8_0"].avg_power_mw, rows["Q8_0"].peak_ram_mb, rows["Q8_0"].ram_delta_mb) == (20.0, 900, 400)
     assert (rows["F16"].avg_gpu_util_pct, rows["F16"].n_samples, rows["F16"].peak_ram_mb) == (30.0, 0, 0)

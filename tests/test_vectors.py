@@ -109,6 +109,24 @@ def test_smoothing_keeps_the_product(spark, rows, data):
         assert np.allclose(np.array(r.vec) * gains, data[r.row_id])
 
 
+def test_smoothing_by_group_and_by_channel(spark):
+    rows = spark.createDataFrame([("a", 0, [1.0, 2.0, 4.0]), ("b", 0, [4.0, 9.0, 16.0])], ROWS)
+    factors = spark.createDataFrame(
+        [("a", 0, 2.0), ("a", 2, 10.0), ("b", 1, 3.0)], "layer string, channel int, factor double"
+    )
+    norm = spark.createDataFrame(
+        [(g, c, 60.0, 30.0) for g in "ab" for c in range(3)], "layer string, channel int, weight double, bias double"
+    )
+    weights, scaled = smoothing.apply_smoothing(rows, norm, factors, keys=("layer",))
+    assert {r.layer: r.vec for r in weights.collect()} == {"a": [2.0, 2.0, 40.0], "b": [4.0, 27.0, 16.0]}
+    got = {(r.layer, r.channel): (r.weight, r.bias) for r in scaled.collect()}
+    assert got["a", 0] == (30.0, 15.0) and got["a", 1] == (60.0, 30.0) and got["b", 1] == (20.0, 10.0)
+    alone, _ = smoothing.apply_smoothing(rows, norm, factors.where("layer = 'a'").drop("layer"))
+    assert {r.layer: r.vec for r in alone.collect()} == {"a": [2.0, 2.0, 40.0], "b": [8.0, 9.0, 160.0]}
+    scales = smoothing.weight_scales(rows, keys=("layer",))
+    assert {(r.layer, r.channel): r.scale for r in scales.collect()}["b", 2] == 16.0
+
+
 def test_count_parameters(rows):
     counts = {r.layer: r.n for r in quantize.count_parameters(rows).collect()}
     assert counts == {"fc0": 20 * 96, "fc1": 20 * 96, "total": 40 * 96}
