@@ -496,7 +496,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     table gives an empty result. ``class_id`` names the component (null for empty sets) and
     ``row_key`` is that of ``row_key()``. Shingles are compared by hashes of about 54 bits.
     """
-    sets = set_summary(docs)
+    shared_folder(docs.sparkSession)
+    # A few numbers a document, used twice below.
+    sets = set_summary(docs).checkpoint()
     joined = connected_components(class_links(docs, percent))
     placed = sets.join(joined.withColumnRenamed("node", "sk"), "sk", "left").withColumn(
         "class", F.coalesce("component", "sk")
