@@ -84,12 +84,17 @@ def fingerprint(kept: Column) -> Column:
         text = F.concat_ws(" ", F.transform(terms, lambda x: x["t"]))
         return F.when(F.size(terms) == 0, ".").otherwise(F.right(F.lpad(F.lower(F.hex(F.xxhash64(text))), 16, "0"), F.lit(8)))
 
-    def subset(part: int, k: int) -> Column:
-        # Another window of the terms' hashes for each subset.
-        return digest(F.filter(kept, lambda x: F.pmod(F.shiftright(x["h"], 4 * k), F.lit(part)) == 0))
+    def part_of(terms: Column, k: int, part: int) -> Column:
+        # Another window of the terms' hashes for each k; its larger subsets hold the smaller ones.
+        return F.filter(terms, lambda x: F.pmod(F.shiftright(x["h"], 4 * k), F.lit(part)) == 0)
 
-    subsets = [subset(part, k) for part in SUBSET_PARTS for k in range(SUBSETS)]
-    return F.concat_ws("-", digest(kept), *subsets)
+    def subsets(terms: Column, k: int, parts: tuple[int, ...]) -> Column:
+        def written(held: Column) -> Column:
+            return F.concat_ws("-", digest(held), *([subsets(held, k, parts[1:])] if parts[1:] else []))
+
+        return _with(part_of(terms, k, parts[0]), written)
+
+    return F.concat_ws("-", digest(kept), *[subsets(kept, k, SUBSET_PARTS) for k in range(SUBSETS)])
 
 
 def likeness(one: Column, other: Column) -> Column:
