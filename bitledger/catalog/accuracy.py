@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitledger.catalog import engine as engine_queries
 from bitledger.catalog.bindings import bind, cte
-from bitledger.catalog.common import Query, r, rounded
+from bitledger.catalog.common import Query, r, rounded, values
 from bitledger.functions import fixed_values as fixed
 from bitledger.functions.columns import metric_key_parts
 from bitledger.operators import accuracy, filters, jobs
@@ -28,9 +28,18 @@ def _labels(spark: SparkSession) -> DataFrame:
 
 _KEY = "substr(metric_key, 1, instr(metric_key, ',') - 1)"
 _FILTER = "substr(metric_key, instr(metric_key, ',') + 1)"
-_METHOD_ROWS = "(VALUES (0,'fp16','(baseline)','FP16'),(1,'awqW4A16','AWQ','W4A16'),(2,'gptqW4A16','GPTQ','W4A16'),(3,'rtnW4A16','RTN','W4A16'),(4,'rtnW8A16','RTN','W8A16'),(5,'smoothW8A8','SmoothQuant','W8A8')) AS d(ord, label, method, bits)"
-_SCHEME_ROWS = "(VALUES (0,'F16','llama.cpp'),(1,'Q8_0','llama.cpp'),(2,'Q5_K_M','llama.cpp'),(3,'Q4_K_M','llama.cpp'),(4,'Q4_0','llama.cpp')) AS d(ord, label, engine)"
-_CANDIDATES = "(VALUES ('arc_easy',0,'acc_norm,none'),('arc_challenge',0,'acc_norm,none'),('hellaswag',0,'acc_norm,none'),('winogrande',0,'acc,none'),('mmlu',0,'acc,none'),('truthfulqa_mc2',0,'acc,none'),('gsm8k',0,'exact_match,flexible-extract'),('gsm8k',1,'exact_match,strict-match'),('ifeval',0,'prompt_level_strict_acc,none'),('ifeval',1,'inst_level_strict_acc,none')) AS c(task, rank, metric_key)"
+_METHOD_ROWS = values("d", ["ord", "label", "method", "bits"], [(k, *row) for k, row in enumerate(fixed.METHOD_ROWS)])
+_SCHEME_ROWS = values(
+    "d", ["ord", "label", "engine"], [(k, s, fixed.SCHEME_ENGINE) for k, s in enumerate(fixed.SCHEME_ROWS)]
+)
+_CANDIDATES = values(
+    "c",
+    ["task", "rank", "metric_key"],
+    [(task, rank, key) for task, keys in fixed.TASK_METRICS for rank, key in enumerate(keys)],
+)
+
+
+_PART_ORDER = "CASE part " + " ".join(f"WHEN '{p}' THEN {k}" for k, p in enumerate(fixed.PARTS)) + " END"
 
 
 def _latest_sql(binding: str) -> str:
@@ -45,7 +54,7 @@ def _picked_sql(binding: str) -> str:
     return (
         cte(binding)
         + f", {_latest_sql(binding)}, rows_ AS (SELECT e.* FROM {binding} e JOIN latest USING (label, part, file_name, file_mtime)), "
-        + "merged AS (SELECT * FROM rows_ QUALIFY RANK() OVER (PARTITION BY label, task ORDER BY CASE part WHEN 'likelihood' THEN 1 WHEN 'gsm8k' THEN 2 ELSE 3 END DESC) = 1), "
+        + f"merged AS (SELECT * FROM rows_ QUALIFY RANK() OVER (PARTITION BY label, task ORDER BY {_PART_ORDER} DESC) = 1), "
         + f"picked AS (SELECT label, task, metric_key, value, stderr FROM (SELECT m.*, ROW_NUMBER() OVER (PARTITION BY m.label, m.task ORDER BY c.rank) AS k FROM merged m JOIN {_CANDIDATES} ON m.task = c.task AND m.metric_key = c.metric_key) WHERE k = 1) "
     )
 
@@ -95,7 +104,7 @@ QUERIES["merge_parts"] = _merge_parts
 ORACLE["merge_parts"] = (
     cte("eval_files")
     + ", s AS (SELECT * REPLACE (CASE WHEN task IN ('mmlu', 'ifeval') THEN 'gsm8k' ELSE task END AS task) FROM eval_files) "
-    + "SELECT label, part, task, metric_key, file_mtime, value FROM s QUALIFY RANK() OVER (PARTITION BY label, task ORDER BY CASE part WHEN 'likelihood' THEN 1 WHEN 'gsm8k' THEN 2 ELSE 3 END DESC) = 1"
+    + "SELECT label, part, task, metric_key, file_mtime, value FROM s QUALIFY RANK() OVER (PARTITION BY label, task ORDER BY {_PART_ORDER} DESC) = 1"
 )
 
 
@@ -207,7 +216,7 @@ ORACLE["accuracy_vs_performance"] = (
 
 
 # --- jobs --------------------------------------------------------------------------
-_JOBS = f"jobs AS (SELECT label, part FROM {_METHOD_ROWS}, (VALUES ('likelihood'), ('gsm8k'), ('ifeval')) AS p(part))"
+_JOBS = f"jobs AS (SELECT label, part FROM {_METHOD_ROWS}, {values('p', ['part'], [(p,) for p in fixed.PARTS])})"
 
 
 def _pending(spark, sf):
@@ -243,12 +252,13 @@ ORACLE["parse_job_spec"] = (
     cte("job_specs")
     + "SELECT job_id, regexp_extract(spec, '^([^:]*):([^:]*):(.*)$', 1) AS label, regexp_extract(spec, '^([^:]*):([^:]*):(.*)$', 2) AS method, regexp_extract(spec, '^([^:]*):([^:]*):(.*)$', 3) AS model_path FROM job_specs"
 )
+_PRESETS = " ".join(f"WHEN '{name}' THEN '{tasks}'" for name, tasks in fixed.TASK_PRESETS.items())
 QUERIES["resolve_task_preset"] = lambda spark, sf: jobs.resolve_task_preset(
     bind(spark, sf, "task_requests")
 ).select("job_id", "task")
 ORACLE["resolve_task_preset"] = (
     cte("task_requests")
-    + "SELECT job_id, unnest(string_split(CASE tasks WHEN 'quick' THEN 'arc_easy,hellaswag' WHEN 'standard' THEN 'arc_easy,arc_challenge,hellaswag,winogrande,mmlu' WHEN 'full' THEN 'arc_easy,arc_challenge,hellaswag,winogrande,mmlu,truthfulqa_mc2,gsm8k' ELSE tasks END, ',')) AS task FROM task_requests"
+    + f"SELECT job_id, unnest(string_split(CASE tasks {_PRESETS} ELSE tasks END, ',')) AS task FROM task_requests"
 )
 
 

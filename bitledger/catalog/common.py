@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitledger.functions import fixed_values as fixed
 from bitledger.functions.columns import round_half_up
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +27,7 @@ def r(expr: str, digits: int) -> str:
 
 def name_parts(name: str) -> dict[str, str]:
     """SQL for family, method and scheme of a model directory name."""
-    tokens = "smoothquant|smoothq|smooth|gptq|fp16|awq|rtn|bnb"
+    tokens = "|".join(sorted(fixed.METHOD_TOKENS, key=len, reverse=True))
     norm = f"regexp_replace(lower({name}), '[-_]+', '-', 'g')"
     token = f"regexp_extract({norm}, '(^|-)({tokens})(-|$)', 2)"
     return {
@@ -40,6 +41,11 @@ def name_parts(name: str) -> dict[str, str]:
 
 BASENAME = "regexp_extract(rtrim({0}, '/'), '([^/]*)$', 1)"
 LABEL_CASE = (
-    "CASE {0} WHEN 'awq' THEN 'AWQ' WHEN 'gptq' THEN 'GPTQ' WHEN 'rtn' THEN 'RTN' WHEN 'smooth' THEN 'SmoothQuant' "
-    "WHEN 'fp16' THEN 'FP16' WHEN 'bnb4' THEN 'BnB-4' WHEN 'bnb8' THEN 'BnB-8' ELSE {0} END"
+    "CASE {0} " + " ".join(f"WHEN '{code}' THEN '{label}'" for code, label in fixed.METHOD_LABELS.items()) + " ELSE {0} END"
 )
+
+
+def values(name: str, columns: list[str], rows: list[tuple]) -> str:
+    """Fixed rows as a SQL table."""
+    body = ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in rows)
+    return f"(VALUES {body}) AS {name}({', '.join(columns)})"

@@ -237,19 +237,19 @@ ORACLE["format_report_runs"] = (
 QUERIES["format_report_engine"] = lambda spark, sf: reports.engine_lines(
     engine_queries.performance(spark, sf)
 )
-_ENGINE_ROWS = [
-    ("Label", "label"),
-    ("Prompt eval (pp256)", f"{_num('prompt_eval_tok_s', 2)} || ' ± ' || {_num('prompt_eval_std', 2)} || ' tok/s'"),
-    ("Generation  (tg64)", f"{_num('generation_tok_s', 2)} || ' ± ' || {_num('generation_std', 2)} || ' tok/s'"),
-    ("Latency (256+64 tok)", f"{_num('latency_total_ms', 1)} || ' ms'"),
-    ("Throughput overall", f"{_num('throughput_overall_tok_s', 2)} || ' tok/s'"),
-    ("Peak RAM", "CAST(peak_ram_mb AS VARCHAR) || ' MB  (Δ ' || CAST(ram_delta_mb AS VARCHAR) || ' MB)'"),
-    ("Avg power (VDD_IN)", f"{_num('avg_power_mw', 0)} || ' mW  (' || CAST(n_samples AS VARCHAR) || ' samples)'"),
-    ("Avg GPU util", f"{_num('avg_gpu_util_pct', 1)} || ' %'"),
-    ("Energy / token", f"{_num('energy_per_token_mj', 2)} || ' mJ'"),
-    ("Speedup vs HF-FP16", f"{_num('speedup_vs_hf_fp16', 2)} || 'x  (HF baseline = 11.5 tok/s)'"),
+_ENGINE_TEXTS = [
+    "label",
+    f"{_num('prompt_eval_tok_s', 2)} || ' ± ' || {_num('prompt_eval_std', 2)} || ' tok/s'",
+    f"{_num('generation_tok_s', 2)} || ' ± ' || {_num('generation_std', 2)} || ' tok/s'",
+    f"{_num('latency_total_ms', 1)} || ' ms'",
+    f"{_num('throughput_overall_tok_s', 2)} || ' tok/s'",
+    "CAST(peak_ram_mb AS VARCHAR) || ' MB  (Δ ' || CAST(ram_delta_mb AS VARCHAR) || ' MB)'",
+    f"{_num('avg_power_mw', 0)} || ' mW  (' || CAST(n_samples AS VARCHAR) || ' samples)'",
+    f"{_num('avg_gpu_util_pct', 1)} || ' %'",
+    f"{_num('energy_per_token_mj', 2)} || ' mJ'",
+    f"{_num('speedup_vs_hf_fp16', 2)} || 'x  (HF baseline = 11.5 tok/s)'",
 ]
 ORACLE["format_report_engine"] = " UNION ALL ".join(
-    f"SELECT label, {i} AS ord, '  {title:<22}: ' || {text} AS line FROM ({engine_queries.RATES_SQL}{engine_queries.PERFORMANCE_SQL})"
-    for i, (title, text) in enumerate(_ENGINE_ROWS)
+    f"SELECT label, {i} AS ord, '  {title:<{fixed.ENGINE_REPORT_WIDTH}}: ' || {text} AS line FROM ({engine_queries.RATES_SQL}{engine_queries.PERFORMANCE_SQL})"
+    for i, (title, text) in enumerate(zip(fixed.ENGINE_REPORT_TITLES, _ENGINE_TEXTS))
 )

@@ -94,6 +94,25 @@ ENGINE_SUMMARY_COLUMNS = [
     "avg_gpu_util_pct",
     "speedup_vs_hf_fp16",
 ]
+# Titles of the lines of an engine report, padded to one width.
+ENGINE_REPORT_TITLES = [
+    "Label",
+    "Prompt eval (pp256)",
+    "Generation  (tg64)",
+    "Latency (256+64 tok)",
+    "Throughput overall",
+    "Peak RAM",
+    "Avg power (VDD_IN)",
+    "Avg GPU util",
+    "Energy / token",
+    "Speedup vs HF-FP16",
+]
+ENGINE_REPORT_WIDTH = 22
+# Columns of the accuracy report after the names: width of a score, the delta and the status.
+SCORE_WIDTH, DELTA_WIDTH, STATUS_WIDTH = 9, 11, 14
+# Columns of the run report: title and width.
+RUN_REPORT_COLUMNS = [("Method", 12), ("Latency(ms)", 14), ("Tput(tok/s)", 14), ("Mem(MB)", 12), ("PPL", 0)]
+RUN_REPORT_RULE = 65
 KNOWN_SCHEMES = [
     "F32", "F16", "BF16",
     "Q8_0", "Q6_K",

@@ -34,22 +34,36 @@ def accuracy_lines(
     """Accuracy table as ``(ord, line)``: scores with 4 decimals, ``-`` where missing."""
     missing = F.lit("-")
     cells = [_left(F.col(name), width) for name, width in name_widths.items()]
-    cells += [_right(F.coalesce(number_text(F.col(t), 4), missing), 9) for t in [*tasks, "avg"]]
+    cells += [_right(F.coalesce(number_text(F.col(t), 4), missing), fixed.SCORE_WIDTH) for t in [*tasks, "avg"]]
     delta = F.col(delta_col)
     cells.append(
-        F.when(delta.isNull(), F.lpad(missing, 11, " ")).otherwise(
-            F.concat(_right(_signed_text(delta, 2), 10), F.lit("pp"))
+        F.when(delta.isNull(), F.lpad(missing, fixed.DELTA_WIDTH, " ")).otherwise(
+            F.concat(_right(_signed_text(delta, 2), fixed.DELTA_WIDTH - 1), F.lit("pp"))
         )
     )
-    cells.append(_right(F.coalesce("_status", F.lit("?")), 14))
+    cells.append(_right(F.coalesce("_status", F.lit("?")), fixed.STATUS_WIDTH))
     return table.select("ord", F.concat(*cells).alias("line"))
 
 
+def heading(columns: list[tuple[str, int, str]], gap: str = "") -> str:
+    """One line of titles from (title, width, side), side being ``<`` or ``>``."""
+    return gap.join(f"{title:{side}{width or ''}}" for title, width, side in columns)
+
+
 def accuracy_header(name_titles: dict[str, int], delta_title: str) -> str:
     """The heading that goes with :func:`accuracy_lines`."""
-    names = "".join(f"{title:<{width}}" for title, width in name_titles.items())
-    tasks = "".join(f"{fixed.SHORT_TASK_NAMES[t]:>9}" for t in fixed.TASKS)
-    return f"{names}{tasks}{'Avg':>9}{delta_title:>11}{'Status':>14}"
+    scores = [*(fixed.SHORT_TASK_NAMES[t] for t in fixed.TASKS), "Avg"]
+    return heading(
+        [(title, width, "<") for title, width in name_titles.items()]
+        + [(title, fixed.SCORE_WIDTH, ">") for title in scores]
+        + [(delta_title, fixed.DELTA_WIDTH, ">"), ("Status", fixed.STATUS_WIDTH, ">")]
+    )
+
+
+def run_header() -> list[str]:
+    """The two lines ahead of :func:`run_lines`."""
+    titles = heading([(title, width, "<") for title, width in fixed.RUN_REPORT_COLUMNS], " ")
+    return [titles, "-" * fixed.RUN_REPORT_RULE]
 
 
 def run_lines(runs: DataFrame, order_cols: list[str]) -> DataFrame:
@@ -64,12 +78,14 @@ def run_lines(runs: DataFrame, order_cols: list[str]) -> DataFrame:
     def cell(value: Column, width: int) -> Column:
         return _left(F.coalesce(value, F.lit("-")), width)
 
-    line = F.concat(
-        cell(F.col("method"), 12), F.lit(" "),
-        cell(number_text(F.col("latency_ms"), 1), 14), F.lit(" "),
-        cell(number_text(F.col("throughput_tok_per_sec"), 1), 14), F.lit(" "),
-        cell(number_text(F.col("peak_memory_mb"), 1), 12), F.lit(" "), shown,
-    )
+    cells = [
+        F.col("method"),
+        number_text(F.col("latency_ms"), 1),
+        number_text(F.col("throughput_tok_per_sec"), 1),
+        number_text(F.col("peak_memory_mb"), 1),
+    ]
+    widths = [width for _, width in fixed.RUN_REPORT_COLUMNS]
+    line = F.concat_ws(" ", *[cell(value, width) for value, width in zip(cells, widths)], shown)
     return runs.select(*order_cols, line.alias("line"))
 
 
@@ -81,22 +97,22 @@ def engine_lines(
     def num(name: str, digits: int) -> Column:
         return number_text(F.col(name), digits)
 
-    rows = [
-        ("Label", F.col("label")),
-        ("Prompt eval (pp256)", F.concat(num("prompt_eval_tok_s", 2), F.lit(" ± "),
-                                         num("prompt_eval_std", 2), F.lit(" tok/s"))),
-        ("Generation  (tg64)", F.concat(num("generation_tok_s", 2), F.lit(" ± "),
-                                        num("generation_std", 2), F.lit(" tok/s"))),
-        ("Latency (256+64 tok)", F.concat(num("latency_total_ms", 1), F.lit(" ms"))),
-        ("Throughput overall", F.concat(num("throughput_overall_tok_s", 2), F.lit(" tok/s"))),
-        ("Peak RAM", F.concat(F.col("peak_ram_mb").cast("string"), F.lit(" MB  (Δ "),
-                              F.col("ram_delta_mb").cast("string"), F.lit(" MB)"))),
-        ("Avg power (VDD_IN)", F.concat(num("avg_power_mw", 0), F.lit(" mW  ("),
-                                        F.col("n_samples").cast("string"), F.lit(" samples)"))),
-        ("Avg GPU util", F.concat(num("avg_gpu_util_pct", 1), F.lit(" %"))),
-        ("Energy / token", F.concat(num("energy_per_token_mj", 2), F.lit(" mJ"))),
-        ("Speedup vs HF-FP16", F.concat(num("speedup_vs_hf_fp16", 2),
-                                        F.lit(f"x  (HF baseline = {baseline} tok/s)"))),
-    ]
-    lines = F.array(*[F.concat(F.lit(f"  {title:<22}: "), text) for title, text in rows])
+    texts = [
+        F.col("label"),
+        F.concat(num("prompt_eval_tok_s", 2), F.lit(" ± "), num("prompt_eval_std", 2), F.lit(" tok/s")),
+        F.concat(num("generation_tok_s", 2), F.lit(" ± "), num("generation_std", 2), F.lit(" tok/s")),
+        F.concat(num("latency_total_ms", 1), F.lit(" ms")),
+        F.concat(num("throughput_overall_tok_s", 2), F.lit(" tok/s")),
+        F.concat(
+            F.col("peak_ram_mb").cast("string"), F.lit(" MB  (Δ "), F.col("ram_delta_mb").cast("string"), F.lit(" MB)")
+        ),
+        F.concat(num("avg_power_mw", 0), F.lit(" mW  ("), F.col("n_samples").cast("string"), F.lit(" samples)")),
+        F.concat(num("avg_gpu_util_pct", 1), F.lit(" %")),
+        F.concat(num("energy_per_token_mj", 2), F.lit(" mJ")),
+        F.concat(num("speedup_vs_hf_fp16", 2), F.lit(f"x  (HF baseline = {baseline} tok/s)")),
+    ]
+    width = fixed.ENGINE_REPORT_WIDTH
+    lines = F.array(
+        *[F.concat(F.lit(f"  {title:<{width}}: "), text) for title, text in zip(fixed.ENGINE_REPORT_TITLES, texts)]
+    )
     return table.select("label", F.posexplode(lines).alias("ord", "line"))
