@@ -281,7 +281,8 @@ ORACLE["mean_throughput_by_model"] = (
 
 
 def _points(spark, sf):
-    return pivots.memory_perplexity_points(_merged(spark, sf))
+    families = pivots.complete_families(_bench(spark, sf), _ppl(spark, sf))
+    return pivots.memory_perplexity_points(_merged(spark, sf), families)
 
 
 QUERIES["memory_perplexity_points"] = _points

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitledger.operators.filters import dropna_metric, present
-from bitledger.operators.merge import drop_and_derive, merged_sums, with_labels
+from bitledger.operators.merge import drop_and_derive, merged_sums, parse_model_dir, with_labels
 from bitledger.operators.prefix import number_rows, rank_of_values
 
 
@@ -78,14 +78,23 @@ def summary_by_hardware_method(bench: DataFrame) -> DataFrame:
     )
 
 
-def memory_perplexity_points(merged: DataFrame) -> DataFrame:
+def complete_families(bench: DataFrame, ppl: DataFrame) -> DataFrame:
+    """Families with a complete point, from directories alone: those with a memory value and a result."""
+    measured = bench.where(F.col("peak_memory_mb").isNotNull()).select("model_dir").distinct()
+    rated = ppl.where(F.col("perplexity").isNotNull()).select("model_dir").distinct()
+    return parse_model_dir(measured.join(rated, "model_dir", "left_semi")).select("model_family").distinct()
+
+
+def memory_perplexity_points(merged: DataFrame, families: DataFrame | None = None) -> DataFrame:
     """Points (memory, perplexity) with the label and marker of their group.
 
+    Groups are ranked over ``families`` (see :func:`complete_families`), else over the points.
+
     ``family_rank`` and ``method_label`` give the order of the groups; seven markers repeat
     over the families.
     """
     points = with_labels(dropna_metric(merged, ["peak_memory_mb", "perplexity"]))
-    ranked = rank_of_values(points, "model_family", "family_rank")
+    ranked = rank_of_values(points, "model_family", "family_rank", families)
     return ranked.select(
         "model_family",
         "method_label",

@@ -116,14 +116,17 @@ def number_rows(
     ).drop("_first", "_size", "_block")
 
 
-def rank_of_values(df: DataFrame, col: str, out_col: str) -> DataFrame:
+def rank_of_values(df: DataFrame, col: str, out_col: str, known: DataFrame | None = None) -> DataFrame:
     """Position of a row's value among the distinct values in sorted order, from 0.
 
+    ``known`` may give a table with the column that has just the values of ``df``, where those
+    are found more cheaply than from its rows.
+
     Only distinct values are ranked, in ranges, so no task sees all of them and the rows
     themselves are not sorted. The planner broadcasts the ranks if they turn out small and
     splits hot values otherwise.
     """
-    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    values = (df if known is None else known).select(col).where(F.col(col).isNotNull()).distinct()
     one = values.withColumn("_one", F.lit(1).cast("bigint"))
     ranks = running_total(one, [col], "_one", out_col).drop("_one")
     return df.join(ranks, col)
