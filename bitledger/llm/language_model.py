@@ -134,6 +134,13 @@ class _Codes(dict):
         return value
 
 
+class _Counts(dict):
+    """Counts of words; a word without one was never seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 def features(texts: list[list[bytes]], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weight rows and class of each token (words and one end a text), and the text it is of."""
     pad = 4
@@ -195,20 +202,20 @@ def feature_sums(texts: DataFrame, weights: np.ndarray, vocabulary: Vocabulary)
         w, bias, common = shared.value
         codes = _Codes(common)
         seen = np.zeros(ROWS * CLASSES, np.float32)
-        expected = np.zeros((ROWS, CLASSES), np.float32)
+        expected = np.zeros((CLASSES, ROWS))
         for part in _in_chunks(batches, 0):
             every, target, _ = features(part, codes)
             for start in range(0, len(target), _CHUNK):
                 rows, classes = every[:, start : start + _CHUNK], target[start : start + _CHUNK]
                 shares = np.exp(class_logs(w, bias, rows))
-                for kind in rows:
-                    order = np.argsort(kind, kind="stable")
-                    ordered = kind[order]
-                    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                    expected[ordered[heads]] += np.add.reduceat(shares[order], heads, axis=0)
-                    found, n = np.unique(kind.astype(np.int64) * CLASSES + classes, return_counts=True)
-                    seen[found] += n
-        both = np.stack([seen.reshape(ROWS, CLASSES), expected])
+                by_class = np.ascontiguousarray(shares.T, np.float64)
+                for k, kind in enumerate(rows):
+                    first, last = _STARTS[k], [*_STARTS[1:], ROWS][k]
+                    inner = kind - first
+                    for c in range(CLASSES):
+                        expected[c, first:last] += np.bincount(inner, by_class[c], minlength=last - first)
+                    np.add.at(seen, kind * CLASSES + classes, np.float32(1))
+        both = np.stack([seen.reshape(ROWS, CLASSES), expected.T.astype(np.float32)])
         blocks = [k for k in range(0, ROWS, _BLOCK) if both[:, k : k + _BLOCK].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(blocks, pa.int64()), pa.array([both[:, k : k + _BLOCK].tobytes() for k in blocks], pa.binary())],
@@ -272,7 +279,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weig
             wanted.clear()
 
         for batch in batches:
-            for b, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            for b, text in zip(batch.column(0).to_pylist(), utf8(batch.column(3))):
                 words = wanted.setdefault(b, {END})
                 held -= len(words)
                 words.update(space_words(text or b""))
@@ -282,13 +289,14 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weig
                     held = 0
         yield from done()
 
-    asked = dealt.select("batch", "text").mapInArrow(ask, "batch bigint, w binary")
+    # All columns, needed or not: so both readers share one exchange of the texts.
+    asked = dealt.mapInArrow(ask, "batch bigint, w binary")
     answers = asked.join(counts, "w").select("batch", "w", "c")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(group: pa.Table, known: pa.Table) -> pa.Table:
         w, words_known = shared.value
-        counted = dict(zip(known.column("w").to_pylist(), known.column("c").to_pylist()))
+        counted = _Counts(zip(known.column("w").to_pylist(), known.column("c").to_pylist()))
         codes = _Codes(words_known.common)
         rows: list[np.ndarray] = []
         for texts in _in_chunks(iter(group.select(["text"]).to_batches()), 0):
@@ -298,7 +306,11 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weig
                 part = slice(start, start + _CHUNK)
                 found = class_logs(w, words_known.bias, every[:, part])
                 logs[part] = found[np.arange(found.shape[0]), classes[part]]
-            c = np.array([n for words in texts for n in (*(counted.get(x, 0) for x in words), counted.get(END, 0))])
+            flat: list[int] = []
+            for words in texts:
+                flat += map(counted.__getitem__, words)
+                flat.append(counted[END])
+            c = np.array(flat, np.int64)
             score = logs / np.log(10) + words_known.in_class(classes, c)
             size = len(texts)
             rows.append(
