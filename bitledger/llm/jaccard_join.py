@@ -35,7 +35,7 @@ WIDTH = 5
 PERCENT = 80
 # Numbers of classes and set elements up to which a block is one tree in one task.
 BLOCK_DOCS, BLOCK_ELEMENTS = 2000, 4_000_000
-# Document frequencies above are counted as this one; commoner keys are never needed.
+# Document frequencies above are counted as this one; among such elements the hash decides.
 COMMON = 64
 _CHUNK_ELEMENTS = 1_500_000
 _KEY_BITS = 48
