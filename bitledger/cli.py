@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from bitledger.functions import fixed_values as fixed
 from bitledger.operators import pivots
 from bitledger.operators.merge import with_labels
 from bitledger.plans import accuracy_tables, engine_tables, perplexity_run, results
+from bitledger.schemas import BENCHMARK_RUN
 from bitledger.session import build_session
 from bitledger.sinks import reports, tables
+from bitledger.sources.runs import read_benchmark_csv
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -50,13 +53,17 @@ def _parser() -> argparse.ArgumentParser:
         dataset={"default": "wikitext2"}, corpus={"required": True, "help": "Parquet path or table"},
         output={"default": None},
     )
+    command(
+        "run-report", "benchmark runs as text lines in order of their time",
+        runs={"default": "./results/benchmark_*.csv"},
+    )
     return parser
 
 
 def _show(lines: DataFrame) -> None:
-    """Print a report of a few lines."""
+    """Print a report; its lines come to the driver part by part."""
     order = [c for c in lines.columns if c != "line"] or ["line"]
-    for row in lines.orderBy(*order).collect():
+    for row in lines.orderBy(*order).toLocalIterator():
         print(row.line)
 
 
@@ -101,14 +108,26 @@ def _engine(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _perplexity(spark: SparkSession, args: argparse.Namespace) -> None:
+    start = time.perf_counter()
     row = perplexity_run.perplexity_result(
         spark, args.model_path, args.method, args.dataset, {args.dataset: args.corpus}
     ).cache()  # one row, printed and written
+    row.count()
+    row = row.withColumn("eval_time_s", F.lit(round(time.perf_counter() - start, 2)))
     if args.output:
         tables.write_results_json(row, args.output)
     _show(row.select(F.to_json(F.struct("*")).alias("line")))
 
 
+def _run_report(spark: SparkSession, args: argparse.Namespace) -> None:
+    runs = read_benchmark_csv(spark, args.runs)
+    lacking = [f for f in BENCHMARK_RUN if f.name not in runs.columns]
+    runs = runs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in lacking})
+    for line in reports.run_header():
+        print(line)
+    _show(reports.run_lines(runs, ["timestamp", "model_name"]))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = _parser().parse_args(argv)
     run = {
@@ -117,6 +136,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         "accuracy-by-scheme": _accuracy,
         "engine-summary": _engine,
         "perplexity": _perplexity,
+        "run-report": _run_report,
     }[args.command]
     run(spark or build_session(), args)
 

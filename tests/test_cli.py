@@ -32,4 +32,17 @@ def test_engine_command(spark, tmp_path, capsys):
 def test_perplexity_command(spark, tmp_path, capsys):
     spark.createDataFrame([(0, "a b a")], "doc_id long, text string").write.parquet(f"{tmp_path}/corpus")
     main(["perplexity", "--model-path", "m", "--corpus", f"{tmp_path}/corpus", "--output", f"{tmp_path}/out"], spark)
-    assert json.loads(capsys.readouterr().out)["model"] == "m"
+    printed = json.loads(capsys.readouterr().out)
+    assert list(printed) == ["model", "method", "dataset", "perplexity", "eval_time_s"] and printed["eval_time_s"] > 0
+
+
+def test_run_report(spark, tmp_path, capsys):
+    write(
+        f"{tmp_path}/benchmark_1.csv",
+        "model_name,method,latency_ms,throughput_tok_per_sec,timestamp\nm,awq,10.04,5.0,2026-01-02\nm,rtn,20.0,,2026-01-01\n",
+    )
+    main(["run-report", "--runs", f"{tmp_path}/benchmark_*.csv"], spark)
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith("Method       Latency(ms)") and set(lines[1]) == {"-"}
+    assert lines[2].split() == ["rtn", "20.0", "-", "-", "N/A"]
+    assert lines[3].split() == ["awq", "10.0", "5.0", "-", "N/A"]
