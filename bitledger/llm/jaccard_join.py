@@ -40,7 +40,7 @@ COMMON = 64
 _CHUNK_ELEMENTS = 1_500_000
 _KEY_BITS = 48
 _KEY_MASK = np.uint64((1 << _KEY_BITS) - 1)
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 
 
 class _WordHashes(dict):
@@ -188,7 +188,7 @@ def shared_elements(docs: DataFrame) -> DataFrame:
     Elements common within a task are sent on once instead of once a set, so that a passage in
     a third of all documents does not fill its bucket.
     """
-    buckets = partitions(docs.sparkSession)
+    buckets = 2 * partitions(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = _WordHashes(), set()
@@ -250,6 +250,7 @@ def shared_elements(docs: DataFrame) -> DataFrame:
         if b >= buckets:
             return pa.table({"bucket": pa.array([b - buckets] * group.num_rows, pa.int64()), "blob": group.column("blob")})
         parts = [_parts(x.as_py(), np.uint64) for x in group.column("blob")]
+        del group
         names = np.concatenate([p[0] for p in parts])
         sizes = np.concatenate([p[1] for p in parts])
         keys = np.concatenate([p[3] for p in parts])

@@ -30,8 +30,10 @@ SCRIPT_SHARE = 0.01
 # Bound of the model's size; more languages are refused, not dropped.
 MAX_LANGUAGES = 256
 # Distinct words a task remembers before it forgets them and scores them anew.
-_CACHE = 200_000
-_CHUNK_WORDS = 1_000_000
+_CACHE = 100_000
+_CHUNK_WORDS = 300_000
+# Words whose n-grams are hashed at once (some hundred bytes each for each array).
+_SLICE = 20_000
 UNKNOWN = "und"
 
 # First code points of script ranges, ascending; each range reaches to the next start.
@@ -117,6 +119,10 @@ class LanguageModel:
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Letters of each word and its scores; a word without letters scores 0 everywhere."""
+        slices = [self._slice(words[k : k + _SLICE]) for k in range(0, len(words), _SLICE)]
+        return np.concatenate([x for x, _ in slices]), np.concatenate([x for _, x in slices])
+
+    def _slice(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         parts = np.array([letters_and_script(w) for w in words], np.int64).reshape(-1, 2)
         letters, scripts = parts[:, 0], parts[:, 1]
         buckets, place = gram_buckets(words, len(self.logs))
@@ -142,11 +148,14 @@ def fit(docs: DataFrame, buckets: int = BUCKETS) -> LanguageModel:
                 total = sums.setdefault(lang, np.zeros(buckets + len(SCRIPTS), np.int64))
                 if not found:
                     continue
-                kinds = np.array([letters_and_script(w) for w in found], np.int64)
-                times = np.array(list(found.values()), np.int64) * (kinds[:, 0] > 0)
-                at, place = gram_buckets(list(found), buckets)
-                total[:buckets] += np.bincount(at, times[place], minlength=buckets).astype(np.int64)
-                np.add.at(total, buckets + kinds[:, 1], times * kinds[:, 0])
+                every, numbers = list(found), list(found.values())
+                for k in range(0, len(every), _SLICE):
+                    part = every[k : k + _SLICE]
+                    kinds = np.array([letters_and_script(w) for w in part], np.int64)
+                    times = np.array(numbers[k : k + _SLICE], np.int64) * (kinds[:, 0] > 0)
+                    at, place = gram_buckets(part, buckets)
+                    total[:buckets] += np.bincount(at, times[place], minlength=buckets).astype(np.int64)
+                    np.add.at(total, buckets + kinds[:, 1], times * kinds[:, 0])
             words.clear()
 
         for batch in batches:
