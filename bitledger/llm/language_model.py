@@ -261,7 +261,8 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weig
     words and gets them in a cogroup, so no task needs the whole vocabulary.
     """
     spark = docs.sparkSession
-    batches_wanted = 2 * partitions(spark)
+    # Larger batches ask for fewer counts in all, since their texts share words.
+    batches_wanted = partitions(spark)
     shared = spark.sparkContext.broadcast((weights, vocabulary))
     dealt = docs.select(
         F.pmod(F.xxhash64(F.lit("batch"), "doc_id", "text"), F.lit(batches_wanted)).alias("batch"), "doc_id", "held_out", "text"
