@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: every pair of documents with similar shingle sets, and their components.
+"""N-gram Jaccard join: documents with similar shingle sets, as components or as every link.
 
 1. Each document becomes its set of hashed shingles. Equal sets are one class from here on.
 2. All shingles are dealt out by hash to buckets that find which of them occur in two classes
@@ -12,12 +12,14 @@
 4. Blocks too large for a task are cut by size range and hash, linked inside, linked between
    representatives of what is connected, and then between pieces not yet connected.
 
-Links are found until components are known: a pair that is connected already is not compared,
-so thousands of close copies need about as many comparisons as there are copies.
+For components, links are found until they are known: a pair that is connected already is not
+compared, so thousands of close copies need about as many comparisons as there are copies.
+``class_pairs`` and ``link_counts`` compare such pairs too and return every link.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitledger.llm.components import connected_components
-from bitledger.llm.signature_tree import Sets, spanning_links
+from bitledger.llm.signature_tree import Sets, all_links, spanning_links
 from bitledger.llm.text import partitions, space_words, table, utf8
 from bitledger.session import shared_folder
 
@@ -337,10 +339,11 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def _blocks_to_links(rows: DataFrame, percent: int) -> DataFrame:
+def _blocks_to_links(rows: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """Links ``(a, b)`` inside blocks. ``rows``: bin, block, side, label, sk, n, elements.
 
     A bin holds whole blocks. Where a block has sides 0 and 1, only pairs across are compared.
+    ``every``: also links between sets that are connected already.
     """
 
     def link(group: pa.Table) -> pa.Table:
@@ -352,24 +355,23 @@ def _blocks_to_links(rows: DataFrame, percent: int) -> DataFrame:
         order = np.lexsort((sk, sides, blocks))
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(blocks[order]) != 0, [True]]))
         column = group.column("elements").combine_chunks()
-        a, b = [], []
+        a, b = array("q"), array("q")
         for start, stop in zip(cuts[:-1], cuts[1:]):
             at = order[start:stop]
             split = int(np.searchsorted(sides[at], 1))
             sets = [np.frombuffer(column[int(k)].as_py(), np.int64) for k in at]
             left = Sets(n[at[:split]], sets[:split])
             right = Sets(n[at[split:]], sets[split:]) if split < len(at) else None
-            for x, y in spanning_links(left, right, labels[at], percent):
+            links = all_links(left, right, percent) if every else spanning_links(left, right, labels[at], percent)
+            for x, y in links:
                 a.append(sk[at[x]])
                 b.append(sk[at[y]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return rows.groupBy("bin").applyInArrow(link, "a bigint, b bigint")
 
 
 
-
-
 def _band(n: Column, percent: int) -> Column:
     """Size range of a set; sets that link are in the same or in neighbouring ranges."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
@@ -421,6 +423,11 @@ def _large_blocks(members: DataFrame, percent: int) -> DataFrame:
         .join(often.select("component", "band", "label", F.col("label").alias("class")), ["component", "band", "label"], "left")
     )
     cut = _piece(sorted_out, "component", "band", "class").checkpoint()
+    return first.union(second).union(_between(cut, percent))
+
+
+def _between(cut: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Links inside pieces and between pieces whose sizes allow it, but not within a class."""
     names = cut.select("component", "band", "class", "piece").distinct()
     left = names.select("component", *[F.col(c).alias(f"{c}_a") for c in ("band", "class", "piece")])
     right = names.select("component", *[F.col(c).alias(f"{c}_b") for c in ("band", "class", "piece")])
@@ -446,16 +453,14 @@ def _large_blocks(members: DataFrame, percent: int) -> DataFrame:
         & (F.col("s.piece") == F.col("c.piece"))
         & F.col("s.class").eqNullSafe(F.col("c.class")),
     )
-    third = _blocks_to_links(
-        met.select(F.col("s.block").alias("bin"), "s.block", "s.side", "c.label", "c.sk", "c.n", "c.elements"), percent
+    return _blocks_to_links(
+        met.select(F.col("s.block").alias("bin"), "s.block", "s.side", "c.label", "c.sk", "c.n", "c.elements"), percent, every
     )
-    return first.union(second).union(third)
 
 
-def class_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links ``(a, b)`` between set identities whose components are those of all links."""
-    spark = docs.sparkSession
-    shared_folder(spark)
+def _members(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sets with their block (``component``), and the blocks too large for one task."""
+    shared_folder(docs.sparkSession)
     found = candidates(docs, percent).checkpoint()
     keys = found.select("sk", F.explode("prefix").alias("key"))
     least = keys.groupBy("key").agg(F.min("sk").alias("low"), F.max("sk").alias("high")).where("low < high")
@@ -466,6 +471,13 @@ def class_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.count("*").alias("docs"), F.sum(F.octet_length("elements") / 8).alias("size")
     )
     large = totals.where((F.col("docs") > BLOCK_DOCS) | (F.col("size") > BLOCK_ELEMENTS)).select("component").checkpoint()
+    return members, large
+
+
+def class_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links ``(a, b)`` between set identities whose components are those of all links."""
+    spark = docs.sparkSession
+    members, large = _members(docs, percent)
     bins = 4 * partitions(spark)
     small = members.join(large, "component", "left_anti")
     links = _blocks_to_links(
@@ -485,6 +497,48 @@ def class_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return links.union(_large_blocks(members.join(large, "component", "left_semi"), percent))
 
 
+def class_pairs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every link ``(a, b)`` between different sets, each once with ``a < b``.
+
+    ``a`` and ``b`` are the identities ``sk`` of ``set_summary``, which has the rows of each set;
+    rows of one set are linked without a pair. The rows grow with the square of a group of
+    different near copies, since they are the join itself; a task makes those of one block, or
+    of two pieces of a large one.
+    """
+    members, large = _members(docs, percent)
+    block = F.col("component")
+    small = members.join(large, "component", "left_anti").select(
+        block.alias("bin"), block.alias("block"), F.lit(0).alias("side"), F.col("sk").alias("label"), "sk", "n", "elements"
+    )
+    links = _blocks_to_links(small, percent, every=True)
+    if not large.isEmpty():
+        plain = members.join(large, "component", "left_semi").withColumns(
+            {"band": _band(F.col("n"), percent), "class": F.lit(None).cast("bigint"), "label": F.col("sk")}
+        )
+        cut = _piece(plain, "component", "band", "class").checkpoint()
+        links = links.union(_between(cut, percent, every=True))
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def link_counts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, row_key, sk, n, n_links)`` per row of ``docs``: how many other rows it links with.
+
+    Rows of equal sets link with each other, rows with empty sets (null ``sk``) with none.
+    """
+    shared_folder(docs.sparkSession)
+    sets = set_summary(docs).checkpoint()
+    held = sets.where(F.col("sk").isNotNull()).groupBy("sk").agg(F.count("*").alias("_rows")).checkpoint()
+    pairs = class_pairs(docs, percent)
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(held.withColumnRenamed("sk", "b"), "b").groupBy("a").agg(F.sum("_rows").alias("_others"))
+    linked = held.join(others.withColumnRenamed("a", "sk"), "sk", "left").select(
+        "sk", (F.col("_rows") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links")
+    )
+    return sets.join(linked, "sk", "left").select(
+        "doc_id", "row_key", "sk", "n", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")
+    )
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id, class_id, row_key)`` per row of ``docs``.
 

@@ -145,6 +145,42 @@ def _children(i: np.ndarray, j: np.ndarray, size_a: int, size_b: int, same: bool
     return x[keep], y[keep]
 
 
+def _traverse(tree_a: Tree, tree_b: Tree, same: bool, percent: int, needless=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets, as positions in the trees, that may link and that ``needless`` leaves."""
+    top = max(len(tree_a.levels), len(tree_b.levels))
+    i = j = np.zeros(1, np.int64)
+    for level in range(top - 1, -1, -1):
+        if needless:
+            gone = needless(level, i, j)
+            i, j = i[~gone], j[~gone]
+        if same and level == 0:
+            i, j = i[i < j], j[i < j]
+        fits = _possible(tree_a.nodes(level), tree_b.nodes(level), i, j, percent)
+        i, j = i[fits], j[fits]
+        if level:
+            i, j = _children(
+                i, j, len(tree_a.nodes(level - 1)[1]), len(tree_b.nodes(level - 1)[1]), same,
+                level < len(tree_a.levels), level < len(tree_b.levels),
+            )
+    return i, j
+
+
+def all_links(left: Sets, right: Sets | None, percent: int) -> Iterator[tuple[int, int]]:
+    """Every link within ``left``, or between ``left`` and ``right`` where that is given, once."""
+    if not len(left) or (right is not None and not len(right)):
+        return
+    other = left if right is None else right
+    shift = 0 if right is None else len(left)
+    bits = bits_for(left, other)
+    tree_a = Tree(left, bits)
+    tree_b = tree_a if right is None else Tree(right, bits)
+    i, j = _traverse(tree_a, tree_b, right is None, percent)
+    for x, y in zip(i, j):
+        a, b = int(tree_a.order[x]), int(tree_b.order[y])
+        if linked(left.elements[a], other.elements[b], left.sizes[a], other.sizes[b], percent):
+            yield a, b + shift
+
+
 def spanning_links(
     left: Sets, right: Sets | None, labels: np.ndarray, percent: int
 ) -> Iterator[tuple[int, int]]:
@@ -177,24 +213,14 @@ def spanning_links(
             if check(a, b):
                 yield a, b
 
-    top = max(len(tree_a.levels), len(tree_b.levels))
-    i = j = np.zeros(1, np.int64)
-    for level in range(top - 1, -1, -1):
+    def joined(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         roots = forest.roots()
         at_a, at_b = min(level, len(tree_a.levels) - 1), min(level, len(tree_b.levels) - 1)
         low_a, high_a = _uniform(roots[tree_a.order], len(tree_a.levels))[at_a]
         low_b, high_b = _uniform(roots[tree_b.order + shift], len(tree_b.levels))[at_b]
-        joined = (low_a[i] == high_a[i]) & (low_b[j] == high_b[j]) & (low_a[i] == low_b[j])
-        i, j = i[~joined], j[~joined]
-        if right is None and level == 0:
-            i, j = i[i < j], j[i < j]
-        fits = _possible(tree_a.nodes(level), tree_b.nodes(level), i, j, percent)
-        i, j = i[fits], j[fits]
-        if level:
-            i, j = _children(
-                i, j, len(tree_a.nodes(level - 1)[1]), len(tree_b.nodes(level - 1)[1]), right is None,
-                level < len(tree_a.levels), level < len(tree_b.levels),
-            )
+        return (low_a[i] == high_a[i]) & (low_b[j] == high_b[j]) & (low_a[i] == low_b[j])
+
+    i, j = _traverse(tree_a, tree_b, right is None, percent, joined)
     for a, b in zip(tree_a.order[i].tolist(), tree_b.order[j].tolist()):
         if check(a, b):
             yield a, b + shift

@@ -136,3 +136,32 @@ def test_components_of_paths_stars_and_nothing(spark):
     rows = connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r.node: r.component for r in rows} == {k: 0 for k in range(61)} | {k: 1000 for k in range(1000, 1200)}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize("most", [6, 2000])
+def test_every_link_of_chained_near_copies_is_returned(spark, monkeypatch, most):
+    rng = random.Random(11)
+    monkeypatch.setattr(jj, "BLOCK_DOCS", most)
+    words = [f"w{k}" for k in range(3000)]
+    line = sentence(rng, 200, words).split()
+    texts = [" ".join(line[k : k + 120]) for k in range(0, 80, 5)]
+    base = sentence(rng, 90, words).split()
+    for k in range(40):
+        edited = list(base)
+        edited[k] = "other"
+        texts.append(" ".join(edited))
+    texts += [texts[0], texts[-1], "a b", "A  b", "", None]
+    sets = [shingles(t) for t in texts]
+    links = [
+        (i, j)
+        for i, a in enumerate(sets)
+        for j, b in enumerate(sets)
+        if i != j and a and b and 100 * len(a & b) >= 80 * len(a | b)
+    ]
+    docs = documents(spark, texts)
+    rows = rows_by_id(jj.link_counts(docs))
+    assert [rows[k]["n_links"] for k in range(len(texts))] == [sum(i == k for i, _ in links) for k in range(len(texts))]
+    pairs = [(r.a, r.b) for r in jj.class_pairs(docs).collect()]
+    want = {tuple(sorted((rows[i]["sk"], rows[j]["sk"]))) for i, j in links if sets[i] != sets[j]}
+    assert len(pairs) == len(want) and set(pairs) == want
+    assert jj.class_links(docs).count() < len(want) / 2
