@@ -104,7 +104,7 @@ QUERIES["merge_parts"] = _merge_parts
 ORACLE["merge_parts"] = (
     cte("eval_files")
     + ", s AS (SELECT * REPLACE (CASE WHEN task IN ('mmlu', 'ifeval') THEN 'gsm8k' ELSE task END AS task) FROM eval_files) "
-    + "SELECT label, part, task, metric_key, file_mtime, value FROM s QUALIFY RANK() OVER (PARTITION BY label, task ORDER BY {_PART_ORDER} DESC) = 1"
+    + f"SELECT label, part, task, metric_key, file_mtime, value FROM s QUALIFY RANK() OVER (PARTITION BY label, task ORDER BY {_PART_ORDER} DESC) = 1"
 )
 
 
