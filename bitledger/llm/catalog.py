@@ -11,6 +11,7 @@ from bitledger.llm.language_model import op5_lm_scoring
 from bitledger.llm.licenses import op10_license_scan
 from bitledger.llm.mixing import op6_mixing
 from bitledger.llm.quality import op2_quality
+from bitledger.llm.quality_rules import OP11_SQL, op11_quality_rules
 from bitledger.llm.url_filter import op3_url_filter
 
 QUERIES = {
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "op11_quality_rules": op11_quality_rules,
 }
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
     "op4_chat_format": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op11_quality_rules": OP11_SQL,
 }
