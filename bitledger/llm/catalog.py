@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bitledger.llm.alignment import op12_alignment
 from bitledger.llm.chat import OP4_SQL, op4_chat_format
 from bitledger.llm.decontaminate import OP8_SQL, op8_decontaminate
+from bitledger.llm.divergence import OP13_SQL, op13_divergence
 from bitledger.llm.fingerprints import op7_fingerprints
 from bitledger.llm.jaccard_join import OP1_SQL, op1_ngram_jaccard
 from bitledger.llm.language import op9_language_id
@@ -26,10 +28,13 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
     "op11_quality_rules": op11_quality_rules,
+    "op12_alignment": op12_alignment,
+    "op13_divergence": op13_divergence,
 }
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
     "op4_chat_format": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
     "op11_quality_rules": OP11_SQL,
+    "op13_divergence": OP13_SQL,
 }
