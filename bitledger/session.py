@@ -53,7 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if not folder and not context.getCheckpointDir() and not context.master.startswith("local["):
+    if not folder and not context.getCheckpointDir() and not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bitledger-"))
@@ -63,3 +63,12 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, readable by every executor."""
     return f"{shared_folder(spark)}/bitledger-{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a path that ``scratch_path`` gave, wherever the shared folder is."""
+    if "/bitledger-" not in path:
+        raise ValueError(f"not a scratch path: {path}")
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
