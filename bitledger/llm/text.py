@@ -54,3 +54,15 @@ def binary_list(values: list[bytes]) -> pa.Array:
 
 def int64(values) -> np.ndarray:
     return np.asarray(values, dtype=np.int64)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
