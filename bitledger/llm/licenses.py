@@ -1,10 +1,12 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-Tokens of the templates are ordered by their frequency in the whole corpus, rarest first. A
-block whose token set holds at least ``threshold`` of a template's tokens must share one of
-the template's rarest ones (its prefix), be long enough, and, counted from each shared prefix
-token on, leave enough tokens in both orders. What passes is verified exactly. The templates
-are a bounded parameter and travel to the tasks; documents are not moved.
+The blocks of a text are its runs of words, for each template up to the template's words divided
+by the threshold, wherever lines end. Tokens of the templates are ordered by their frequency in
+the whole corpus, rarest first. A block that holds at least ``threshold`` of a template's tokens
+holds one of its rarest (the prefix), so only words near one are looked at; with that one as its
+rarest, the tokens after it in the order and those around it must suffice (position), and the
+text must be long enough (length). What passes is verified exactly by a sliding block. The
+templates are a parameter and travel to the tasks; documents are not moved.
 """
 
 from __future__ import annotations
@@ -19,8 +21,6 @@ from pyspark.sql import functions as F
 from bitledger.llm.text import alnum_words, table, utf8
 
 THRESHOLD = 0.8
-# Bound of the templates, in bytes of text; they are parameters, not data.
-MAX_TEMPLATE_BYTES = 2_000_000
 
 PHRASES = [
     ("gnu general public license", "gpl"),
@@ -81,68 +81,85 @@ def template_frequencies(docs: DataFrame, templates: list[tuple[str, str]]) -> d
 
 
 class TemplateJoin:
-    """The templates with their prefixes; finds those that a block of words contains enough of."""
+    """The templates with their prefixes; finds the blocks of a text that hold enough of them."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
         order = {w: k for k, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
         self.order = order
         self.labels: list[str] = []
-        self.sets: list[frozenset[int]] = []
+        self.ranks: list[dict[int, int]] = []
         self.needed: list[int] = []
+        self.width: list[int] = []
         self.prefix: dict[int, list[tuple[int, int]]] = {}
+        # In thousandths, without the rounding of a float product.
+        share = int(round(threshold * 1000))
         for label, text in templates:
-            tokens = sorted({order[w] for w in alnum_words(text.encode())})
+            words = alnum_words(text.encode())
+            tokens = sorted({order[w] for w in words})
             if not tokens:
                 continue
-            # ceil without the rounding of a float product
-            needed = max(1, -(-int(round(threshold * 1000)) * len(tokens) // 1000))
-            t = len(self.sets)
+            needed = max(1, -(-share * len(tokens) // 1000))
+            t = len(self.ranks)
             self.labels.append(label)
-            self.sets.append(frozenset(tokens))
+            self.ranks.append({token: k for k, token in enumerate(tokens)})
             self.needed.append(needed)
+            self.width.append(len(words) * 1000 // share if share else len(words))
             for position, token in enumerate(tokens[: len(tokens) - needed + 1]):
                 self.prefix.setdefault(token, []).append((t, position))
         self.probe = {w for w, k in order.items() if k in self.prefix}
 
-    def match(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) for every template that the block meets."""
+    def match(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, last word, containment) of the blocks that hold enough of a
+        template; blocks of one template that overlap are one, with its best containment."""
         if self.probe.isdisjoint(words):
             return []
-        distinct = set(words)
-        # Other words of the block are in no template and cannot overlap.
-        tokens = sorted(self.order[w] for w in distinct if w in self.order)
-        seen: set[int] = set()
-        for i, token in enumerate(tokens):
+        # Other words are in no template.
+        held = [(k, self.order[w]) for k, w in enumerate(words) if w in self.order]
+        anchors: dict[int, list[tuple[int, int]]] = {}
+        for i, (_, token) in enumerate(held):
             for t, position in self.prefix.get(token, ()):
-                if t not in seen and len(distinct) >= self.needed[t]:
-                    # The first shared token bounds the overlap by what follows it.
-                    rest = min(len(self.sets[t]) - position, len(tokens) - i)
-                    if rest >= self.needed[t]:
-                        seen.add(t)
+                if len(words) >= self.needed[t]:
+                    anchors.setdefault(t, []).append((i, position))
         out = []
-        for t in sorted(seen):
-            shared = len(self.sets[t].intersection(tokens))
-            if shared >= self.needed[t]:
-                out.append((t, shared / len(self.sets[t])))
+        for t in sorted(anchors):
+            out += [(t, *found) for found in self._blocks(t, anchors[t], held)]
         return out
 
-
-def blocks_of(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
-    """The blocks of a text as (first line, last line, words): its lines that have words, and
-    each paragraph (lines up to the next line without words) of two lines or more."""
-    start, paragraph = 0, []
-    lines = text.split(b"\n")
-    for k, line in enumerate(lines):
-        words = alnum_words(line)
-        if words:
-            yield k, k, words
-            if not paragraph:
-                start = k
-            paragraph.append(words)
-        if paragraph and (not words or k == len(lines) - 1):
-            if len(paragraph) > 1:
-                yield start, start + len(paragraph) - 1, [w for part in paragraph for w in part]
-            paragraph = []
+    def _blocks(self, t: int, anchors: list[tuple[int, int]], held: list[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
+        ranks, needed, width = self.ranks[t], self.needed[t], self.width[t]
+        near: set[int] = set()
+        for i, position in anchors:
+            low = high = i
+            while low and held[low - 1][0] > held[i][0] - width:
+                low -= 1
+            while high + 1 < len(held) and held[high + 1][0] < held[i][0] + width:
+                high += 1
+            # The block's rarest token bounds its overlap by what follows in the order.
+            after = {token for _, token in held[low : high + 1] if ranks.get(token, -1) >= position}
+            if min(len(ranks) - position, len(after)) >= needed:
+                near.update(range(low, high + 1))
+        mine = [held[i] for i in sorted(near) if held[i][1] in ranks]
+        counts: dict[int, int] = {}
+        start, open_block = 0, None
+        # Per last word the longest block that fits the width.
+        for at, token in mine:
+            counts[token] = counts.get(token, 0) + 1
+            while mine[start][0] <= at - width:
+                first = mine[start][1]
+                counts[first] -= 1
+                if not counts[first]:
+                    del counts[first]
+                start += 1
+            if len(counts) >= needed:
+                block = (mine[start][0], at, len(counts) / len(ranks))
+                if open_block and block[0] <= open_block[1]:
+                    open_block = (min(open_block[0], block[0]), at, max(open_block[2], block[2]))
+                else:
+                    if open_block:
+                        yield open_block
+                    open_block = block
+        if open_block:
+            yield open_block
 
 
 def phrase_places(words: list[bytes], phrases: list[bytes]) -> list[list[int]]:
@@ -171,17 +188,16 @@ def license_scan(
     matches, labels, score``.
 
     ``base_labels`` comes from the phrases (``n_base`` places, the first and last start word,
-    null without any). ``matches`` lists every pair of a block and a template whose distinct
-    tokens the block holds to at least ``threshold``, as ``(first_line, last_line, label,
-    containment)``. ``labels`` joins both kinds, distinct and sorted; ``score`` is 1 where a
+    null without any). ``matches`` lists the runs of words that hold at least ``threshold`` of a
+    template's distinct tokens within the template's words divided by ``threshold``, as
+    ``(first_word, last_word, label, containment)``; runs of one template that overlap are one.
+    ``labels`` joins both kinds, distinct and sorted; ``score`` is 1 where a
     phrase stands and else the best containment, 0 without matches. Null, empty and wordless
     texts have no words and no labels. Rows are kept as they are; an empty table gives an
     empty result; only ``doc_id`` and ``text`` are read.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
-    if sum(len(text.encode()) for _, text in templates) > MAX_TEMPLATE_BYTES:
-        raise ValueError(f"templates exceed {MAX_TEMPLATE_BYTES} bytes")
     frequency = template_frequencies(docs, templates)
     needles = [phrase.encode() for phrase, _ in phrases]
 
@@ -195,11 +211,7 @@ def license_scan(
                 places = phrase_places(words, needles)
                 base = [p for found in places for p in found]
                 names = {phrases[k][1] for k, found in enumerate(places) if found}
-                matches = []
-                if not join.probe.isdisjoint(words):
-                    for first, last, block in blocks_of(text):
-                        for t, share in join.match(block):
-                            matches.append((first, last, join.labels[t], share))
+                matches = [(first, last, join.labels[t], share) for t, first, last, share in join.match(words)]
                 rows.append(
                     (
                         len(words),
@@ -215,11 +227,11 @@ def license_scan(
             cols = list(zip(*rows)) if rows else [()] * 8
             match_type = pa.list_(
                 pa.struct(
-                    [("first_line", pa.int64()), ("last_line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]
+                    [("first_word", pa.int64()), ("last_word", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]
                 )
             )
             listed = [
-                [dict(zip(("first_line", "last_line", "label", "containment"), m)) for m in ms] for ms in cols[5]
+                [dict(zip(("first_word", "last_word", "label", "containment"), m)) for m in ms] for ms in cols[5]
             ]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -237,7 +249,7 @@ def license_scan(
     return docs.select("doc_id", "text").mapInArrow(
         scan,
         f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
-        "matches array<struct<first_line:bigint,last_line:bigint,label:string,containment:double>>, "
+        "matches array<struct<first_word:bigint,last_word:bigint,label:string,containment:double>>, "
         "labels string, score double",
     )
 

@@ -14,10 +14,11 @@ def brute(text, templates, phrases, threshold=lc.THRESHOLD):
             if words[i : i + len(p)] == p:
                 places.append(i)
                 base.add(label)
-    for _, _, block in lc.blocks_of((text or "").encode()):
-        for label, template in templates:
-            wanted = set(alnum_words(template.encode()))
-            share = len(wanted & set(block)) / len(wanted)
+    for label, template in templates:
+        tokens = alnum_words(template.encode())
+        width = len(tokens) * 1000 // round(threshold * 1000)
+        for i in range(len(words)):
+            share = len(set(tokens) & set(words[i : i + width])) / len(set(tokens))
             if share >= threshold - 1e-12:
                 matched.add(label)
                 best = max(best, share)
@@ -50,9 +51,45 @@ def test_scan_equals_brute_force(spark):
         assert {c: found[k][c] for c in want} == want, text
 
 
-def test_blocks_are_lines_and_paragraphs():
-    text = b"one two\n\nthree\nfour\n--\nfive"
-    assert [(a, b, len(w)) for a, b, w in lc.blocks_of(text)] == [(0, 0, 2), (2, 2, 1), (3, 3, 1), (2, 3, 2), (5, 5, 1)]
+def labels_of(spark, text):
+    return lc.license_scan(documents(spark, [text])).first().labels
+
+
+def test_words_far_apart_are_no_notice(spark):
+    album = "the author released the album last year under a new name and later lost his license to teach mit students"
+    rules = (
+        "Visitors have all the rights that members have. A part of this hall is reserved. No food may be brought in, "
+        "and reproduced keys are not work of ours. Please do not enter without permission."
+    )
+    assert labels_of(spark, album) == "" and labels_of(spark, rules) == ""
+    apache = dict(lc.TEMPLATES)["apache-2.0"]
+    text = apache + "\n" + "\n".join(["this software is released", "to the public under", "terms that mit students know"] * 5)
+    assert labels_of(spark, text) == "apache,apache-2.0"
+
+
+def test_notices_over_lines_and_paragraphs(spark):
+    for breaks in ("\n", "\n\n", "\n * "):
+        for label in ("mit", "bsd", "gpl"):
+            words = dict(lc.TEMPLATES)[label].split()
+            half = len(words) // 2
+            text = "Some words before.\n\n" + " ".join(words[:half]) + breaks + " ".join(words[half:]) + "\nlast lines"
+            row = lc.license_scan(documents(spark, [text])).first()
+            assert label in row.labels.split(","), text
+            (match,) = [m for m in row.matches if m.label == label]
+            assert (match.first_word, match.last_word, match.containment) == (3, 2 + len(words_of(dict(lc.TEMPLATES)[label])), 1.0)
+
+
+def words_of(text):
+    return alnum_words(text.encode())
+
+
+def test_very_long_text_and_many_templates(spark):
+    rng = random.Random(7)
+    notice = dict(lc.TEMPLATES)["bsd"]
+    text = sentence(rng, 150_000) + " " + notice + " " + sentence(rng, 150_000)
+    more = [(f"t{k}", sentence(rng, 40, [f"v{k}" for k in range(9000)])) for k in range(2000)]
+    row = lc.license_scan(documents(spark, [text]), lc.TEMPLATES + more).first()
+    assert row.labels == "bsd" and [(m.first_word, m.last_word) for m in row.matches] == [(150_000, 149_999 + len(words_of(notice)))]
 
 
 def test_empty_table_repeated_rows_and_no_templates(spark):
