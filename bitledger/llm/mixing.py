@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitledger.llm.text import table
+from bitledger.llm.text import table, unused
 from bitledger.session import shared_folder
 
 CYCLE = (5, 2, 1)
@@ -125,22 +125,21 @@ def mix_sources(
     sizes = docs.select("source", word_count(F.col("text")).alias("size"), place_of().alias("place")).checkpoint()
     found = thresholds(sizes, source_targets(sizes, cycle, max_copies)).checkpoint()
     small = found.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
+    plain = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    source, whole, below, place = unused(plain, "_source", "_whole", "_below", "_place")
     limits = found.select(
-        F.col("source").alias("_source"),
+        F.col("source").alias(source),
         F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"),
-        F.col("whole").alias("_whole"),
-        F.col("below").alias("_below"),
-    )
-    plain = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    placed = plain.withColumns({"mix_size": word_count(F.col("text")), "_place": place_of()})
-    joined = placed.join(
-        F.broadcast(limits) if small else limits, F.col("source").eqNullSafe(F.col("_source"))
+        F.col("whole").alias(whole),
+        F.col("below").alias(below),
     )
-    once_more = F.coalesce((F.col("_place") < F.col("_below")).cast("bigint"), F.lit(0))
+    placed = plain.withColumns({"mix_size": word_count(F.col("text")), place: place_of()})
+    joined = placed.join(F.broadcast(limits) if small else limits, F.col("source").eqNullSafe(F.col(source)))
+    once_more = F.coalesce((F.col(place) < F.col(below)).cast("bigint"), F.lit(0))
     return joined.withColumn(
-        "mix_copies", F.least(F.col("_whole") + once_more, F.lit(max_copies).cast("bigint"))
-    ).drop("_source", "_whole", "_below", "_place")
+        "mix_copies", F.least(F.col(whole) + once_more, F.lit(max_copies).cast("bigint"))
+    ).drop(source, whole, below, place)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

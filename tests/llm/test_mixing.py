@@ -78,3 +78,10 @@ def test_repeated_rows_are_taken_alike(spark):
     rows = mx.mix_sources(docs.union(docs)).groupBy("doc_id").agg({"mix_copies": "min"}).count()
     both = mx.mix_sources(docs.union(docs)).select("doc_id", "mix_copies").distinct().count()
     assert rows == both
+
+
+def test_columns_named_like_helpers_stay(spark):
+    docs = documents(spark, ["a b c", "d", None]).selectExpr("*", "1 AS _place", "2 AS _source", "3 AS _whole", "4 AS _below", "5 AS mix_size")
+    rows = mx.mix_sources(docs).collect()
+    assert {(r._place, r._source, r._whole, r._below) for r in rows} == {(1, 2, 3, 4)}
+    assert sorted(r.mix_size for r in rows) == [0, 1, 3]
