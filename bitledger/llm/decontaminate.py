@@ -4,7 +4,9 @@ The test items, normalised to words, are put into one automaton whose states sta
 word sequences that occur in them. Training texts are streamed through it once; the length of
 the longest match that ends at a word tells whether a whole window of some item ends there.
 Items travel to the tasks in blocks of bounded size (``BLOCK_BYTES``), each read and broadcast
-by itself, so a large benchmark needs more time and not more memory. Documents are not moved.
+by itself. A worker holds one automaton at a time, some hundred times its block, and the texts of
+all blocks, so its memory grows with the benchmark's text alone; several blocks are built anew
+for every 16 MB of documents. Documents are not moved.
 """
 
 from __future__ import annotations

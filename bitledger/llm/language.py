@@ -27,8 +27,10 @@ SMOOTHING = 0.5
 SWITCH_PENALTY = 12.0
 # A language is a candidate for a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.01
-# Bound of the model's size; more languages are refused, not dropped.
+# Languages that have all buckets; more share as many numbers.
 MAX_LANGUAGES = 256
+# Languages that a model can have at all; a column with more holds no languages.
+LIMIT = 1 << 15
 # Distinct words a task remembers before it forgets them and scores them anew.
 _CACHE = 100_000
 _CHUNK_WORDS = 300_000
@@ -136,10 +138,14 @@ def fit(docs: DataFrame, buckets: int = BUCKETS) -> LanguageModel:
     """The model of all rows with a text and a language. Every n-gram of every text counts.
 
     Tasks add up per language and bucket before the shuffle; the driver gets one number a
-    language and bucket.
+    language and bucket, at most ``BUCKETS * MAX_LANGUAGES`` of them: beyond so many languages
+    each has fewer buckets.
     """
 
+    whole = buckets
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = whole
         words: dict[str, Counter] = {}
         sums: dict[str, np.ndarray] = {}
 
@@ -178,11 +184,15 @@ def fit(docs: DataFrame, buckets: int = BUCKETS) -> LanguageModel:
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") > 0)
     )
-    # At most MAX_LANGUAGES x (buckets + scripts) rows come to the driver.
-    names = sorted(row[0] for row in trained.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows = sums.toArrow()
+    names = sorted(row[0] for row in trained.select("lang").distinct().limit(LIMIT + 1).collect())
+    if len(names) > LIMIT:
+        raise ValueError(f"more than {LIMIT} languages")
+    # More languages share as many numbers: buckets are folded, a power of two of them together.
+    while buckets > 1 and buckets * len(names) > BUCKETS * MAX_LANGUAGES and buckets % 2 == 0:
+        buckets //= 2
+    at = F.col("bucket")
+    folded = F.when(at < whole, F.pmod(at, F.lit(buckets))).otherwise(at - whole + buckets)
+    rows = sums.groupBy("lang", folded.alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((buckets + len(SCRIPTS), len(names)), np.float64)
     place = {name: k for k, name in enumerate(names)}
     columns = [place[name] for name in rows.column("lang").to_pylist()]

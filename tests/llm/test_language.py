@@ -77,7 +77,7 @@ def test_empty_tables_and_clashing_columns(spark):
 
 
 def test_too_many_languages_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(lg, "MAX_LANGUAGES", 2)
+    monkeypatch.setattr(lg, "LIMIT", 2)
     with pytest.raises(ValueError):
         lg.fit(documents(spark, corpus(random.Random(3), 9)))
 
@@ -90,3 +90,15 @@ def test_a_very_long_text_and_many_chunks(spark, monkeypatch):
     texts = [sentence(rng, 30_000, DE), *[t for t, _ in corpus(rng, 30)]]
     found = rows_by_id(lg.label_languages(documents(spark, texts), model))
     assert found[0]["lang_pred"] == "de" and len(found) == 31
+
+
+def test_more_languages_than_numbers_fold_buckets(spark):
+    """300 languages, most of them noise with a row each, beside two real ones."""
+    rng = random.Random(12)
+    texts = [(sentence(rng, 40, "der die das und nicht ist ein eine wir sie".split()), "de") for _ in range(20)]
+    texts += [(sentence(rng, 40, "the and not is one we they with from this".split()), "en") for _ in range(20)]
+    texts += [(f"x{k}q z{k}w", f"noise{k}") for k in range(300)]
+    model = lg.fit(documents(spark, texts))
+    assert len(model.languages) == 302 and len(model.logs) == lg.BUCKETS // 2
+    rows = lg.label_languages(documents(spark, ["wir und sie nicht", "they and we with this"]), model).collect()
+    assert [r.lang_pred for r in rows] == ["de", "en"]
