@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitledger.session import shared_folder
+from bitledger.llm.text import partitions
+from bitledger.session import remove_path, scratch_path
+
+_EDGE = "a bigint, b bigint"
+
+
+# Edges of one partition in the rounds.
+EDGES = 100_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,14 +22,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps: every node hands its larger (smaller)
     neighbours to the smallest node it sees. Minima are taken by an aggregate and joined back,
     so no neighbour list is ever collected and a node with very many edges can be split. Each
-    round is checkpointed; the rounds end when the edges no longer change.
+    round is written to the shared folder in as many parts as its edges need, and the table of
+    the round before is removed; the rounds end when the edges no longer change.
     """
-    shared_folder(edges.sparkSession)
-    current = edges.where("a <> b").select("a", "b").distinct().checkpoint()
-    seen = None
+    spark = edges.sparkSession
+    path = scratch_path(spark, "edges")
+    edges.where("a <> b").select("a", "b").distinct().write.parquet(path)
+    current, seen = spark.read.schema(_EDGE).parquet(path), None
     while (state := _fingerprint(current)) != seen:
         seen = state
-        current = _small_star(_large_star(current)).checkpoint()
+        parts = min(partitions(spark), -(-state[0] // EDGES) or 1)
+        last, path = path, scratch_path(spark, "edges")
+        # Few parts write few shuffle files, however many partitions a shuffle has.
+        larger = _large_star(current.coalesce(parts)).coalesce(parts).distinct()
+        _small_star(larger.coalesce(parts)).coalesce(parts).distinct().coalesce(parts).write.parquet(path)
+        current = spark.read.schema(_EDGE).parquet(path)
+        remove_path(spark, last)
     # Now every edge leads from a node to its component.
     star = current.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
     return star.union(star.select(F.col("component").alias("node"), "component")).distinct()
@@ -37,11 +52,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     larger = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return larger.where("a <> b").distinct()
+    return larger.where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(least.select("a", F.col("m").alias("b")))

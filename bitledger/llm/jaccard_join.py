@@ -10,7 +10,11 @@
    pairs of nodes whose largest possible overlap cannot reach the threshold; pairs that are
    left are verified on the sets themselves.
 4. Blocks too large for a task are cut by size range and hash, linked inside, linked between
-   representatives of what is connected, and then between pieces not yet connected.
+   representatives of what is connected, also across size ranges, and then between pieces not
+   yet connected.
+
+The shared elements of a set are written once; blocks, pieces and labels are tables of set
+identities, joined with the elements where sets are compared.
 
 For components, links are found until they are known: a pair that is connected already is not
 compared, so thousands of close copies need about as many comparisons as there are copies.
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitledger.llm.components import connected_components
+from bitledger.llm.components import EDGES, connected_components
 from bitledger.llm.signature_tree import Sets, all_links, spanning_links
 from bitledger.llm.text import partitions, space_words, table, utf8
 from bitledger.session import shared_folder
@@ -40,6 +44,10 @@ BLOCK_DOCS, BLOCK_ELEMENTS = 2000, 4_000_000
 # Document frequencies above are counted as this one; among such elements the hash decides.
 COMMON = 64
 _CHUNK_ELEMENTS = 1_500_000
+# Elements of one bucket of shingles (expected); the number of buckets follows from the data.
+BUCKET_ELEMENTS = 1_500_000
+# Representatives of a large group in each size range (expected), and how large that is.
+REPRESENTATIVES, LARGE_GROUP = 32, 250
 _KEY_BITS = 48
 _KEY_MASK = np.uint64((1 << _KEY_BITS) - 1)
 _REMEMBERED = 200_000
@@ -183,14 +191,17 @@ def _element_ids(bucket: np.ndarray | int, keys: np.ndarray) -> np.ndarray:
     return (np.asarray(bucket, np.uint64) << np.uint64(_KEY_BITS)) | keys
 
 
-def shared_elements(docs: DataFrame) -> DataFrame:
+def shared_elements(docs: DataFrame, count: int | None = None) -> DataFrame:
     """``(bucket, blob)``: all (set, element) pairs whose element is in two sets or more, with
-    its capped frequency, dealt out by set.
+    its capped frequency, dealt out by set. ``count`` is about how many elements there are.
 
     Elements common within a task are sent on once instead of once a set, so that a passage in
     a third of all documents does not fill its bucket.
     """
-    buckets = 2 * partitions(docs.sparkSession)
+    if count is None:
+        # Words of four letters and a space.
+        count = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5
+    buckets = max(1, -(-count // BUCKET_ELEMENTS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = _WordHashes(), set()
@@ -292,7 +303,7 @@ def shared_elements(docs: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(find, "bucket bigint, blob binary")
 
 
-def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def candidates(docs: DataFrame, percent: int = PERCENT, count: int | None = None) -> DataFrame:
     """``(sk, n, elements, prefix)`` of the sets that can have a partner: size, shared elements
     (sorted) and the keys, at least one of which any partner has too."""
 
@@ -334,7 +345,7 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             }
         )
 
-    return shared_elements(docs).groupBy("bucket").applyInArrow(
+    return shared_elements(docs, count).groupBy("bucket").applyInArrow(
         choose, "sk bigint, n bigint, elements binary, prefix array<bigint>"
     )
 
@@ -379,7 +390,7 @@ def _band(n: Column, percent: int) -> Column:
 
 def _piece(rows: DataFrame, *keys: str) -> DataFrame:
     """Adds ``piece``: each group of ``keys`` cut by hash into pieces that fit a task."""
-    totals = rows.groupBy(*keys).agg(F.count("*").alias("_docs"), F.sum(F.octet_length("elements") / 8).alias("_size"))
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("_docs"), F.sum("size").alias("_size"))
     pieces = F.greatest(F.ceil(F.col("_docs") / BLOCK_DOCS), F.ceil(F.col("_size") / BLOCK_ELEMENTS))
     totals = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], pieces.alias("_pieces"))
     matched = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
@@ -390,43 +401,53 @@ def _piece(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _inside(pieces: DataFrame, percent: int) -> DataFrame:
-    return _blocks_to_links(
-        pieces.withColumn("block", F.xxhash64("component", "band", "class", "piece"))
-        .withColumn("bin", F.col("block"))
-        .select("bin", "block", F.lit(0).alias("side"), "label", "sk", "n", "elements"),
-        percent,
-    )
+def _with_elements(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows ``bin, block, side, label, sk`` with the size and the elements of their set."""
+    return placed.select("bin", "block", "side", "label", "sk").join(found.select("sk", "n", "elements"), "sk")
 
 
-def _large_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links of blocks too large for one task. ``members``: component, sk, n, elements."""
-    plain = members.withColumn("band", _band(F.col("n"), percent)).withColumn("class", F.lit(None).cast("bigint"))
-    pieces = _piece(plain.withColumn("label", F.col("sk")), "component", "band", "class").checkpoint()
-    first = _inside(pieces, percent).checkpoint()
+def _inside(pieces: DataFrame, found: DataFrame, percent: int, *keys: str) -> DataFrame:
+    block = F.xxhash64(*keys, "piece")
+    placed = pieces.select(block.alias("bin"), block.alias("block"), F.lit(0).alias("side"), "label", "sk")
+    return _blocks_to_links(_with_elements(placed, found), percent)
 
-    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-        found = connected_components(links)
-        names = found.select(F.col("node").alias("sk"), F.col("component").alias("_label"))
-        return (
-            rows.drop("label").join(names, "sk", "left").withColumn("label", F.coalesce("_label", "sk")).drop("_label")
-        )
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with ``label``, the component of their set under ``links``."""
+    names = connected_components(links).select(F.col("node").alias("sk"), F.col("component").alias("_label"))
+    return rows.drop("label").join(names, "sk", "left").withColumn("label", F.coalesce("_label", "sk")).drop("_label")
+
+
+def _large_blocks(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links of blocks too large for one task. ``members``: component, sk, n, size."""
+    parts = few_parts(members)
+    plain = members.withColumn("band", _band(F.col("n"), percent)).withColumn("label", F.col("sk")).coalesce(parts).checkpoint()
+    by_band = ("component", "band")
+    first = _inside(_piece(plain, *by_band), found, percent, *by_band).checkpoint()
 
     # One representative of what is connected inside a piece stands for it in a second round.
-    heads = labelled(pieces, first).where("label = sk").drop("piece")
-    second = _inside(_piece(heads, "component", "band", "class"), percent).checkpoint()
-    known = labelled(pieces.drop("piece"), first.union(second)).checkpoint()
+    labelled = _labelled(plain, first).coalesce(parts).checkpoint()
+    heads = labelled.where("label = sk")
+    second = _inside(_piece(heads, *by_band), found, percent, *by_band).checkpoint()
+
+    # Then some of each large group of a size range meet those of the next range.
+    labelled = _labelled(plain, first.union(second)).coalesce(parts).checkpoint()
+    sizes = labelled.groupBy("component", "band", "label").agg(F.count("*").alias("held"))
+    chosen = F.pmod(F.xxhash64(F.lit("chosen"), "sk"), F.ceil(F.col("held") / REPRESENTATIVES)) == 0
+    groups = labelled.join(sizes.where(F.col("held") >= LARGE_GROUP), ["component", "band", "label"]).where(chosen)
+    met = groups.drop("held").withColumn("meets", F.explode(F.array("band", F.col("band") + 1)))
+    third = _inside(_piece(met, "component", "meets"), found, percent, "component", "meets").checkpoint()
+
     # Pieces of one label alone need no comparing; others are compared with each other.
-    often = known.groupBy("component", "band", "label").count().where(F.col("count") >= BLOCK_DOCS // 4)
-    sorted_out = (
-        known.drop("class")
-        .join(often.select("component", "band", "label", F.col("label").alias("class")), ["component", "band", "label"], "left")
-    )
-    cut = _piece(sorted_out, "component", "band", "class").checkpoint()
-    return first.union(second).union(_between(cut, percent))
+    known = first.union(second).union(third)
+    labelled = _labelled(plain, known).coalesce(parts).checkpoint()
+    often = labelled.groupBy("component", "band", "label").count().where(F.col("count") >= LARGE_GROUP)
+    often = often.select("component", "band", "label", F.col("label").alias("class"))
+    cut = _piece(labelled.join(often, ["component", "band", "label"], "left"), "component", "band", "class")
+    return known.union(_between(cut.coalesce(parts).checkpoint(), found, percent))
 
 
-def _between(cut: DataFrame, percent: int, every: bool = False) -> DataFrame:
+def _between(cut: DataFrame, found: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """Links inside pieces and between pieces whose sizes allow it, but not within a class."""
     names = cut.select("component", "band", "class", "piece").distinct()
     left = names.select("component", *[F.col(c).alias(f"{c}_a") for c in ("band", "class", "piece")])
@@ -453,48 +474,47 @@ def _between(cut: DataFrame, percent: int, every: bool = False) -> DataFrame:
         & (F.col("s.piece") == F.col("c.piece"))
         & F.col("s.class").eqNullSafe(F.col("c.class")),
     )
-    return _blocks_to_links(
-        met.select(F.col("s.block").alias("bin"), "s.block", "s.side", "c.label", "c.sk", "c.n", "c.elements"), percent, every
-    )
+    placed = met.select(F.col("s.block").alias("bin"), "s.block", "s.side", "c.label", "c.sk")
+    return _blocks_to_links(_with_elements(placed, found), percent, every)
 
 
-def _members(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Sets with their block (``component``), and the blocks too large for one task."""
+def _members(docs: DataFrame, percent: int, count: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The candidates with their elements; their ``component, sk, n, size``; the large components."""
     shared_folder(docs.sparkSession)
-    found = candidates(docs, percent).checkpoint()
-    keys = found.select("sk", F.explode("prefix").alias("key"))
+    found = candidates(docs, percent, count).checkpoint()
+    parts = few_parts(found)
+    slim = found.select("sk", "n", (F.octet_length("elements") / 8).cast("bigint").alias("size"), "prefix").coalesce(parts)
+    keys = slim.select("sk", F.explode("prefix").alias("key"))
     least = keys.groupBy("key").agg(F.min("sk").alias("low"), F.max("sk").alias("high")).where("low < high")
     edges = keys.join(least.select("key", "low"), "key").select(F.col("sk").alias("a"), F.col("low").alias("b"))
-    blocks = connected_components(edges).withColumnRenamed("node", "sk")
-    members = found.drop("prefix").join(blocks, "sk").checkpoint()
-    totals = members.groupBy("component").agg(
-        F.count("*").alias("docs"), F.sum(F.octet_length("elements") / 8).alias("size")
-    )
-    large = totals.where((F.col("docs") > BLOCK_DOCS) | (F.col("size") > BLOCK_ELEMENTS)).select("component").checkpoint()
-    return members, large
+    blocks = connected_components(edges.coalesce(parts)).withColumnRenamed("node", "sk")
+    members = slim.drop("prefix").join(blocks, "sk").coalesce(parts).checkpoint()
+    totals = members.groupBy("component").agg(F.count("*").alias("docs"), F.sum("size").alias("size"))
+    large = totals.where((F.col("docs") > BLOCK_DOCS) | (F.col("size") > BLOCK_ELEMENTS)).select("component")
+    return found, members, large.coalesce(parts).checkpoint()
 
 
-def class_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def few_parts(sets: DataFrame) -> int:
+    """Parts for a table of a few numbers a set: more partitions would hold next to nothing."""
+    return max(1, min(partitions(sets.sparkSession), -(-sets.count() // EDGES)))
+
+
+def class_links(docs: DataFrame, percent: int = PERCENT, count: int | None = None) -> DataFrame:
     """Links ``(a, b)`` between set identities whose components are those of all links."""
-    spark = docs.sparkSession
-    members, large = _members(docs, percent)
-    bins = 4 * partitions(spark)
-    small = members.join(large, "component", "left_anti")
-    links = _blocks_to_links(
-        small.select(
-            F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"),
-            F.col("component").alias("block"),
-            F.lit(0).alias("side"),
-            F.col("sk").alias("label"),
-            "sk",
-            "n",
-            "elements",
-        ),
-        percent,
+    found, members, large = _members(docs, percent, count)
+    # A task reads bins of some blocks; a block is at most BLOCK_ELEMENTS.
+    bins = max(1, -(-(members.agg(F.sum("size")).first()[0] or 0) // (BLOCK_ELEMENTS // 4)))
+    small = members.join(large, "component", "left_anti").select(
+        F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"),
+        F.col("component").alias("block"),
+        F.lit(0).alias("side"),
+        F.col("sk").alias("label"),
+        "sk",
     )
+    links = _blocks_to_links(_with_elements(small, found), percent)
     if large.isEmpty():
         return links
-    return links.union(_large_blocks(members.join(large, "component", "left_semi"), percent))
+    return links.union(_large_blocks(members.join(large, "component", "left_semi"), found, percent))
 
 
 def class_pairs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -505,18 +525,18 @@ def class_pairs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     different near copies, since they are the join itself; a task makes those of one block, or
     of two pieces of a large one.
     """
-    members, large = _members(docs, percent)
+    found, members, large = _members(docs, percent)
     block = F.col("component")
     small = members.join(large, "component", "left_anti").select(
-        block.alias("bin"), block.alias("block"), F.lit(0).alias("side"), F.col("sk").alias("label"), "sk", "n", "elements"
+        block.alias("bin"), block.alias("block"), F.lit(0).alias("side"), F.col("sk").alias("label"), "sk"
     )
-    links = _blocks_to_links(small, percent, every=True)
+    links = _blocks_to_links(_with_elements(small, found), percent, every=True)
     if not large.isEmpty():
         plain = members.join(large, "component", "left_semi").withColumns(
             {"band": _band(F.col("n"), percent), "class": F.lit(None).cast("bigint"), "label": F.col("sk")}
         )
-        cut = _piece(plain, "component", "band", "class").checkpoint()
-        links = links.union(_between(cut, percent, every=True))
+        cut = _piece(plain, "component", "band", "class").coalesce(few_parts(members)).checkpoint()
+        links = links.union(_between(cut, found, percent, every=True))
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -554,7 +574,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared_folder(docs.sparkSession)
     # A few numbers a document, used twice below.
     sets = set_summary(docs).checkpoint()
-    joined = connected_components(class_links(docs, percent))
+    elements = sets.agg(F.sum("n")).first()[0] or 0
+    joined = connected_components(class_links(docs, percent, elements))
     placed = sets.join(joined.withColumnRenamed("node", "sk"), "sk", "left").withColumn(
         "class", F.coalesce("component", "sk")
     )
@@ -578,10 +599,11 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     heads = found.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.min(order).alias("head"))
     kept = heads.select(F.col("head.row_key").alias("_kept"))
-    keyed = docs.withColumn("_key", row_key())
-    one = keyed.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"])
-    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return one.union(keyed.where(empty)).drop("_key")
+    # The row goes along as one column, so that its names cannot clash.
+    keyed = docs.select(row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = keyed.join(kept, F.col("key") == F.col("_kept"), "left_semi").dropDuplicates(["key"])
+    empty = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return one.union(keyed.where(empty)).select("row.*")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

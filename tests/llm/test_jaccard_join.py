@@ -165,3 +165,31 @@ def test_every_link_of_chained_near_copies_is_returned(spark, monkeypatch, most)
     want = {tuple(sorted((rows[i]["sk"], rows[j]["sk"]))) for i, j in links if sets[i] != sets[j]}
     assert len(pairs) == len(want) and set(pairs) == want
     assert jj.class_links(docs).count() < len(want) / 2
+
+
+def test_large_groups_over_two_size_ranges(spark, monkeypatch):
+    """Close copies of one text, some of them longer, among chains and strays; many small pieces."""
+    for name, value in (("BLOCK_DOCS", 12), ("LARGE_GROUP", 5), ("REPRESENTATIVES", 3), ("BUCKET_ELEMENTS", 300)):
+        monkeypatch.setattr(jj, name, value)
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(3000)]
+    base = sentence(rng, 95, words).split()
+    texts = []
+    for k in range(80):
+        edited = base + sentence(rng, k % 12, words).split()
+        edited[rng.randrange(95)] = rng.choice(words)
+        texts.append(" ".join(edited))
+    line = sentence(rng, 200, words).split()
+    texts += [" ".join(line[k : k + 100]) for k in range(0, 90, 6)] + corpus(5)
+    assert found(spark, texts) == brute(texts)
+
+
+def test_very_long_text_and_clashing_names(spark):
+    rng = random.Random(22)
+    long = sentence(rng, 300_000, [f"w{k}" for k in range(5000)])
+    texts = [long, long + " and more", sentence(rng, 30), None]
+    docs = documents(spark, texts).withColumnsRenamed({"n_chars": "_key", "extra": "sk", "lang": "label", "source": "row"})
+    assert {r.doc_id: r.component_id for r in jj.jaccard_components(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    kept = jj.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["sk"]) for r in kept.collect()) == [(0, [0]), (2, [2]), (3, [3])]
