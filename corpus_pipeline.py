@@ -15,7 +15,7 @@ from bitledger.llm.language import UNKNOWN, fit, label_languages
 from bitledger.llm.mixing import mix_sources
 from bitledger.llm.quality import keep_quality
 from bitledger.llm.text import table
-from bitledger.session import scratch_path
+from bitledger.session import remove_path, scratch_path
 
 # Share of a text's letters that its main language must have.
 MIN_LANGUAGE_SHARE = 0.5
@@ -49,7 +49,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents that it takes, with ``copies``, how often it takes them."""
     mixed = mix_sources(docs)
-    return mixed.where("mix_copies > 0").select(*docs.columns, F.col("mix_copies").alias("copies"))
+    rest = [c for c in docs.columns if c.lower() != "copies"]
+    return mixed.where("mix_copies > 0").select(*rest, F.col("mix_copies").alias("copies"))
 
 
 STAGES = [
@@ -62,12 +63,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and read again; what a
+    stage has read is removed when its own output is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove_path(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
