@@ -1,40 +1,47 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes of a text.
 
-1. A task encodes texts with both tokenizers and compares the byte offsets where tokens end. An
-   end that both share is a cut. Divide and conquer finds them: from the middle of an interval
-   outwards, each end of A is looked for among the ends of B by bisect; the first that both
-   share splits the interval in two, and an interval without one is a leaf group. The intervals
-   of all texts of a batch take each step together.
-2. Tokens whose bytes overlap are linked. Links are added up by id pair in chunks of documents,
+1. A task cuts texts before single spaces, where neither tokenizer has a token across, into
+   words with what stands beside them. Each different word of a chunk of documents is encoded and
+   aligned once.
+2. Words are aligned by comparing the byte offsets where tokens end. An end that both tokenizers
+   share is a cut. Divide and conquer finds them: from the middle of an interval outwards, each
+   end of A is looked for among the ends of B by bisect; the first that both share splits the
+   interval in two, and an interval without one is a leaf group. The intervals of all words of a
+   batch take each step together.
+3. Tokens whose bytes overlap are linked. Links are added up by id pair in chunks of documents,
    then over the corpus; the highest count of each B id is one number a vocabulary entry.
-3. Each chunk sends the pairs it holds to shards of the counted pairs and gets their counts
-   back, so that neither the pairs nor the documents meet in one place.
+4. Each chunk asks shards of the counted pairs for the pairs it holds, so that neither the pairs
+   nor the documents meet in one place.
 
-Texts are encoded once; the results are written to the shared folder before they are counted.
+Texts are read once; the results are written to the shared folder before they are counted.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitledger.llm.answers import added, answers, gathered, steps, walked
 from bitledger.llm.text import table
 from bitledger.session import scratch_path
 
 BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-# Characters of texts that take each step together; a longer text is cut between words.
-_BATCH = 400_000
-# Links of a chunk, pairs of a shard, and asked pairs that meet a shard at once.
-CHUNK_LINKS = 2_000_000
-SHARD_PAIRS = 500_000
-ASKED_PAIRS = 2_000_000
+# Characters of texts whose new words are encoded together; a longer text is read in pieces.
+_BATCH = 1_000_000
+# Words, and different words, after which a chunk of documents ends.
+CHUNK_WORDS, CHUNK_DISTINCT = 2_000_000, 400_000
+# A space that stands alone between two characters, the second no white space.
+_CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -95,17 +102,14 @@ def tokenizers(byte_path: str, piece_path: str) -> Tokenizers:
 
 
 def pieces_of(text: str, size: int, cuttable: bool) -> Iterator[str]:
-    """The text in pieces of about ``size``, cut at single spaces between letters, which are left
-    out: the next piece has its space from the tokenizers again. Tokens of neither cross them."""
+    """The text in pieces of ``size`` characters or more, cut at spaces that stand alone, which are
+    left out: the next piece has its space from the tokenizers again. Tokens of neither cross
+    them: the pattern of A takes a space with what follows it, and no piece of B holds a space
+    after another character."""
     at = 0
-    while cuttable and len(text) - at > 2 * size:
-        stop = text.find(" ", at + size)
-        while 0 <= stop < len(text) - 1 and not (text[stop - 1].isalpha() and text[stop + 1].isalpha()):
-            stop = text.find(" ", stop + 1)
-        if not 0 <= stop < len(text) - 1:
-            break
-        yield text[at:stop]
-        at = stop + 1
+    while cuttable and len(text) - at > 2 * size and (found := _CUT.search(text, at + size)):
+        yield text[at : found.start()]
+        at = found.end()
     yield text[at:]
 
 
@@ -176,91 +180,63 @@ class Aligned:
         self.groups = [b"".join(words[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
 
 
-class _Document:
-    """What is known of a document whose pieces come one after another."""
-
-    def __init__(self, row: int):
-        self.row, self.numbers = row, np.zeros(4, np.int64)
-        self.hash, self.open = hashlib.sha256(), False
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-
-    def add(self, numbers: np.ndarray, groups: bytes, pairs: np.ndarray, times: np.ndarray) -> None:
-        self.numbers += numbers
+class Words:
+    """The different words of a chunk, numbered as they come, each encoded and aligned once."""
+
+    def __init__(self, known: Tokenizers):
+        self.known = known
+        self.start()
+
+    def start(self) -> None:
+        self.number: dict[str, int] = {}
+        self.numbers = [np.empty((0, 4), np.int64)]
+        self.groups: list[bytes] = []
+        self.fine: list[bool] = []
+        self.pairs = [np.empty(0, np.int64)]
+
+    def __len__(self) -> int:
+        return len(self.groups)
+
+    def learn(self, words: list[str]) -> None:
+        """Numbers, groups and links of words that are new; none where a tokenizer changes one."""
+        a, b = self.known.encode(words)
+        fine = [k for k, word in enumerate(words) if self.known.holds(word, a[k], b[k])]
+        numbers, groups = np.zeros((len(words), 4), np.int64), [b""] * len(words)
+        if fine:
+            found = Aligned(self.known, [a[k] for k in fine], [b[k] for k in fine])
+            numbers[fine] = np.stack([found.n_a, found.n_b, found.n_groups, found.n_links], axis=1)
+            for k, written in zip(fine, found.groups):
+                groups[k] = written
+            self.pairs.append(found.pairs)
+        right = set(fine)
+        self.number.update(zip(words, range(len(self.groups), len(self.groups) + len(words))))
+        self.groups += groups
+        self.fine += [k in right for k in range(len(words))]
+        self.numbers.append(numbers)
+
+    def read(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's words."""
+        cut = [_CUT.split(t) if self.known.cuttable else [t] for t in texts]
+        new = list(dict.fromkeys(w for words in cut for w in words if w not in self.number))
+        if new:
+            self.learn(new)
+        return [list(map(self.number.__getitem__, words)) for words in cut]
+
+
+def _digest(text: str, words: Words) -> tuple[array, str | None]:
+    """Words of a text, read in pieces, and the digest of its groups; None if it has no tokens."""
+    out, digest, last = array("q"), hashlib.sha256(), b""
+    for piece in pieces_of(text, _BATCH, words.known.cuttable):
+        (numbers,) = words.read([piece])
+        if not all(map(words.fine.__getitem__, numbers)):
+            return array("q"), None
+        out.extend(numbers)
         # The written groups end with a semicolon, which stands between groups alone.
-        self.hash.update(b";" * self.open + groups[:-1])
-        self.open = True
-        self.pairs.append(pairs)
-        self.times.append(times)
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.pairs) == 1:
-            return self.pairs[0], self.times[0]
-        if not self.pairs:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return _added(np.concatenate(self.pairs), np.concatenate(self.times))
-
-
-def _added(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and the sums of their numbers."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[heads], np.add.reduceat(numbers[order], heads) if len(heads) else np.empty(0, np.int64)
-
-
-def _encoded(texts: Iterator[tuple[int, str | None]], known: Tokenizers) -> Iterator[_Document]:
-    """Documents with tokens, in order; texts that either tokenizer changes have none."""
-    waiting: list[tuple[int, str]] = []
-    size = 0
-
-    def batch() -> Iterator[_Document]:
-        a, b = known.encode([t for _, t in waiting])
-        fine = [k for k, (_, text) in enumerate(waiting) if known.holds(text, a[k], b[k])]
-        yield from _aligned([waiting[k][0] for k in fine], [a[k] for k in fine], [b[k] for k in fine], known)
-
-    for row, text in texts:
-        if not text:
-            continue
-        if len(text) > 2 * _BATCH:
-            if waiting:
-                yield from batch()
-                waiting, size = [], 0
-            if found := _long(row, text, known):
-                yield found
-            continue
-        waiting.append((row, text))
-        size += len(text)
-        if size > _BATCH:
-            yield from batch()
-            waiting, size = [], 0
-    if waiting:
-        yield from batch()
-
-
-def _long(row: int, text: str, known: Tokenizers) -> _Document | None:
-    out = _Document(row)
-    for piece in pieces_of(text, _BATCH, known.cuttable):
-        (a,), (b,) = known.encode([piece])
-        if not known.holds(piece, a, b):
-            return None
-        (part,) = _aligned([row], [a], [b], known, out)
-    return out
-
-
-def _aligned(rows: list[int], a, b, known: Tokenizers, into: _Document | None = None) -> Iterator[_Document]:
-    if not rows:
-        return
-    found = Aligned(known, a, b)
-    space = len(known.bytes_a) * len(known.bytes_b)
-    keys, times = _added(found.text_of * space + found.pairs, np.ones(len(found.pairs), np.int64))
-    bounds = np.searchsorted(keys, np.arange(len(rows) + 1) * space)
-    numbers = np.stack([found.n_a, found.n_b, found.n_groups, found.n_links], axis=1)
-    for k, row in enumerate(rows):
-        out = into or _Document(row)
-        part = slice(bounds[k], bounds[k + 1])
-        out.add(numbers[k], found.groups[k], keys[part] - k * space, times[part])
-        yield out
+        digest.update(last)
+        written = b"".join(map(words.groups.__getitem__, numbers))
+        digest.update(written[:-1])
+        last = b";"
+    return out, digest.hexdigest()
 
 
 def token_groups(docs: DataFrame, byte_path: str = BYTE_VOCABULARY, piece_path: str = PIECE_VOCABULARY) -> DataFrame:
@@ -303,60 +279,105 @@ _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 def _encode_chunks(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """Rows of two kinds by ``chunk``: documents (``doc_id``, numbers, ``at`` and ``times``, their
-    pairs as places in the chunk) and one with the chunk's distinct ``pairs`` and their ``times``."""
+    words as places in the chunk and how often they stand) and one a chunk: its distinct id pairs
+    as ``keys`` with their ``times``, and of each word the ``links`` as places among the keys,
+    with the words' numbers of links as ``at``."""
     kind = docs.schema["doc_id"].dataType
     schema = (
         f"chunk bigint, doc_id {kind.simpleString()}, {', '.join(f'{n} bigint' for n in _NUMBERS)}, "
-        "groups_sha256 string, size bigint, at binary, pairs binary, times binary"
+        "groups_sha256 string, at binary, times binary, size bigint, keys binary, links binary"
     )
-    names = ["chunk", "doc_id", *_NUMBERS, "groups_sha256", "size", "at", "pairs", "times"]
+    names = ["chunk", "doc_id", *_NUMBERS, "groups_sha256", "at", "times", "size", "keys", "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tokenizers(byte_path, piece_path)
+        words = Words(tokenizers(byte_path, piece_path))
         chunk = TaskContext.get().partitionId() << 32
-        held: list[tuple[pa.Scalar, _Document]] = []
-        links = 0
+        held: list[tuple] = []
+        count = 0
         id_kind = None
 
-        def rows(ids: pa.Array, numbers, hashes, sizes, at, pairs, times) -> pa.RecordBatch:
+        def rows(ids: pa.Array, numbers: np.ndarray, *tail: list) -> pa.RecordBatch:
+            """Rows of the schema: digests, at, times, size, keys, links as lists; absent ones null."""
             n = len(ids)
-            chunks = pa.array(np.full(n, chunk, np.int64))
-            columns = [pa.array([x[k] for x in numbers], pa.int64()) for k in range(4)]
-            tail = [pa.array(x, pa.binary()) for x in (at, pairs, times)]
+            kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [chunks, ids, *columns, pa.array(hashes, pa.string()), pa.array(sizes, pa.int64()), *tail], names
+                [
+                    pa.array(np.full(n, chunk, np.int64)),
+                    ids,
+                    *[pa.array(numbers[:, k]) for k in range(4)],
+                    *[pa.array(x or [None] * n, k) for x, k in zip(tail, kinds)],
+                ],
+                names,
             )
 
         def done() -> Iterator[pa.RecordBatch]:
-            found = [d.links() for _, d in held]
-            pairs, times = _added(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
-            ids = pa.array([i.as_py() for i, _ in held], id_kind)
-            at = [np.diff(np.searchsorted(pairs, x), prepend=0).astype(np.uint32).tobytes() for x, _ in found]
+            sizes = np.array([len(w) for _, w, _ in held])
+            owner = np.repeat(np.arange(len(held)), sizes)
+            every = np.concatenate([np.asarray(w, np.int64) for _, w, _ in held])
+            numbers = np.concatenate(words.numbers)
+            sums = np.zeros((len(held), 4), np.int64)
+            heads = np.cumsum(sizes) - sizes
+            for k in range(4):
+                sums[:, k] = np.add.reduceat(numbers[every, k], heads)
+            cells, times = added(owner << 32 | every, np.ones(len(every), np.int64))
+            cuts = np.searchsorted(cells, np.arange(len(held) + 1) << 32)
+            parts = [slice(x, y) for x, y in zip(cuts[:-1], cuts[1:])]
             yield rows(
-                ids, [d.numbers.tolist() for _, d in held], [d.hash.hexdigest() for _, d in held], [None] * len(held),
-                at, [None] * len(held), [x.astype(np.uint32).tobytes() for _, x in found],
-            )
+                pa.array([i.as_py() for i, _, _ in held], id_kind),
+                sums,
+                [x for _, _, x in held],
+                [steps(cells[x] & 0xFFFFFFFF) for x in parts],
+                [times[x].astype(np.uint32).tobytes() for x in parts],
+                [],
+                [],
+                [],
+            )
+            # Links of a word count as often as the word stands in documents that have tokens.
+            pairs, link_counts = np.concatenate(words.pairs), numbers[:, 3]
+            keys, place = np.unique(pairs, return_inverse=True)
+            often = np.bincount(every, minlength=len(words))
+            seen = np.zeros(len(keys), np.int64)
+            np.add.at(seen, place, np.repeat(often, link_counts))
             yield rows(
-                pa.nulls(1, id_kind), [[None] * 4], [None], [len(pairs)], [None],
-                [np.diff(pairs, prepend=0).astype(np.uint32).tobytes()], [times.tobytes()],
+                pa.nulls(1, id_kind), np.zeros((1, 4), np.int64), [None], [link_counts.astype(np.uint32).tobytes()], [seen.tobytes()],
+                [len(keys)], [steps(keys)], [place.astype(np.uint32).tobytes()],
             )
 
         for batch in batches:
             ids, id_kind = batch.column(0), batch.column(0).type
-            texts = batch.column(1)
-            present = np.zeros(len(ids), bool)
-            for found in _encoded(((k, t.as_py()) for k, t in enumerate(texts)), known):
-                present[found.row] = True
-                held.append((ids[found.row], found))
-                links += int(found.numbers[3])
-                if links >= CHUNK_LINKS:
-                    yield from done()
-                    held, links, chunk = [], 0, chunk + 1
+            texts = batch.column(1).to_pylist()
+            bare = np.zeros(len(ids), bool)
+            start = 0
+            while start < len(texts):
+                # Texts whose words are read together.
+                stop, size = start, 0
+                while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= _BATCH):
+                    size += len(texts[stop] or "")
+                    stop += 1
+                short = [k for k in range(start, stop) if texts[k] and len(texts[k]) <= _BATCH]
+                read = dict(zip(short, words.read([texts[k] for k in short])))
+                for k in range(start, stop):
+                    if k in read:
+                        numbers = read[k]
+                        fine = all(map(words.fine.__getitem__, numbers))
+                        digest = hashlib.sha256(b"".join(map(words.groups.__getitem__, numbers))[:-1]).hexdigest() if fine else None
+                    else:
+                        numbers, digest = _digest(texts[k], words) if texts[k] else ([], None)
+                    if digest is None:
+                        bare[k] = True
+                        continue
+                    held.append((ids[k], array("i", numbers), digest))
+                    count += len(numbers)
+                start = stop
+                if count >= CHUNK_WORDS or len(words) >= CHUNK_DISTINCT:
+                    if held:
+                        yield from done()
+                    held, count, chunk = [], 0, chunk + 1
+                    words.start()
             # Documents without tokens need no chunk.
-            bare = ids.filter(pa.array(~present))
-            if len(bare):
-                n = len(bare)
-                yield rows(bare, [[0] * 4] * n, [""] * n, [None] * n, [b""] * n, [None] * n, [b""] * n)
+            if bare.any():
+                n = int(bare.sum())
+                yield rows(ids.filter(pa.array(bare)), np.zeros((n, 4), np.int64), [""] * n, [b""] * n, [b""] * n, [], [], [])
         if held:
             yield from done()
 
@@ -370,12 +391,12 @@ def pair_counts(chunks: DataFrame, size_b: int) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pairs, times in zip(batch.column(0), batch.column(1)):
-                found = np.cumsum(np.frombuffer(pairs.as_py(), np.uint32).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found), pa.array(np.frombuffer(times.as_py(), np.int64))], ["pair", "n"]
-                )
+                numbers = np.frombuffer(times.as_py(), np.int64)
+                # Words of documents without tokens may have left pairs that nobody holds.
+                held = numbers > 0
+                yield pa.RecordBatch.from_arrays([pa.array(walked(pairs.as_py())[held]), pa.array(numbers[held])], ["pair", "n"])
 
-    rows = chunks.where(F.col("pairs").isNotNull()).select("pairs", "times").mapInArrow(unpack, "pair bigint, n bigint")
+    rows = chunks.where(F.col("keys").isNotNull()).select("keys", "times").mapInArrow(unpack, "pair bigint, n bigint")
     counts = rows.groupBy("pair").agg(F.sum("n").alias("n")).checkpoint()
     b = F.pmod("pair", F.lit(size_b)).alias("b")
     # At most one row for each entry of B's vocabulary.
@@ -391,117 +412,51 @@ def align(docs: DataFrame, byte_path: str = BYTE_VOCABULARY, piece_path: str = P
     included), ``count_sum`` adds up the counts of all links, ``groups_sha256`` is the digest of
     the groups as ``a1,a2|b1;a3|b2``. Null and empty texts, and texts that a tokenizer changes,
     have no tokens: zeros and an empty digest. Repeated rows count each; a null ``doc_id`` is
-    kept; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read. Texts
-    beyond 800,000 characters are cut at spaces between letters, which no token crosses; one
-    without such a space is encoded whole. Both paths must be readable by every executor.
+    kept; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read. A long
+    text is read in pieces; one without spaces is one word. Both paths must be readable by
+    every executor.
     """
     spark = docs.sparkSession
-    known = tokenizers(byte_path, piece_path)
-    size_b = len(known.bytes_b)
+    size_b = len(tokenizers(byte_path, piece_path).bytes_b)
     path = scratch_path(spark, "alignment")
     _encode_chunks(docs, byte_path, piece_path).write.parquet(path, compression="zstd")
     chunks = spark.read.parquet(path)
-    counts = pair_counts(chunks, size_b).checkpoint()
-    asked = chunks.where(F.col("pairs").isNotNull()).select("chunk", "size", "pairs")
-    shards = max(1, -(-counts.count() // SHARD_PAIRS))
-    salts = max(1, -(-(asked.agg(F.sum("size")).first()[0] or 0) // (shards * ASKED_PAIRS)))
-
-    def pack(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("pair").to_numpy())
-        return pa.table(
-            {
-                "shard": group.column("shard").slice(0, 1),
-                "keys": pa.array([group.column("pair").to_numpy()[order].tobytes()], pa.binary()),
-                "n": pa.array([group.column("n").to_numpy()[order].tobytes()], pa.binary()),
-                "best": pa.array([np.packbits(group.column("best").to_numpy(zero_copy_only=False)[order]).tobytes()], pa.binary()),
-            }
-        )
-
-    packed = (
-        counts.withColumn("shard", F.pmod("pair", F.lit(shards)).cast("int"))
-        .groupBy("shard")
-        .applyInArrow(pack, "shard int, keys binary, n binary, best binary")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, pairs in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.cumsum(np.frombuffer(pairs.as_py(), np.uint32).astype(np.int64))
-                shard = found % shards
-                order = np.argsort(shard, kind="stable")
-                bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-                here = [k for k in range(shards) if bounds[k] < bounds[k + 1]]
-                mine = [order[bounds[k] : bounds[k + 1]] for k in here]
-                n = len(here)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(here, pa.int32()),
-                        pa.array([(chunk ^ (chunk >> 32)) % salts] * n, pa.int32()),
-                        pa.array([chunk] * n, pa.int64()),
-                        pa.array([x.astype(np.uint32).tobytes() for x in mine], pa.binary()),
-                        pa.array([found[x].tobytes() for x in mine], pa.binary()),
-                    ],
-                    ["shard", "salt", "chunk", "places", "pairs"],
-                )
-
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        n = asked.num_rows
-        out: list[tuple[bytes, bytes]] = []
-        if n:
-            keys = np.frombuffer(held.column("keys")[0].as_py(), np.int64)
-            numbers = np.frombuffer(held.column("n")[0].as_py(), np.int64)
-            best = np.unpackbits(np.frombuffer(held.column("best")[0].as_py(), np.uint8), count=len(keys))
-            for pairs in asked.column("pairs"):
-                at = np.searchsorted(keys, np.frombuffer(pairs.as_py(), np.int64))
-                out.append((numbers[at].tobytes(), best[at].tobytes()))
-        return pa.table(
-            {
-                "chunk": asked.column("chunk"),
-                "places": asked.column("places"),
-                "n": pa.array([x for x, _ in out], pa.binary()),
-                "best": pa.array([x for _, x in out], pa.binary()),
-            }
-        )
-
-    questions = asked.select("chunk", "pairs").mapInArrow(
-        ask, "shard int, salt int, chunk bigint, places binary, pairs binary"
-    )
-    answers = (
-        questions.groupBy("shard", "salt")
-        .cogroup(packed.groupBy("shard", "salt"))
-        .applyInArrow(answer, "chunk bigint, places binary, n binary, best binary")
-    )
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def total(documents: pa.Table, answers: pa.Table) -> pa.Table:
-        places = [np.frombuffer(x.as_py(), np.uint32) for x in answers.column("places")]
-        size = sum(map(len, places))
-        numbers, best = np.zeros(size, np.int64), np.zeros(size, bool)
-        for place, n, top in zip(places, answers.column("n"), answers.column("best")):
-            numbers[place] = np.frombuffer(n.as_py(), np.int64)
-            best[place] = np.frombuffer(top.as_py(), np.uint8).astype(bool)
+    counts = pair_counts(chunks, size_b)
+    # The count and the mark in one number.
+    numbered = counts.select(F.col("pair").alias("key"), (F.col("n") * 2 + F.col("best").cast("bigint")).alias("number")).checkpoint()
+    answered = answers(chunks.where(F.col("keys").isNotNull()).select("chunk", "size", "keys"), numbered, walked)
+
+    def total(rows: pa.Table, known: pa.Table) -> pa.Table:
+        own = rows.column("links").is_valid()
+        words = rows.filter(own)
+        sizes = np.frombuffer(words.column("at")[0].as_py(), np.uint32).astype(np.int64)
+        links = gathered(known)[np.frombuffer(words.column("links")[0].as_py(), np.uint32)]
+        # Sums by word: differences of running totals, since a word may have no links.
+        ends = np.cumsum(sizes)
+        by_word = [np.concatenate([[0], np.cumsum(x)]) for x in (links >> 1, links & 1)]
+        count, best = (x[ends] - x[ends - sizes] for x in by_word)
+        documents = rows.filter(pc.invert(own))
         n_best, sums = [], []
         for at, times in zip(documents.column("at"), documents.column("times")):
-            here = np.cumsum(np.frombuffer(at.as_py(), np.uint32))
-            weight = np.frombuffer(times.as_py(), np.uint32).astype(np.int64)
-            n_best.append(int(weight[best[here]].sum()))
-            sums.append(int((weight * numbers[here]).sum()))
+            here, weight = walked(at.as_py()), np.frombuffer(times.as_py(), np.uint32).astype(np.int64)
+            n_best.append(int(weight @ best[here]))
+            sums.append(int(weight @ count[here]))
         return pa.table(
             {c: documents.column(c) for c in ("doc_id", *_NUMBERS, "groups_sha256")}
             | {"n_best": pa.array(n_best, pa.int64()), "count_sum": pa.array(sums, pa.int64())}
         )
 
-    documents = chunks.where(F.col("pairs").isNull())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    documents = chunks.where(F.col("keys").isNull())
     none = documents.where("n_links = 0").select(
         "doc_id", *_NUMBERS, "groups_sha256", *[F.lit(0).cast("bigint").alias(c) for c in ("n_best", "count_sum")]
     )
     columns = f"doc_id {kind}, {', '.join(f'{n} bigint' for n in _NUMBERS)}, groups_sha256 string, n_best bigint, count_sum bigint"
     counted = (
-        documents.where("n_links > 0")
-        .select("chunk", "doc_id", *_NUMBERS, "groups_sha256", "at", "times")
+        chunks.where("n_links > 0 OR keys IS NOT NULL")
+        .select("chunk", "doc_id", *_NUMBERS, "groups_sha256", "at", "times", "links")
         .groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
+        .cogroup(answered.groupBy("chunk"))
         .applyInArrow(total, columns)
     )
     return counted.union(none)

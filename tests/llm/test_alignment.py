@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from bitledger.llm import alignment as al
+from bitledger.llm import answers
 from tests.llm.helpers import WORDS, documents, rows_by_id, sentence
 
 pytestmark = pytest.mark.skipif(not Path(al.BYTE_VOCABULARY).exists(), reason="vocabularies are absent")
@@ -85,8 +86,10 @@ def test_equals_brute_force(spark, known):
 
 
 def test_small_batches_chunks_and_shards(spark, known, monkeypatch):
-    for name, value in (("_BATCH", 40), ("CHUNK_LINKS", 100), ("SHARD_PAIRS", 20), ("ASKED_PAIRS", 10)):
+    for name, value in (("_BATCH", 40), ("CHUNK_WORDS", 30), ("CHUNK_DISTINCT", 25)):
         monkeypatch.setattr(al, name, value)
+    monkeypatch.setattr(answers, "SHARD_KEYS", 20)
+    monkeypatch.setattr(answers, "ASKED_KEYS", 10)
     check(spark, known, texts())
 
 
