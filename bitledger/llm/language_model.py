@@ -5,24 +5,30 @@ one, and groups of words with like endings. The class follows from a softmax ove
 n-gram and skip features of the words before and their classes; the word within its class
 follows from its count. Weights are trained by rounds of distributed updates: each round reads
 its share of the training texts, every task adds up observed and expected feature counts, and
-their sums move the weights. Counts of words never pass through one place: texts and the
-counts of the words they use meet in batches.
+their sums move the weights. Counts of words never pass through one place, and texts do not
+move: a task scores the classes where it reads a text, and asks shards of the counts once for
+each word of a chunk of texts.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitledger.llm.answers import added, answers, gathered, steps, walked
 from bitledger.llm.language import held_out
 from bitledger.llm.text import partitions, space_words, table, utf8
-from bitledger.session import shared_folder
+from bitledger.session import scratch_path, shared_folder
 
 CLASSES = 32
 COMMON_WORDS = 11  # classes 1 to 11; 0 is the end of a text
@@ -41,9 +47,24 @@ CAUTION = 20.0
 _CHUNK = 16_384
 _CACHE = 300_000
 _BLOCK = 512  # rows of weights that are summed together
+# Words before a token that bear on it.
+_PAD = 4
+# Tokens of the texts of a chunk, and bytes after which a long text is read in pieces.
+CHUNK_TOKENS = 2_000_000
+_PIECE = 4 << 20
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 END = b""
 
 
+def _pieces(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
+    """The words of a text in pieces of bounded size, and whether a piece is the last."""
+    at = 0
+    while len(text) - at > 2 * _PIECE and (found := _WHITE.search(text, at + _PIECE)):
+        yield space_words(text[at : found.start()]), False
+        at = found.start()
+    yield space_words(text[at:] if at else text), True
+
+
 def class_group(word: bytes) -> int:
     return 1 + COMMON_WORDS + zlib.crc32(word[-3:]) % _GROUPS
 
@@ -69,7 +90,8 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in utf8(batch.column(0)):
-                found.update(space_words(text or b""))
+                for words, _ in _pieces(text or b""):
+                    found.update(words)
                 found[END] += 1
                 if len(found) > _CACHE:
                     yield done()
@@ -134,27 +156,52 @@ class _Codes(dict):
         return value
 
 
-class _Counts(dict):
-    """Counts of words; a word without one was never seen."""
+class _Numbers(dict):
+    """Words numbered as they come, with their codes and the hashes by which they are counted."""
+
+    def __init__(self, common: dict[bytes, int]):
+        super().__init__()
+        self.common = common
+        self.start()
+
+    def start(self) -> None:
+        self.clear()
+        self.codes, self.keys = array("q"), array("q")
+        self[END]  # number 0
 
     def __missing__(self, word: bytes) -> int:
-        return 0
+        number = self[word] = len(self.codes)
+        known = self.common.get(word)
+        group = 0 if not word else class_group(word) if known is None else known
+        self.codes.append((zlib.crc32(word) << 5) | group)
+        self.keys.append(word_key(word))
+        return number
 
 
-def features(texts: list[list[bytes]], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weight rows and class of each token (words and one end a text), and the text it is of."""
-    pad = 4
+def word_key(word: bytes) -> int:
+    """What ``xxhash64`` of Spark gives for the word."""
+    value = xxhash.xxh64_intdigest(word, 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _flat(texts: list[list[bytes]], numbers: dict, before: list[list[int]], ended: list[bool]):
+    """Numbers of all words, each text after the numbers ``before`` it, an end as 0 where it ends;
+    and the tokens of each text."""
     flat: list[int] = []
     lengths = []
-    for words in texts:
-        flat += [0] * pad
-        flat += map(codes.__getitem__, words)
-        flat.append(0)
-        lengths.append(len(words) + 1)
-    every = np.array(flat, np.int64)
-    lengths = np.array(lengths, np.int64)
-    of = np.repeat(np.arange(len(texts)), lengths)
-    at = np.arange(len(of)) + pad * (of + 1)
+    for words, context, last in zip(texts, before, ended):
+        flat += context
+        flat += map(numbers.__getitem__, words)
+        if last:
+            flat.append(0)
+        lengths.append(len(words) + last)
+    return np.array(flat, np.int64), np.array(lengths, np.int64)
+
+
+def _rows(every: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weight rows and class of each token, the text it is of and its place, from codes."""
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(of)) + _PAD * (of + 1)
     one, two, three, four = (every[at - k] for k in (1, 2, 3, 4))
     h1, h2 = one >> 5, two >> 5
     c1, c2, c3, c4 = one & 31, two & 31, three & 31, four & 31
@@ -164,7 +211,13 @@ def features(texts: list[list[bytes]], codes: _Codes) -> tuple[np.ndarray, np.nd
     rows[2] = _STARTS[2] + (h1 * 40503 + h2 * 30011 >> 5) % _BIGRAM
     rows[3] = _STARTS[3] + c1 * CLASSES + c2
     rows[4] = _STARTS[4] + c3 * CLASSES + c4
-    return rows, every[at] & 31, of
+    return rows, every[at] & 31, of, at
+
+
+def features(texts: list[list[bytes]], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weight rows and class of each token (words and one end a text), and the text it is of."""
+    flat, lengths = _flat(texts, codes, [[0] * _PAD] * len(texts), [True] * len(texts))
+    return _rows(flat, lengths)[:3]
 
 
 def class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -176,17 +229,34 @@ def class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.nd
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def _in_chunks(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[list[bytes]]]:
-    texts, size = [], 0
-    for batch in batches:
-        for text in utf8(batch.column(at)):
-            texts.append(space_words(text or b""))
-            size += len(texts[-1]) + 1
+def target_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Natural log probability of each token's own class."""
+    logits = weights[rows[0]] + bias
+    for kind in rows[1:]:
+        logits += weights[kind]
+    logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(classes)), classes]
+    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+
+def _in_chunks(texts: Iterator[bytes | None], numbers: dict) -> Iterator[tuple]:
+    """Some texts or pieces at a time: the rows they are of, words, the numbers of the words
+    before each and whether its text ends with it."""
+    rows, words, before, ended, size = [], [], [], [], 0
+    for row, text in enumerate(texts):
+        context = [0] * _PAD
+        for piece, last in _pieces(text or b""):
+            rows.append(row)
+            words.append(piece)
+            before.append(context)
+            ended.append(last)
+            size += len(piece) + 1
+            context = (context + [numbers[w] for w in piece[-_PAD:]])[-_PAD:] if not last else context
             if size >= _CHUNK:
-                yield texts
-                texts, size = [], 0
-    if texts:
-        yield texts
+                yield rows, words, before, ended
+                rows, words, before, ended, size = [], [], [], [], 0
+    if rows:
+        yield rows, words, before, ended
 
 
 def feature_sums(texts: DataFrame, weights: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
@@ -203,8 +273,9 @@ def feature_sums(texts: DataFrame, weights: np.ndarray, vocabulary: Vocabulary)
         codes = _Codes(common)
         seen = np.zeros(ROWS * CLASSES, np.float32)
         expected = np.zeros((CLASSES, ROWS))
-        for part in _in_chunks(batches, 0):
-            every, target, _ = features(part, codes)
+        texts = (text for batch in batches for text in utf8(batch.column(0)))
+        for _, words, before, ended in _in_chunks(texts, codes):
+            every, target = _rows(*_flat(words, codes, before, ended))[:2]
             for start in range(0, len(target), _CHUNK):
                 rows, classes = every[:, start : start + _CHUNK], target[start : start + _CHUNK]
                 shares = np.exp(class_logs(w, bias, rows))
@@ -254,93 +325,142 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
     return weights
 
 
+def _score_classes(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) -> DataFrame:
+    """Rows of two kinds by ``chunk``: documents with their tokens, the log10 probability of
+    their classes and their words (``at`` and ``times``, as places in the chunk); and one with the
+    distinct words of the chunk, as ``keys`` and ``classes``."""
+    shared = docs.sparkSession.sparkContext.broadcast((weights, vocabulary.bias, vocabulary.common))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["chunk", "doc_id", "held_out", "n_tokens", "class_score", "at", "times", "size", "keys", "classes"]
+    schema = (
+        f"chunk bigint, doc_id {kind}, held_out boolean, n_tokens bigint, class_score double, "
+        "at binary, times binary, size bigint, keys binary, classes binary"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, bias, common = shared.value
+        numbers = _Numbers(common)
+        chunk = TaskContext.get().partitionId() << 32
+        for group in _runs(batches):
+            ids = pa.concat_arrays([b.column(0) for b in group])
+            n = len(ids)
+            tokens, score = np.zeros(n, np.int64), np.zeros(n)
+            keys, times = np.empty(0, np.int64), np.empty(0, np.int64)
+            waiting: list[np.ndarray] = []
+            held = 0
+            texts = (text for b in group for text in utf8(b.column(2)))
+            for rows, words, before, ended in _in_chunks(texts, numbers):
+                flat, lengths = _flat(words, numbers, before, ended)
+                found, classes, of, at = _rows(np.array(numbers.codes, np.int64)[flat], lengths)
+                owner = np.array(rows)[of]
+                tokens += np.bincount(owner, minlength=n)
+                for start in range(0, len(classes), _CHUNK):
+                    part = slice(start, start + _CHUNK)
+                    logs = target_logs(w, bias, found[:, part], classes[part])
+                    score += np.bincount(owner[part], logs, minlength=n)
+                waiting.append(owner << 32 | flat[at])
+                held += len(of)
+                if held >= CHUNK_TOKENS:
+                    keys, times = _collect(keys, times, waiting)
+                    waiting, held = [], 0
+            keys, times = _collect(keys, times, waiting)
+            hashes = np.array(numbers.keys, np.int64)
+            # Words of one hash, if ever, are counted as one.
+            distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+            keys, times = added(keys >> 32 << 32 | place[keys & 0xFFFFFFFF], times)
+            cuts = np.searchsorted(keys, np.arange(n + 1) << 32)
+            parts = [slice(x, y) for x, y in zip(cuts[:-1], cuts[1:])]
+            chunks = pa.array(np.full(n, chunk, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    chunks, ids, pa.concat_arrays([b.column(1) for b in group]), pa.array(tokens), pa.array(score / np.log(10)),
+                    pa.array([steps(keys[x] & 0xFFFFFFFF) for x in parts], pa.binary()),
+                    pa.array([times[x].astype(np.uint32).tobytes() for x in parts], pa.binary()),
+                    pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
+                ],
+                names,
+            )
+            classes = (np.array(numbers.codes, np.int64)[first] & 31).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    chunks[:1], pa.nulls(1, ids.type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()),
+                    pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+                    pa.array([len(distinct)], pa.int64()), pa.array([distinct.tobytes()], pa.binary()),
+                    pa.array([classes.tobytes()], pa.binary()),
+                ],
+                names,
+            )
+            numbers.start()
+            chunk += 1
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+
+
+def _collect(keys: np.ndarray, times: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    new = np.concatenate([np.empty(0, np.int64), *more])
+    return added(np.concatenate([keys, new]), np.concatenate([times, np.ones(len(new), np.int64)]))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows in groups of about CHUNK_TOKENS tokens, taken to have six bytes; a row is in one."""
+    group, size = [], 0
+    for batch in batches:
+        start = 0
+        for row, text in enumerate(batch.column(2)):
+            size += len(text.as_buffer() or b"") // 6 + 1
+            if size >= CHUNK_TOKENS:
+                yield [*group, batch.slice(start, row + 1 - start)]
+                group, size, start = [], 0, row + 1
+        if start < batch.num_rows:
+            group.append(batch.slice(start))
+    if group:
+        yield group
+
+
 def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, base_score, score`` per row of ``docs``.
 
-    Documents are dealt into batches; each batch asks once for the counts of its distinct
-    words and gets them in a cogroup, so no task needs the whole vocabulary.
+    Texts are read once and do not move. What a task has found of a chunk of them is written to
+    the shared folder, and meets there the counts of the chunk's distinct words.
     """
     spark = docs.sparkSession
-    # Larger batches ask for fewer counts in all, since their texts share words.
-    batches_wanted = partitions(spark)
-    shared = spark.sparkContext.broadcast((weights, vocabulary))
-    dealt = docs.select(
-        F.pmod(F.xxhash64(F.lit("batch"), "doc_id", "text"), F.lit(batches_wanted)).alias("batch"), "doc_id", "held_out", "text"
-    ).repartition("batch")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: dict[int, set[bytes]] = {}
-        held = 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            for b, words in wanted.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b] * len(words), pa.int64()), pa.array(list(words), pa.binary())], ["batch", "w"]
-                )
-            wanted.clear()
-
-        for batch in batches:
-            for b, text in zip(batch.column(0).to_pylist(), utf8(batch.column(3))):
-                words = wanted.setdefault(b, {END})
-                held -= len(words)
-                words.update(space_words(text or b""))
-                held += len(words)
-                if held > _CACHE:
-                    yield from done()
-                    held = 0
-        yield from done()
-
-    # All columns, needed or not: so both readers share one exchange of the texts.
-    asked = dealt.mapInArrow(ask, "batch bigint, w binary")
-    answers = asked.join(counts, "w").select("batch", "w", "c")
+    path = scratch_path(spark, "scored")
+    _score_classes(docs, vocabulary, weights).write.parquet(path, compression="zstd")
+    rows = spark.read.parquet(path)
+    asked = rows.where(F.col("keys").isNotNull()).select("chunk", "size", "keys")
+    keyed = counts.groupBy(F.xxhash64("w").alias("key")).agg(F.sum("c").alias("number")).checkpoint()
+    answered = answers(asked, keyed, lambda blob: np.frombuffer(blob, np.int64))
+    shared = spark.sparkContext.broadcast(vocabulary)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def score(group: pa.Table, known: pa.Table) -> pa.Table:
-        w, words_known = shared.value
-        counted = _Counts(zip(known.column("w").to_pylist(), known.column("c").to_pylist()))
-        codes = _Codes(words_known.common)
-        rows: list[np.ndarray] = []
-        for texts in _in_chunks(iter(group.select(["text"]).to_batches()), 0):
-            every, classes, of = features(texts, codes)
-            logs = np.empty(len(classes))
-            for start in range(0, len(classes), _CHUNK):
-                part = slice(start, start + _CHUNK)
-                found = class_logs(w, words_known.bias, every[:, part])
-                logs[part] = found[np.arange(found.shape[0]), classes[part]]
-            flat: list[int] = []
-            for words in texts:
-                flat += map(counted.__getitem__, words)
-                flat.append(counted[END])
-            c = np.array(flat, np.int64)
-            score = logs / np.log(10) + words_known.in_class(classes, c)
-            size = len(texts)
-            rows.append(
-                np.stack(
-                    [
-                        np.bincount(of, minlength=size),
-                        np.bincount(of, c > 0, minlength=size),
-                        np.bincount(of, words_known.base(c), minlength=size),
-                        np.bincount(of, score, minlength=size),
-                    ]
-                )
-            )
-        total = np.concatenate(rows, axis=1) if rows else np.empty((4, 0))
+    def total(group: pa.Table, known: pa.Table) -> pa.Table:
+        model = shared.value
+        classes = next(x.as_py() for x in group.column("classes") if x.is_valid)
+        c = gathered(known)
+        share = model.in_class(np.frombuffer(classes, np.uint8).astype(np.int64), c)
+        base = model.base(c)
+        group = group.filter(group.column("at").is_valid())
+        out = np.zeros((3, group.num_rows))
+        for k, (at, times) in enumerate(zip(group.column("at"), group.column("times"))):
+            here, weight = walked(at.as_py()), np.frombuffer(times.as_py(), np.uint32).astype(np.float64)
+            out[:, k] = weight[c[here] > 0].sum(), weight @ base[here], weight @ share[here]
         return pa.table(
             {
                 "doc_id": group.column("doc_id"),
                 "held_out": group.column("held_out"),
-                "n_tokens": pa.array(total[0].astype(np.int64)),
-                "n_known": pa.array(total[1].astype(np.int64)),
-                "base_score": pa.array(total[2]),
-                "score": pa.array(total[3]),
+                "n_tokens": group.column("n_tokens"),
+                "n_known": pa.array(out[0].astype(np.int64)),
+                "base_score": pa.array(out[1]),
+                "score": pa.array(out[2] + group.column("class_score").to_numpy()),
             }
         )
 
     return (
-        dealt.groupBy("batch")
-        .cogroup(answers.groupBy("batch"))
+        rows.select("chunk", "doc_id", "held_out", "n_tokens", "class_score", "at", "times", "classes")
+        .groupBy("chunk")
+        .cogroup(answered.groupBy("chunk"))
         .applyInArrow(
-            score,
+            total,
             f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double",
         )
     )
