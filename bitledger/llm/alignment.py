@@ -19,9 +19,11 @@ Texts are read once; the results are written to the shared folder before they ar
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +54,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+# How byte-level vocabularies of this kind cut a text before merging bytes.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Tokenizers:
-    """Both tokenizers with the bytes of their ids."""
+    """Both tokenizers with the bytes of their ids.
+
+    The byte-level file gives each merge once and in the order of its ids. Then merging the pair
+    with the smallest id, as rank vocabularies do, gives the same tokens, about ten times faster;
+    a file that is not like this is read by the library it is written for.
+    """
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.byte = Tokenizer.from_file(byte_path)
@@ -77,10 +89,68 @@ class Tokenizers:
         self.cuttable = not any(" " in x.lstrip(b" ").decode("utf-8", "replace") for x in self.bytes_b)
         most = max(len(self.bytes_a), len(self.bytes_b))
         self.written = {end: np.array([b"%d%s" % (k, end) for k in range(most)], object) for end in (b",", b"|", b";")}
+        self.ranked = None
+        if (ranks := self._ranks(json.loads(self.byte.to_str()))) is not None:
+            self.ranked = tiktoken.Encoding("bytes", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _ranks(self, file: dict) -> dict[bytes, int] | None:
+        model, cut = file["model"], file["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not file["normalizer"] and cut.get("type") == "ByteLevel"
+        if not plain or cut.get("add_prefix_space") or not cut.get("use_regex", True) or model.get("ignore_merges"):
+            return None
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        made = [model["vocab"].get("".join(pair)) for pair in pairs]
+        special = {t["id"] for t in file["added_tokens"]}
+        ordinary = sorted(set(model["vocab"].values()) - special)
+        # 256 single bytes, then each merge's token with the next id.
+        if None in made or made != ordinary[256:] or any(len(self.bytes_a[k]) != 1 for k in ordinary[:256]):
+            return None
+        return {self.bytes_a[k]: k for k in ordinary}
+
+    def encode_a(self, text: str) -> list[int]:
+        """Ids of A for the text as it is."""
+        if self.ranked:
+            return self.ranked.encode_ordinary(text)
+        return self.byte.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [found.ids for found in self.byte.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        return a, self.piece.encode(texts, num_threads=1)
+        return [self.encode_a(" " + t) for t in texts], self.piece.encode(texts, num_threads=1)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of A and B, word after word, and which words keep their bytes.
+
+        Words as they are cut from texts; those without white space at their ends are encoded by
+        A as one text, since a space between them is a cut.
+        """
+        raw = [b" " + w.encode() for w in words]
+        if not words or any(w[0].isspace() or w[-1].isspace() for w in words):
+            a = [self.encode_a(" " + w) for w in words]
+            n_a = np.array([len(x) for x in a], np.int64)
+            ids_a = np.fromiter(chain.from_iterable(a), np.int64, int(n_a.sum()))
+        else:
+            ids_a = np.array(self.encode_a(" " + " ".join(words)), np.int64)
+            ends = np.cumsum(self.size_a[ids_a])
+            stops = np.cumsum([len(x) for x in raw])
+            last = np.minimum(np.searchsorted(ends, stops), len(ends) - 1)
+            if (ends[last] != stops).any():
+                raise ValueError("the byte-level vocabulary has a token across a space between words")
+            n_a = np.diff(last, prepend=-1)
+        b = self.piece.encode(words, num_threads=1)
+        n_b = np.array([len(x) for x in b], np.int64)
+        ids_b = np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
+        return ids_a, n_a, ids_b, n_b, self._kept(self.bytes_a, ids_a, n_a, raw) & self._kept(self.bytes_b, ids_b, n_b, raw)
+
+    @staticmethod
+    def _kept(entries: list[bytes], ids: np.ndarray, counts: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        parts = list(map(entries.__getitem__, ids.tolist()))
+        if b"".join(parts) == b"".join(raw):
+            # The bytes agree as a whole; words agree where their tokens end with them.
+            ends = np.cumsum([len(x) for x in parts])
+            stops = np.cumsum(counts)
+            whole = np.where(stops > 0, ends[np.maximum(stops, 1) - 1], 0) == np.cumsum([len(x) for x in raw])
+            return whole & np.concatenate([[True], whole[:-1]])
+        stops = np.cumsum(counts).tolist()
+        return np.array([b"".join(parts[x:y]) == w for x, y, w in zip([0, *stops[:-1]], stops, raw)], bool)
 
     def holds(self, text: str, a: list[int], b: list[int]) -> bool:
         """Whether both encodings give the bytes of the text after a space."""
@@ -146,22 +216,19 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, first: np.ndarray, last:
 class Aligned:
     """Numbers, groups and links of some texts, aligned together."""
 
-    def __init__(self, known: Tokenizers, a: list[list[int]], b: list[list[int]]):
-        self.n_a = np.array([len(x) for x in a], np.int64)
-        self.n_b = np.array([len(x) for x in b], np.int64)
-        ids_a = np.concatenate([np.array(x, np.int64) for x in a])
-        ids_b = np.concatenate([np.array(x, np.int64) for x in b])
+    def __init__(self, known: Tokenizers, ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray):
+        self.n_a, self.n_b = n_a, n_b
         ends_a, ends_b = np.cumsum(known.size_a[ids_a]), np.cumsum(known.size_b[ids_b])
-        stop_a, stop_b = np.cumsum(self.n_a), np.cumsum(self.n_b)
-        cuts_a = shared_cuts(ends_a, ends_b, stop_a - self.n_a, stop_a - 1)
+        stop_a = np.cumsum(n_a)
+        cuts_a = shared_cuts(ends_a, ends_b, stop_a - n_a, stop_a - 1)
         cuts_b = np.searchsorted(ends_b, ends_a[cuts_a])
         stops = np.searchsorted(cuts_a, stop_a - 1) + 1
         self.n_groups = np.diff(stops, prepend=0)
         # Between neighbouring ends of either tokenizer lies one link.
-        every = np.union1d(ends_a, ends_b)
-        self.pairs = (ids_a[np.searchsorted(ends_a, every)] * len(known.bytes_b) + ids_b[np.searchsorted(ends_b, every)])
-        self.text_of = np.searchsorted(ends_a[stop_a - 1], every)
-        self.n_links = np.bincount(self.text_of, minlength=len(a))
+        every = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        every = every[np.concatenate([[True], every[1:] != every[:-1]])]
+        self.pairs = ids_a[np.searchsorted(ends_a, every)] * len(known.bytes_b) + ids_b[np.searchsorted(ends_b, every)]
+        self.n_links = np.diff(np.searchsorted(every, ends_a[stop_a - 1], side="right"), prepend=0)
         self._written(known, ids_a, ids_b, cuts_a, cuts_b, stops)
 
     def _written(self, known: Tokenizers, ids_a, ids_b, cuts_a, cuts_b, stops) -> None:
@@ -199,19 +266,25 @@ class Words:
 
     def learn(self, words: list[str]) -> None:
         """Numbers, groups and links of words that are new; none where a tokenizer changes one."""
-        a, b = self.known.encode(words)
-        fine = [k for k, word in enumerate(words) if self.known.holds(word, a[k], b[k])]
+        odd = [w for w in words if w[0].isspace() or w[-1].isspace()]
+        plain = [w for w in words if not (w[0].isspace() or w[-1].isspace())]
+        for part in (plain, odd):
+            if part:
+                self._learn(part)
+
+    def _learn(self, words: list[str]) -> None:
+        ids_a, n_a, ids_b, n_b, fine = self.known.encode_words(words)
         numbers, groups = np.zeros((len(words), 4), np.int64), [b""] * len(words)
-        if fine:
-            found = Aligned(self.known, [a[k] for k in fine], [b[k] for k in fine])
+        if fine.any():
+            kept_a, kept_b = np.repeat(fine, n_a), np.repeat(fine, n_b)
+            found = Aligned(self.known, ids_a[kept_a], n_a[fine], ids_b[kept_b], n_b[fine])
             numbers[fine] = np.stack([found.n_a, found.n_b, found.n_groups, found.n_links], axis=1)
-            for k, written in zip(fine, found.groups):
+            for k, written in zip(np.flatnonzero(fine).tolist(), found.groups):
                 groups[k] = written
             self.pairs.append(found.pairs)
-        right = set(fine)
         self.number.update(zip(words, range(len(self.groups), len(self.groups) + len(words))))
         self.groups += groups
-        self.fine += [k in right for k in range(len(words))]
+        self.fine += fine.tolist()
         self.numbers.append(numbers)
 
     def read(self, texts: list[str]) -> list[list[int]]:
@@ -260,7 +333,8 @@ def token_groups(docs: DataFrame, byte_path: str = BYTE_VOCABULARY, piece_path:
                     if not known.holds(piece, a, b):
                         found = None
                         break
-                    for part in Aligned(known, [a], [b]).groups[0][:-1].split(b";"):
+                    whole = Aligned(known, np.array(a), np.array([len(a)]), np.array(b), np.array([len(b)]))
+                    for part in whole.groups[0][:-1].split(b";"):
                         sides = part.split(b"|")
                         found.append({"a": list(map(int, sides[0].split(b","))), "b": list(map(int, sides[1].split(b",")))})
                 groups.append(found or None)

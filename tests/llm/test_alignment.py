@@ -110,6 +110,27 @@ def test_pieces_of_long_texts_encode_alike(known):
         assert sum(a, []) == whole_a and sum(b, []) == whole_b
 
 
+def test_ranks_give_the_tokens_of_the_file(known):
+    """Merging by ids against the library that the file is written for: texts, noise, and every entry."""
+    assert known.ranked is not None
+    rng = random.Random(13)
+    noise = ["".join(rng.choice("abcdeéèü日本\U0001f600 \n\t'.,-_#0123") for _ in range(80)) for _ in range(300)]
+    entries = [x.decode() for x in known.bytes_a if x.isascii()]
+    for text in [*(t or "" for t in texts()), *noise, *entries, " ".join(entries), "x".join(entries[::7])]:
+        assert known.encode_a(text) == known.byte.encode(text, add_special_tokens=False).ids
+
+
+def test_words_joined_or_alone(known):
+    rng = random.Random(14)
+    plain = [w for w in dict.fromkeys("".join(rng.choice("abcdeé日.,'#\n0▁") for _ in range(rng.randrange(1, 9))) for _ in range(400)) if w.strip() == w]
+    ids_a, n_a, ids_b, n_b, fine = known.encode_words(plain)
+    at_a, at_b = np.cumsum(n_a), np.cumsum(n_b)
+    a, b = known.encode(plain)
+    for k, w in enumerate(plain):
+        assert ids_a[at_a[k] - n_a[k] : at_a[k]].tolist() == a[k] and ids_b[at_b[k] - n_b[k] : at_b[k]].tolist() == b[k]
+        assert fine[k] == known.holds(w, a[k], b[k]) == ("▁" not in w)
+
+
 def test_very_long_text(spark, known):
     rng = random.Random(1)
     text = sentence(rng, 400_000)
