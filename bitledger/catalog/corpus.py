@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitledger.catalog.bindings import bind, cte, table
-from bitledger.catalog.common import Query, r
+from bitledger.catalog.common import Query, r, rounded
 from bitledger.functions import fixed_values as fixed
-from bitledger.operators import corpus, filters, prompts
+from bitledger.operators import context_model, corpus, filters, prompts, subword
 from bitledger.operators.perplexity import corpus_perplexity
 from bitledger.sources.corpus import read_corpus
 
@@ -147,6 +147,105 @@ ORACLE["corpus_perplexity"] = (
 )
 
 
+# --- a model that sees the token before ---------------------------------------------
+# The vocabulary is a parameter of the operators; these queries take one of the public files.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+_D = f"{context_model.DISCOUNT!r}e0"
+
+
+def _stream_sql(name: str, tokens: str) -> str:
+    """Positions ``(pos, token, prev)`` of a token stream."""
+    return (
+        f"{name} AS (SELECT pos, token, LAG(token) OVER (ORDER BY pos) AS prev FROM (SELECT start_offset + generate_subscripts(tokens, 1) - 1 AS pos, unnest(tokens) AS token "
+        f"FROM (SELECT tokens, SUM(len(tokens)) OVER (ORDER BY id) - len(tokens) AS start_offset FROM {tokens})))"
+    )
+
+
+def _tokens_sql(name: str, table: str, key: str) -> str:
+    body = f"trim(text, {_CHARS})"
+    return f"{name} AS (SELECT {key} AS id, CASE WHEN {body} = '' THEN [] ELSE regexp_split_to_array({body}, '{_RUN}') END AS tokens FROM {table} WHERE text IS NOT NULL)"
+
+
+def _bigram_sql(model: str) -> str:
+    """Tables of the model of a stream, and the loss of each position of the stream ``e``."""
+    return (
+        f"mp AS (SELECT prev, token, COUNT(*) AS n FROM {model} WHERE prev IS NOT NULL GROUP BY prev, token), "
+        "mc AS (SELECT prev, SUM(n) AS ofn, COUNT(*) AS f FROM mp GROUP BY prev), "
+        f"mu AS (SELECT token, COUNT(*) AS c FROM {model} GROUP BY token), "
+        "mt AS (SELECT SUM(c) + COUNT(*) + 1.0e0 AS total FROM mu), "
+        "h AS (SELECT e.pos, COALESCE(mp.n, 0) AS n, mc.ofn, mc.f, (COALESCE(mu.c, 0) + 1) / (SELECT total FROM mt) AS single "
+        "FROM e LEFT JOIN mp USING (prev, token) LEFT JOIN mc USING (prev) LEFT JOIN mu ON mu.token = e.token WHERE e.prev IS NOT NULL), "
+        f"nll AS (SELECT pos, -ln(CASE WHEN ofn IS NULL THEN single ELSE GREATEST(n - {_D}, 0.0e0) / ofn + {_D} * f / ofn * single END) AS nll FROM h)"
+    )
+
+
+def _windowed_sql(stride: int, length: int) -> str:
+    """Mean losses of the windows' new tokens, weighted by these."""
+    first = f"CASE WHEN pos < {length} THEN 0 ELSE 1 + CAST(FLOOR((pos - {length}) / {stride}) AS BIGINT) END"
+    scored = f"pos % {length} <> 0" if stride == length else "TRUE"
+    # Windows beyond the first that do not overlap are weighted only where they have a loss.
+    return (
+        f", k AS (SELECT {first} AS k, COUNT(*) AS target_len FROM e GROUP BY 1), m AS (SELECT {first} AS k, AVG(nll) AS loss FROM nll WHERE {scored} GROUP BY 1) "
+        f"SELECT {r('exp(SUM(loss * target_len) / SUM(target_len))', 4)} AS perplexity, (SELECT COUNT(*) FROM e) AS n_tokens FROM k JOIN m USING (k)"
+    )
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark texts as a corpus of their own, which no model here is fitted on."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text").where(F.col("text").isNotNull())
+
+
+_DOCS_SQL = _tokens_sql("td", "documents", "doc_id")
+_ITEMS_SQL = _tokens_sql("ti", "benchmark", "item_id")
+for _name, _stride in (("context_perplexity", 512), ("context_perplexity_disjoint", 1024)):
+    QUERIES[_name] = lambda spark, sf, s=_stride: context_model.context_perplexity(
+        corpus.with_tokens(_documents(spark, sf)), stride=s
+    )
+    ORACLE[_name] = (
+        f"WITH {_DOCS_SQL}, {_stream_sql('e', 'td')}, {_bigram_sql('e')}" + _windowed_sql(_stride, 1024)
+    )
+QUERIES["context_perplexity_heldout"] = lambda spark, sf: context_model.context_perplexity(
+    corpus.with_tokens(_items(spark, sf)), context_model.fit_bigrams(corpus.with_tokens(_documents(spark, sf))), 128, 256
+)
+ORACLE["context_perplexity_heldout"] = (
+    f"WITH {_DOCS_SQL}, {_ITEMS_SQL}, {_stream_sql('s', 'td')}, {_stream_sql('e', 'ti')}, {_bigram_sql('s')}" + _windowed_sql(128, 256)
+)
+QUERIES["document_losses"] = lambda spark, sf: rounded(
+    context_model.document_losses(
+        corpus.with_tokens(_items(spark, sf)), context_model.fit_bigrams(corpus.with_tokens(_documents(spark, sf)))
+    ), 6, "loss",
+)
+ORACLE["document_losses"] = (
+    f"WITH {_DOCS_SQL}, {_ITEMS_SQL}, {_stream_sql('s', 'td')}, "
+    "x AS (SELECT id, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token FROM ti), "
+    "e AS (SELECT row_number() OVER () AS pos, id, token, LAG(token) OVER (PARTITION BY id ORDER BY pos) AS prev FROM x), "
+    f"{_bigram_sql('s')} SELECT ti.id AS doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, COALESCE(loss, 0.0e0) AS loss FROM ti "
+    f"LEFT JOIN (SELECT id, {r('SUM(nll)', 6)} AS loss FROM nll JOIN e USING (pos) GROUP BY id) USING (id)"
+)
+
+
+def _subword_sample(spark, sf):
+    ids = subword.token_ids(_documents(spark, sf), VOCABULARY, 512)
+    digest = F.md5(F.array_join(F.col("ids").cast("array<string>"), " "))
+    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("digest"))
+
+
+def _subword_windows(spark, sf):
+    windows = corpus.window_tokens(subword.stored_tokens(_documents(spark, sf), VOCABULARY))
+    return windows.select(
+        "begin", "target_len", F.size("tokens").cast("bigint").alias("n_tokens"),
+        F.md5(F.array_join("tokens", " ")).alias("digest"),
+    )
+
+
+# Vocabularies are beyond SQL; tests compare with the corpus encoded as one string.
+QUERIES["calibration_token_ids"] = _subword_sample
+QUERIES["subword_window_tokens"] = _subword_windows
+QUERIES["subword_perplexity"] = lambda spark, sf: context_model.context_perplexity(
+    subword.stored_tokens(_documents(spark, sf), VOCABULARY)
+)
+
+
 # --- prompts -----------------------------------------------------------------------
 def _build_prompt(spark, sf):
     items = table(spark, sf, "benchmark").withColumn("text", F.concat("text", F.lit(" ")))
