@@ -157,3 +157,17 @@ WHITESPACE = (
 )
 # The same characters as a pattern: Unicode white space and the four separators U+001C to U+001F.
 WHITESPACE_RUN = r"(?U)[\s\x1C-\x1F]+"
+
+# Which linear layers read the output of a norm, by the ends of their names inside a block.
+NORM_READERS = [
+    ("input_layernorm", "self_attn.q_proj"),
+    ("input_layernorm", "self_attn.k_proj"),
+    ("input_layernorm", "self_attn.v_proj"),
+    ("post_attention_layernorm", "mlp.gate_proj"),
+    ("post_attention_layernorm", "mlp.up_proj"),
+    ("self_attn_layer_norm", "self_attn.q_proj"),
+    ("self_attn_layer_norm", "self_attn.k_proj"),
+    ("self_attn_layer_norm", "self_attn.v_proj"),
+    ("ln_1", "attn.c_attn"),
+    ("ln_2", "mlp.c_fc"),
+]

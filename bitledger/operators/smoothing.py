@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitledger.functions import fixed_values as fixed
+from bitledger.session import lookup
+
 
 def _channel_max(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Largest absolute value per channel; each task sends one row per key and channel."""
@@ -72,3 +75,41 @@ def apply_smoothing(
         {"weight": F.col("weight") / by, "bias": F.col("bias") / by}
     )
     return held.withColumn("vec", scaled).drop("_factors"), scaled_norm.drop("factor")
+
+
+def pair_norms(modules: DataFrame, readers: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``(norm, linear)``: the linear layers that read each norm's output, by their names.
+
+    ``modules`` has the column ``name``, such as ``model.layers.3.self_attn.q_proj``. ``readers``
+    lists the ends of the names (one part for a norm, two for a linear layer); a norm and a
+    linear layer pair where what stands before is the same block. Norms without a reader in the
+    list, and linear layers that read no norm, are in no pair.
+    """
+    ends = lookup(modules.sparkSession, ["norm_end", "linear_end"], fixed.NORM_READERS if readers is None else readers)
+    names = modules.select("name").where(F.col("name").isNotNull()).distinct()
+
+    def cut(parts: int, end: str, whole: str) -> DataFrame:
+        found = F.substring_index("name", ".", -parts)
+        block = F.substring(F.col("name"), F.lit(1), F.length("name") - F.length(found))
+        return names.select(F.col("name").alias(whole), found.alias(end), block.alias("block"))
+
+    norms = cut(1, "norm_end", "norm").join(ends, "norm_end")
+    return norms.join(cut(2, "linear_end", "linear"), ["block", "linear_end"]).select("norm", "linear")
+
+
+def smooth_paired(
+    weights: DataFrame, activations: DataFrame, norms: DataFrame, pairs: DataFrame, alpha: float = 0.5
+) -> tuple[DataFrame, DataFrame]:
+    """Smooth every norm of a model with the linear layers that read it.
+
+    ``weights``: layer (a linear layer's name), row_id, vec; ``activations``: layer (a norm's
+    name), row_id, vec, the norm's outputs; ``norms``: norm, channel, weight, bias. A norm's
+    factors come from its outputs and from the weights of all its readers together. Returns the
+    weights and the norms; linear layers and norms in no pair keep their values.
+    """
+    named = pairs.select("norm", F.col("linear").alias("layer"))
+    placed = weights.join(named, "layer", "left")
+    act = activation_scales(activations.withColumnRenamed("layer", "norm"), keys=("norm",))
+    weight = weight_scales(placed.where(F.col("norm").isNotNull()), keys=("norm",))
+    smoothed, scaled = apply_smoothing(placed, norms, smoothing_factors(act, weight, alpha, keys=("norm",)), keys=("norm",))
+    return smoothed.drop("norm"), scaled
