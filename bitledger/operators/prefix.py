@@ -2,54 +2,54 @@
 
 from __future__ import annotations
 
-import math
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Copies of one row are written out in blocks of this size, so no task writes them all.
 COPIES_PER_BLOCK = 64
-# About so many values are sampled to cut the order into ranges.
-SAMPLED_VALUES = 4000
+# About FANOUT^3 rows are sampled to cut the order into ranges.
+FANOUT = 16
+SAMPLED_ROWS = FANOUT**3
+# Distinct values up to which their ranks are a table from the driver.
+SMALL_VALUES = 10_000
 
 
-def _as_number(df: DataFrame, col: str) -> Column:
-    """A number that never falls along the order of a column: itself, or the first seven bytes of a text."""
-    kind = df.schema[col].dataType
-    if isinstance(kind, T.StringType):
-        first = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 7)), 14, "0")
-        return F.conv(first, 16, 10).cast("bigint")
-    if isinstance(kind, (T.DateType, T.TimestampType)):
-        return F.unix_micros(F.col(col).cast("timestamp"))
-    return F.col(col).cast("bigint" if isinstance(kind, T.IntegralType) else "double")
+def _every(values: str, step: int) -> Column:
+    return F.filter(values, lambda x, i: (i + 1) % step == 0)
 
 
-def _with_range(df: DataFrame, groups: list[str], col: str) -> DataFrame:
-    """Rows with ``_range``, the place of their value among the bounds of their group.
+def _with_range(df: DataFrame, groups: list[str], order_cols: list[str]) -> DataFrame:
+    """Rows with ``_range``, their place among the bounds of their group.
 
-    Bounds are the values whose hash is a multiple of a number that follows from the number of
-    rows: they depend on the data alone, so every evaluation of the plan finds the same ones.
+    Bounds are the rows, by all order columns, whose hash is a multiple of a number that follows
+    from the number of rows: they depend on the data alone, so every evaluation of the plan finds
+    the same ones, and few distinct values of the first column do not make few ranges.
     """
-    marked = df.withColumn("_lead", _as_number(df, col))
-    one_in = F.greatest(F.floor(F.count("*") / F.lit(SAMPLED_VALUES)), F.lit(1)).cast("bigint")
-    drawn = marked.select(*groups, "_lead").withColumn("_m", marked.agg(one_in.alias("m")).scalar())
+    lead = F.struct(*order_cols)
+    one_in = F.greatest(F.floor(F.count("*") / F.lit(SAMPLED_ROWS)), F.lit(1)).cast("bigint")
+    drawn = df.select(*groups, lead.alias("_lead")).withColumn("_m", df.agg(one_in.alias("m")).scalar())
     drawn = drawn.where(F.pmod(F.xxhash64("_lead"), F.col("_m")) == 0)
     bounds = drawn.groupBy(*groups).agg(F.array_sort(F.collect_set("_lead")).alias("_b"))
-    # Few enough to search: every value of a coarse list first, then those in between.
-    width = math.isqrt(SAMPLED_VALUES)
-    coarse = F.filter("_b", lambda x, i: (i + 1) % width == 0)
-    bounds = bounds.select(*[F.col(g).alias(f"_{g}") for g in groups], F.struct("_b", coarse.alias("_c")).alias("_s"))
+    # Searched in three steps: coarse bounds first, then those in between.
+    coarse, middle = _every("_b", FANOUT**2), _every("_b", FANOUT)
+    bounds = bounds.select(
+        *[F.col(g).alias(f"_{g}") for g in groups], F.struct(F.col("_b").alias("b"), middle.alias("m"), coarse.alias("c")).alias("_s")
+    )
     if groups:
         same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
-        placed = marked.join(bounds, same, "left").drop(*[f"_{g}" for g in groups])
+        placed = df.join(bounds, same, "left").drop(*[f"_{g}" for g in groups])
     else:
-        placed = marked.withColumn("_s", bounds.scalar())
-    skipped = F.size(F.filter("_s._c", lambda x: x < F.col("_lead"))) * width
-    rest = F.size(F.filter(F.slice("_s._b", F.col("_skipped") + 1, F.lit(width)), lambda x: x < F.col("_lead")))
-    # A missing value sorts first, as does a group without bounds into its only range.
-    found = placed.withColumn("_skipped", F.greatest(skipped, F.lit(0)))
-    return found.withColumn("_range", F.col("_skipped") + F.greatest(rest, F.lit(0))).drop("_lead", "_s", "_skipped")
+        placed = df.withColumn("_s", bounds.scalar())
+
+    def below(values: Column) -> Column:
+        # A group without bounds has one range.
+        return F.greatest(F.size(F.filter(values, lambda x: x < lead)), F.lit(0))
+
+    step = F.lit(FANOUT)
+    placed = placed.withColumn("_k", below(F.col("_s.c")) * step)
+    placed = placed.withColumn("_k", (F.col("_k") + below(F.slice("_s.m", F.col("_k") + 1, step))) * step)
+    return placed.withColumn("_range", F.col("_k") + below(F.slice("_s.b", F.col("_k") + 1, step))).drop("_s", "_k")
 
 
 def running_total(
@@ -61,13 +61,13 @@ def running_total(
 ) -> DataFrame:
     """Sum of ``value_col`` over all earlier rows of the group (the row itself excluded).
 
-    A window over a whole group would put it into one task. Here the first order column cuts
-    each group into ranges; each range is summed on its own and the sums of the earlier ranges
-    are added. Nothing runs before the result is read. ``(partition_cols, order_cols)`` should
-    be unique; equal values of the first order column share a range.
+    A window over a whole group would put it into one task. Here the order columns cut each
+    group into ranges; each range is summed on its own and the sums of the earlier ranges are
+    added. Nothing runs before the result is read. ``(partition_cols, order_cols)`` should be
+    unique; rows that agree in all of them share a range.
     """
     groups = partition_cols or []
-    ranged = _with_range(df, groups, order_cols[0])
+    ranged = _with_range(df, groups, order_cols)
     # At most (ranges + groups) rows: small next to the data, one window per group.
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     range_starts = (
@@ -122,11 +122,19 @@ def rank_of_values(df: DataFrame, col: str, out_col: str, known: DataFrame | Non
     ``known`` may give a table with the column that has just the values of ``df``, where those
     are found more cheaply than from its rows.
 
-    Only distinct values are ranked, in ranges, so no task sees all of them and the rows
-    themselves are not sorted. The planner broadcasts the ranks if they turn out small and
-    splits hot values otherwise.
+    Up to ``SMALL_VALUES`` distinct values are read and ranked at once, when the plan is made,
+    and broadcast. More are ranked in ranges, so no task sees all of them, and joined; hot values
+    are then split by the planner.
     """
     values = (df if known is None else known).select(col).where(F.col(col).isNotNull()).distinct()
+    first = [row[0] for row in values.orderBy(col).limit(SMALL_VALUES + 1).collect()]
+    if len(first) <= SMALL_VALUES:
+        kind = values.schema[col]
+        ranked = pa.table({"value": pa.array(first), "rank": pa.array(range(len(first)), pa.int64())})
+        spark = df.sparkSession
+        ranks = spark.createDataFrame(ranked) if first else spark.createDataFrame([], "value string, rank bigint")
+        ranks = ranks.select(F.col("value").cast(kind.dataType).alias(col), F.col("rank").alias(out_col))
+        return df.join(F.broadcast(ranks), col)
     one = values.withColumn("_one", F.lit(1).cast("bigint"))
     ranks = running_total(one, [col], "_one", out_col).drop("_one")
     return df.join(ranks, col)

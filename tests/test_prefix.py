@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from bitledger.operators import prefix
 from bitledger.operators.prefix import number_rows, rank_of_values, running_total
 
 
@@ -39,3 +40,30 @@ def test_rank_of_values(spark):
     assert sorted((r.v, r.n) for r in rank_of_values(df, "v", "n").collect()) == [
         ("a", 0), ("b", 1), ("c", 2), ("c", 2),
     ]
+
+
+def test_ranks_of_many_values_equal_those_of_few(spark, monkeypatch):
+    df = spark.createDataFrame([(f"v{k % 97}",) for k in range(400)] + [(None,)], "v string")
+    few = sorted(map(tuple, rank_of_values(df, "v", "n").collect()))
+    monkeypatch.setattr(prefix, "SMALL_VALUES", 5)
+    assert sorted(map(tuple, rank_of_values(df, "v", "n").collect())) == few
+    assert rank_of_values(df.limit(0), "v", "n").columns == ["v", "n"]
+
+
+def test_few_distinct_values_and_a_hot_one_make_many_ranges(spark):
+    """A value that holds half of a group, nulls and copies: no range has more than a few hundredths."""
+    rng = random.Random(3)
+    rows = [("h", rng.choice([1.5, 1.5, 1.5, 2.0, None]), rng.choice("ab"), k) for k in range(40_000)]
+    df = spark.createDataFrame(rows, "g string, v double, w string, k bigint")
+    ranged = prefix._with_range(df, ["g"], ["v", "w", "k"]).groupBy("_range").count().collect()
+    assert len(ranged) > 1000 and max(r["count"] for r in ranged) < 400
+    got = sorted((r.n, r.v is not None, r.v or 0, r.w, r.k) for r in number_rows(df, ["g"], ["v"], "n").collect())
+    want = sorted((r[1] is not None, r[1] or 0, r[2], r[3]) for r in rows)
+    assert [r[0] for r in got] == list(range(1, 40_001)) and [r[1:] for r in got] == want
+
+
+def test_long_common_prefixes_are_cut(spark):
+    df = spark.createDataFrame([(f"a common prefix of names {k:05}", 1) for k in range(9000)], "k string, v bigint")
+    assert prefix._with_range(df, [], ["k"]).select("_range").distinct().count() > 1000
+    rows = sorted((r.k, r.s) for r in running_total(df, ["k"], "v", "s").collect())
+    assert [s for _, s in rows] == list(range(9000))
