@@ -10,6 +10,7 @@ from bitledger.catalog.common import Query, r, rounded
 from bitledger.operators import engine, timing
 from bitledger.session import scratch_path
 from bitledger.sources.engine import parse_engine_bench, parse_telemetry, read_engine_bench
+from bitledger.streaming.growing_log import stream_log
 from bitledger.streaming.telemetry import read_summary, telemetry_stream_summary, write_summary
 
 QUERIES: dict[str, Query] = {}
@@ -129,6 +130,21 @@ QUERIES["telemetry_stream_summary"] = _stream
 ORACLE["telemetry_stream_summary"] = ORACLE["telemetry_summary"]
 
 
+def _log_stream(spark, sf):
+    """Telemetry lines written as log files, one folder a label, and read as growing logs."""
+    path = scratch_path(spark, "logs")
+    lines = bind(spark, sf, "telemetry").select("label", F.concat(F.lit("#"), F.lpad(F.col("seq").cast("string"), 12, "0"), F.lit(" "), "line").alias("value"))
+    lines.repartition("label").sortWithinPartitions("label", "value").write.partitionBy("label").text(path)
+    read = stream_log(spark, f"{path}/*/*.txt", r"label=([^/]+)/[^/]+$")
+    out = scratch_path(spark, "log-summary")
+    write_summary(telemetry_stream_summary(read), out, f"{out}-checkpoint").awaitTermination()
+    return rounded(read_summary(spark, out), 6, "avg_power_mw", "avg_gpu_util_pct")
+
+
+QUERIES["growing_log_summary"] = _log_stream
+ORACLE["growing_log_summary"] = ORACLE["telemetry_summary"]
+
+
 # --- timed runs --------------------------------------------------------------------
 _TIMING = cte("timing") + ", i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_group ORDER BY event_id) AS iteration FROM timing) "
 

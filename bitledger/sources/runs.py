@@ -3,37 +3,57 @@
 from __future__ import annotations
 
 import csv
+import re
+from collections.abc import Iterator
 from functools import reduce
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitledger.functions.columns import missing_if_nan, path_basename
 from bitledger.schemas import BENCHMARK_RUN, PERPLEXITY_RESULT, RUN_TIMESTAMP_FORMAT
+from bitledger.sources.stores import open_path
 
 
-def _file_headers(lines: DataFrame) -> DataFrame:
-    """Header line of every CSV file: the first line that names column ``model_name``.
+# Bytes that a task takes of a file at a time, until it has the header.
+_HEAD_BYTES = 1 << 14
+_NAMED = re.compile(rb'(^|,)"?model_name"?(,|$)')
 
-    Only such lines pass the filter, so one row per file is left to aggregate. A block's rows
-    come in file order within one task: the smallest row id is the earliest line.
+
+def first_header(file: BinaryIO) -> bytes | None:
+    """The first line that names column ``model_name``; no more of the file is read than it takes."""
+    rest = b""
+    while block := file.read(_HEAD_BYTES):
+        *lines, rest = (rest + block).split(b"\n")
+        for line in lines:
+            if _NAMED.search(line.rstrip(b"\r")):
+                return line.rstrip(b"\r")
+    return rest.rstrip(b"\r") if _NAMED.search(rest.rstrip(b"\r")) else None
+
+
+def _file_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, header)`` of every CSV file, header null where no line names ``model_name``.
+
+    The listing is Spark's, which reads no content for a path alone; tasks then open the files
+    and read their first lines.
     """
-    return (
-        lines.select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.monotonically_increasing_id().alias("row"),
-        )
-        .where(
-            (F.col("block_start") == 0)
-            & F.col("value").contains("model_name")
-            & F.col("value").rlike('(^|,)"?model_name"?(,|$)')
-        )
-        .groupBy("file")
-        .agg(F.min_by("value", "row").alias("header"))
-    )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            headers = []
+            for name in batch.column(0).to_pylist():
+                store, inner = open_path(name)
+                with store.open_input_stream(inner) as file:
+                    header = first_header(file)
+                headers.append(None if header is None else header.decode("utf-8-sig"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(headers, pa.string())], ["file", "header"])
+
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
+    # Listed files come in few partitions, since they are sized by bytes.
+    return files.repartition(spark.sparkContext.defaultParallelism).mapInArrow(read, "file string, header string")
 
 
 def _schema_for(header: str) -> T.StructType:
@@ -49,10 +69,9 @@ def read_benchmark_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     distinct header. File names reach the driver only where headers differ, and are no more
     than the listing its planner holds anyway.
     """
-    lines = spark.read.text(path)
-    files = _file_headers(lines).cache()
+    files = _file_headers(spark, path).cache()
     counts = files.groupBy("header").agg(F.count("*").alias("n")).orderBy("header").collect()
-    n_unnamed = len(lines.inputFiles()) - sum(row.n for row in counts)
+    n_unnamed = sum(row.n for row in counts if row.header is None)
     if n_unnamed:
         raise ValueError(f"{n_unnamed} files have no header with model_name")
     if not counts:

@@ -209,3 +209,45 @@ def test_corpus_by_name_and_inventory(spark, tmp_path):
     write(f"{tmp_path}/inv/c.txt", "x")
     listing = file_inventory(spark, f"{tmp_path}/inv", "*.gguf").collect()
     assert [tuple(r) for r in listing] == [("a.gguf", 0.5), ("b.gguf", 1.0)]
+
+
+def test_append_once_survives_reruns_and_crashes(spark, tmp_path):
+    from bitledger.sinks.tables import append_once, read_appended
+
+    path = f"{tmp_path}/summary"
+    rows = spark.createDataFrame([("a", 1.5), ("b,\"c\"", None)], "label string, x double")
+    assert read_appended(spark, path, rows.schema).count() == 0
+    assert append_once(rows, path, "run 1") and not append_once(rows, path, "run 1")
+    assert append_once(rows, path, "run/2")
+    assert sorted(map(tuple, read_appended(spark, path, rows.schema).collect()), key=str) == sorted([tuple(r) for r in rows.collect()] * 2, key=str)
+    # A crash after staging, and one between creating the record and writing it.
+    rows.write.csv(f"{path}/_staged/lost")
+    import hashlib
+
+    record = tmp_path / "summary" / "_runs" / hashlib.sha256(b"run 3").hexdigest()
+    record.write_bytes(b"")
+    assert read_appended(spark, path, rows.schema).count() == 4
+    assert append_once(rows, path, "run 3") and not append_once(rows, path, "run 3")
+    assert read_appended(spark, path, rows.schema).count() == 6
+
+
+def test_headers_are_read_from_first_lines_alone(tmp_path):
+    import io
+
+    from bitledger.sources import runs
+
+    class Counting(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            block = super().read(n)
+            self.taken += len(block)
+            return block
+
+    body = b"note\nlatency_ms,\"model_name\"\r\n" + b"1.0,x\n" * 100_000
+    file = Counting(body)
+    assert runs.first_header(file) == b'latency_ms,"model_name"' and file.taken <= runs._HEAD_BYTES
+    late = b"x" * (3 * runs._HEAD_BYTES) + b"\nmodel_name"
+    assert runs.first_header(io.BytesIO(late)) == b"model_name"
+    for none in (b"", b"a,b\n1,2\n", b"my_model_names\n"):
+        assert runs.first_header(io.BytesIO(none)) is None
