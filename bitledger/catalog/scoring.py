@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from bitledger.catalog.bindings import bind, cte
 from bitledger.catalog.common import Query, r, rounded
 from bitledger.operators import scoring
@@ -59,3 +61,27 @@ ORACLE["accuracy_stderr"] = (
     cte("outcomes")
     + f"SELECT task, {r('AVG(outcome)', 6)} AS mean, {r('STDDEV_SAMP(outcome) / sqrt(COUNT(outcome))', 6)} AS stderr, COUNT(outcome) AS n FROM outcomes GROUP BY task"
 )
+
+
+def _bootstrap(spark, sf):
+    """Standard errors of a ratio of sums, the share of instructions that were followed."""
+    rows = bind(spark, sf, "instructions").groupBy("task", "prompt_id").agg(
+        F.count_if("followed").alias("met"), F.count("*").alias("asked")
+    )
+    found = scoring.bootstrap_stderr(
+        rows, {"met": F.col("met"), "asked": F.col("asked")}, lambda s: s("met") / s("asked"),
+        F.concat_ws("/", "task", "prompt_id"), replicates=40,
+    )
+    return rounded(found, 6, "metric", "stderr")
+
+
+_ENDS = "[" + ", ".join(map(str, scoring._POISSON_ENDS)) + "]"
+QUERIES["bootstrap_stderr"] = _bootstrap
+ORACLE["bootstrap_stderr"] = (
+    cte("instructions")
+    + ", rw AS (SELECT task, prompt_id, COUNT(*) FILTER (followed) AS met, COUNT(*) AS asked FROM instructions GROUP BY task, prompt_id), "
+    + "d AS (SELECT *, CAST('0x' || substr(md5('42:' || (k // 4) || ':' || concat_ws('/', task, prompt_id)), 1 + 8 * (k % 4), 8) AS BIGINT) AS draw, k + 1 AS rep FROM rw, range(40) AS g(k)), "
+    + f"w AS (SELECT task, rep, met, asked, len([e FOR e IN {_ENDS} IF draw >= e]) AS w FROM d UNION ALL SELECT task, 0, met, asked, 1 FROM rw), "
+    + "t AS (SELECT task, rep, SUM(met * w) / CAST(SUM(asked * w) AS DOUBLE) AS m, COUNT(*) AS n FROM w WHERE w > 0 GROUP BY task, rep) "
+    + f"SELECT task, {r('MAX(m) FILTER (rep = 0)', 6)} AS metric, {r('STDDEV_SAMP(m) FILTER (rep > 0)', 6)} AS stderr, MAX(n) FILTER (rep = 0) AS n, COUNT(m) FILTER (rep > 0) AS replicates FROM t GROUP BY task"
+)

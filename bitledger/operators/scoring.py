@@ -6,6 +6,9 @@ are allowed for :func:`mc2_score`.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +21,10 @@ def _best_choice_accuracy(choices: DataFrame, score: Column, name: str) -> DataF
     Equal scores of a document are settled first. Both steps hash plain numbers, while one
     step over (score, choice) pairs would have to sort all choices.
     """
+    # Dealt by document once, both steps find their rows in place.
+    dealt = choices.select("task", "doc_id", "choice", "is_gold", score.alias("_score")).repartition("task", "doc_id")
     return (
-        choices.groupBy("task", "doc_id", score.alias("_score"))
+        dealt.groupBy("task", "doc_id", "_score")
         .agg(F.min_by("is_gold", "choice").alias("is_gold"))
         .groupBy("task", "doc_id")
         .agg(F.max_by("is_gold", "_score").alias("hit"))
@@ -97,3 +102,61 @@ def accuracy_stderr(outcomes: DataFrame) -> DataFrame:
         (F.stddev_samp("outcome") / F.sqrt(F.count("outcome"))).alias("stderr"),
         F.count("outcome").alias("n"),
     )
+
+
+# Upper ends of the Poisson distribution with mean 1, as shares of 2^32: a draw counts those passed.
+_POISSON_ENDS = [int(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) * 2**32) for n in range(9)]
+# Draws in one digest: eight hexadecimal digits each.
+_DRAWS = 4
+
+
+def bootstrap_weights(key: Column, replicates: int, seed: int) -> Column:
+    """Array of ``replicates`` counts, how often a row stands in each resampled table.
+
+    Counts are Poisson with mean 1, drawn from digests of the row's key, so they are the same in
+    every run, partitioning and engine.
+    """
+    blocks = F.sequence(F.lit(0), F.lit(-(-replicates // _DRAWS) - 1))
+    digests = F.transform(blocks, lambda b: F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), key)))
+    parts = F.flatten(F.transform(digests, lambda d: F.array(*[F.substring(d, 1 + 8 * k, 8) for k in range(_DRAWS)])))
+
+    def count(part: Column) -> Column:
+        draw = F.conv(part, 16, 10).cast("bigint")
+        return sum(((draw >= end).cast("int") for end in _POISSON_ENDS[1:]), (draw >= _POISSON_ENDS[0]).cast("int"))
+
+    return F.slice(F.transform(parts, count), 1, replicates)
+
+
+def bootstrap_stderr(
+    rows: DataFrame,
+    sums: dict[str, Column],
+    metric: Callable[[Callable[[str], Column]], Column],
+    key: Column,
+    groups: tuple[str, ...] = ("task",),
+    replicates: int = 100,
+    seed: int = 42,
+) -> DataFrame:
+    """``(task, metric, stderr, n, replicates)`` of a metric that is a function of sums.
+
+    ``sums`` names what is added up per row, and ``metric`` gives the metric of those sums: a
+    perplexity, a ratio, an F-score. Each replicate adds up the rows by their drawn counts, in one
+    aggregate whose partial sums are one row per task and replicate; the standard error is the
+    spread of the replicates' metrics. ``key`` tells rows apart as text: rows of one key are
+    resampled together. A replicate without a metric (an empty one) is left out and ``replicates``
+    counts the others. Null values add nothing.
+    """
+    plain = rows.select(*groups, key.cast("string").alias("_key"), *[c.cast("double").alias(name) for name, c in sums.items()])
+    # Replicate 0 is the table itself.
+    drawn = F.posexplode(F.concat(F.array(F.lit(1)), bootstrap_weights(F.col("_key"), replicates, seed))).alias("_r", "_w")
+    weighed = plain.select(*groups, *sums, drawn).where("_w > 0")
+    totals = weighed.groupBy(*groups, "_r").agg(
+        *[F.sum(F.col(name) * F.col("_w")).alias(name) for name in sums], F.count("*").alias("_n")
+    )
+    found = totals.select(*groups, "_r", "_n", metric(F.col).alias("_m"))
+    resampled = F.when(F.col("_r") > 0, F.col("_m"))
+    return found.groupBy(*groups).agg(
+        F.max(F.when(F.col("_r") == 0, F.col("_m"))).alias("metric"),
+        F.stddev_samp(resampled).alias("stderr"),
+        F.max(F.when(F.col("_r") == 0, F.col("_n"))).alias("n"),
+        F.count(resampled).alias("replicates"),
+    )

@@ -3,6 +3,7 @@
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -27,6 +28,14 @@ def test_query_equals_sql(spark, duck, name):
     assert compare(spark, duck, name, SF_DIR) == ""
 
 
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
+def test_sql_is_valid_and_runs_on_its_own(duck, name):
+    """Each text parses as one statement without placeholders and binds to the tables."""
+    sql = catalog.ORACLE[name]
+    assert len(duckdb.extract_statements(sql)) == 1
+    duck.execute(f"EXPLAIN {sql}")
+
+
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
     result = contract.entry(spark)

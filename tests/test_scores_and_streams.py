@@ -116,3 +116,42 @@ def test_log_files_as_a_stream(spark, tmp_path):
     rows = {r.label: r for r in read_summary(spark, out).collect()}
     assert (rows["Q8_0"].avg_power_mw, rows["Q8_0"].peak_ram_mb, rows["Q8_0"].ram_delta_mb) == (20.0, 900, 400)
     assert (rows["F16"].avg_gpu_util_pct, rows["F16"].n_samples, rows["F16"].peak_ram_mb) == (30.0, 0, 0)
+
+
+def test_bootstrap_of_means_is_near_the_closed_form_and_repeats(spark):
+    import random
+
+    from bitledger.operators import scoring
+
+    rng = random.Random(5)
+    rows = [("a", k, float(rng.random() < 0.3)) for k in range(2000)] + [("b", k, float(k)) for k in range(400)] + [("c", 1, 2.0)]
+    outcomes = spark.createDataFrame(rows, "task string, doc_id bigint, outcome double")
+    exact = {r.task: r for r in scoring.accuracy_stderr(outcomes).collect()}
+
+    def run(df):
+        sums = {"x": F.col("outcome"), "one": F.lit(1)}
+        found = scoring.bootstrap_stderr(df, sums, lambda s: s("x") / s("one"), F.concat_ws(":", "task", "doc_id"), replicates=300)
+        return {r.task: r for r in found.collect()}
+
+    found = run(outcomes)
+    for task in "ab":
+        assert found[task].metric == pytest.approx(exact[task].mean) and found[task].n == exact[task].n
+        assert found[task].stderr == pytest.approx(exact[task].stderr, rel=0.15)
+        assert found[task].replicates == 300
+    # One row is drawn at all in about 63 of 100 replicates, and gives the same metric in each.
+    assert 150 < found["c"].replicates < 230 and found["c"].stderr == 0
+    again = run(outcomes.repartition(13))
+    assert {t: (r.n, r.replicates) for t, r in again.items()} == {t: (r.n, r.replicates) for t, r in found.items()}
+    assert all(again[t].stderr == pytest.approx(found[t].stderr) for t in "ab")
+
+
+def test_bootstrap_weights_are_poisson(spark):
+    from collections import Counter
+
+    from bitledger.operators import scoring
+
+    rows = spark.range(400).select(F.explode(scoring.bootstrap_weights(F.col("id").cast("string"), 50, 1)).alias("w"))
+    counts = Counter(r.w for r in rows.collect())
+    assert sum(counts.values()) == 20_000
+    for k, share in enumerate((0.3679, 0.3679, 0.1839, 0.0613)):
+        assert counts[k] / 20_000 == pytest.approx(share, abs=0.015)
