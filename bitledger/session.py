@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +62,30 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or context.getCheckpointDir()).rstrip("/")
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, readable by every executor."""
-    return f"{shared_folder(spark)}/bitledger-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, readable by every executor.
+
+    What is left there when the program ends is removed; results read from it are used before.
+    """
+    if not _SCRATCH:
+        atexit.register(remove_scratch)
+    _SCRATCH.append((spark, f"{shared_folder(spark)}/bitledger-{name}-{uuid.uuid4().hex}"))
+    return _SCRATCH[-1][1]
+
+
+def remove_scratch() -> None:
+    """Deletes all scratch paths of this program; those of a stopped session are left."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        if spark.sparkContext._jsc is None:
+            continue
+        try:
+            remove_path(spark, path)
+        except Py4JError:  # the driver's JVM is gone already
+            return
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

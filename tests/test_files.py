@@ -251,3 +251,19 @@ def test_headers_are_read_from_first_lines_alone(tmp_path):
     assert runs.first_header(io.BytesIO(late)) == b"model_name"
     for none in (b"", b"a,b\n1,2\n", b"my_model_names\n"):
         assert runs.first_header(io.BytesIO(none)) is None
+
+
+def test_scratch_paths_are_removed(spark):
+    from pathlib import Path
+
+    from bitledger import session
+
+    kept, session._SCRATCH[:] = list(session._SCRATCH), []
+    path = session.scratch_path(spark, "trial")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and Path(path.removeprefix("file:")).exists()
+    session.remove_scratch()
+    assert not Path(path.removeprefix("file:")).exists()
+    session._SCRATCH[:] = kept
+    with pytest.raises(ValueError):
+        session.remove_path(spark, "/tmp/elsewhere")
