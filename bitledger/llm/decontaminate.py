@@ -19,13 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitledger.llm.text import alnum_words, table, utf8
+from bitledger.llm.text import alnum_words, lower_ascii, table, utf8
 
 WINDOW = 10
+_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Text bytes of one block of items; an item is never cut.
 BLOCK_BYTES = 1_000_000
 # Runs of hit words from this length on are cut out of a text.
 CUT_WORDS = 8
+# A shorter item is cut out where it stands in at most this share of the documents (two at
+# least); a commoner one is no sign of the benchmark.
+RARE_SHARE = 0.0001
 # A document goes altogether when more than this share of its words is hit.
 MAX_COVERAGE = 0.5
 
@@ -246,6 +250,20 @@ def match_benchmark(
     )
 
 
+def _rare_items(docs: DataFrame, benchmark: DataFrame, below: int, share: float) -> DataFrame:
+    """Items of fewer than ``below`` words that stand in few documents, counted over all of them.
+    The documents are read for it only where the benchmark has such items."""
+    words = F.filter(F.split(lower_ascii(F.col("text")), _NOT_WORD), lambda w: w != "")
+    named = benchmark.where(F.col("text").isNotNull()).select(words.alias("_words"), "text")
+    short = named.where(F.size("_words").between(1, below - 1)).select(F.concat_ws(" ", "_words").alias("item_id"), "text")
+    short = short.dropDuplicates(["item_id"])
+    if short.isEmpty():
+        return short
+    seen = match_benchmark(docs, short, below).select(F.explode("item_ids").alias("item_id"))
+    limit = max(2, int(share * docs.count()))
+    return short.join(seen.groupBy("item_id").count().where(F.col("count") <= limit), "item_id", "left_semi")
+
+
 def _word_places(text: bytes) -> list[tuple[int, int]]:
     places, at = [], 0
     lowered = text.lower()
@@ -272,22 +290,25 @@ def decontaminate(
     cut_words: int = CUT_WORDS,
     max_coverage: float = MAX_COVERAGE,
     block_bytes: int = BLOCK_BYTES,
+    rare_share: float = RARE_SHARE,
 ) -> DataFrame:
     """The documents without benchmark passages, all columns of ``docs`` in their order.
 
     Documents with more than ``max_coverage`` of their words hit go. From the others, runs of
     at least ``cut_words`` hit words are cut out, again where the cut itself joins words to a
-    new match; ``n_chars``, where there is one, follows the new text. All other texts stay
-    byte for byte, shorter hits included (short items are too common in clean text to cut).
-    Null and empty texts stay. Hits are those of ``match_benchmark``.
+    new match; ``n_chars``, where there is one, follows the new text. Whole items of fewer words
+    are cut too where they stand in at most ``rare_share`` of the documents (or in two); commoner
+    ones are what clean text says as well. All other texts stay byte for byte. Null and empty
+    texts stay. Hits are those of ``match_benchmark``.
     """
     blocks = _blocks(benchmark, block_bytes)
+    rare = _blocks(_rare_items(docs, benchmark, cut_words, rare_share), block_bytes)
     at = docs.columns.index("text")
     length_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
     schema: T.StructType = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = _Matcher(blocks, window)
+        match, match_rare = _Matcher(blocks, window), _Matcher(rare, cut_words)
         for batch in batches:
             for start, texts in _chunks(batch, at):
                 part = batch.slice(start, len(texts))
@@ -295,9 +316,10 @@ def decontaminate(
                 todo = list(range(len(texts)))
                 while todo:
                     again = []
-                    for i, (n, runs, _) in zip(todo, match([texts[i] for i in todo])):
+                    few = match_rare([texts[i] for i in todo]) if rare else [(0, [], set())] * len(todo)
+                    for i, (n, runs, _), (_, short, _) in zip(todo, match([texts[i] for i in todo]), few):
                         hit = sum(e - s for s, e in runs)
-                        cut = [(s, e) for s, e in runs if e - s >= cut_words]
+                        cut = merged([(s, e) for s, e in runs if e - s >= cut_words] + short)
                         if i not in changed and hit > max_coverage * n:
                             keep[i] = False
                         elif cut:

@@ -93,3 +93,17 @@ def test_one_very_long_text(spark):
     text = sentence(rng, 200_000) + " " + item + " " + sentence(rng, 1000)
     row = rows_by_id(dc.match_benchmark(documents(spark, [text]), benchmark(spark, [(7, item)])))[0]
     assert (row["n_words"], row["n_hit"], row["item_ids"]) == (201_012, 12, ["7"])
+
+
+def test_short_items_are_cut_where_they_are_rare(spark):
+    rng = random.Random(4)
+    rows = [sentence(rng, 30) + (" thank you very much" if k % 2 else "") for k in range(40)]
+    rows[3] += " Who wrote HAMLET? Nobody knows."
+    rows[4] += " who wrote hamlet"
+    items = [(1, "Who wrote Hamlet?"), (2, "Thank you"), (3, "unheard of"), (4, " ".join(f"w{k}" for k in range(20))), (5, None), (6, "--")]
+    docs = documents(spark, rows)
+    found = rows_by_id(dc.decontaminate(docs, benchmark(spark, items)))
+    assert found[3]["text"] == rows[3].replace("Who wrote HAMLET", "") and found[4]["text"] == rows[4].replace("who wrote hamlet", "")
+    assert all(found[k]["text"] == rows[k] for k in range(40) if k not in (3, 4))
+    never = rows_by_id(dc.decontaminate(docs, benchmark(spark, items[1:])))
+    assert all(never[k]["text"] == rows[k] for k in range(40))
