@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,11 @@ SAMPLED_ROWS = FANOUT**3
 SMALL_VALUES = 10_000
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _every(values: str, step: int) -> Column:
     return F.filter(values, lambda x, i: (i + 1) % step == 0)
 
@@ -42,14 +49,22 @@ def _with_range(df: DataFrame, groups: list[str], order_cols: list[str]) -> Data
     else:
         placed = df.withColumn("_s", bounds.scalar())
 
-    def below(values: Column) -> Column:
+    def below(values: Column, row: Column) -> Column:
         # A group without bounds has one range.
-        return F.greatest(F.size(F.filter(values, lambda x: x < lead)), F.lit(0))
+        return F.greatest(F.size(F.filter(values, lambda x: x < row)), F.lit(0))
 
     step = F.lit(FANOUT)
-    placed = placed.withColumn("_k", below(F.col("_s.c")) * step)
-    placed = placed.withColumn("_k", (F.col("_k") + below(F.slice("_s.m", F.col("_k") + 1, step))) * step)
-    return placed.withColumn("_range", F.col("_k") + below(F.slice("_s.b", F.col("_k") + 1, step))).drop("_s", "_k")
+
+    def place(row: Column) -> Column:
+        def fine(k: Column) -> Column:
+            return k + below(F.slice("_s.b", k + 1, step), row)
+
+        def finer(k: Column) -> Column:
+            return _let((k + below(F.slice("_s.m", k + 1, step), row)) * step, fine)
+
+        return _let(below(F.col("_s.c"), row) * step, finer)
+
+    return placed.withColumn("_range", _let(lead, place)).drop("_s")
 
 
 def running_total(

@@ -110,6 +110,10 @@ _POISSON_ENDS = [int(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))
 _DRAWS = 4
 
 
+def _digits(draw: int) -> str:
+    return f"{draw:08x}"
+
+
 def bootstrap_weights(key: Column, replicates: int, seed: int) -> Column:
     """Array of ``replicates`` counts, how often a row stands in each resampled table.
 
@@ -121,8 +125,11 @@ def bootstrap_weights(key: Column, replicates: int, seed: int) -> Column:
     parts = F.flatten(F.transform(digests, lambda d: F.array(*[F.substring(d, 1 + 8 * k, 8) for k in range(_DRAWS)])))
 
     def count(part: Column) -> Column:
-        draw = F.conv(part, 16, 10).cast("bigint")
-        return sum(((draw >= end).cast("int") for end in _POISSON_ENDS[1:]), (draw >= _POISSON_ENDS[0]).cast("int"))
+        # Digits of equal number compare as text like the numbers they write.
+        chain = F.when(part < _digits(_POISSON_ENDS[0]), 0)
+        for passed, end in enumerate(_POISSON_ENDS[1:], 1):
+            chain = chain.when(part < _digits(end), passed)
+        return chain.otherwise(len(_POISSON_ENDS))
 
     return F.slice(F.transform(parts, count), 1, replicates)
 
