@@ -3,6 +3,8 @@
 import random
 from pathlib import Path
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from bitledger.catalog.corpus import VOCABULARY
@@ -62,3 +64,18 @@ def test_sample_ids_are_cut_and_nulls_stay(spark, path):
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         subword.vocabulary_tokenizer("ranks.txt")
+
+
+def test_texts_are_encoded_in_short_runs(monkeypatch):
+    held = []
+    encode = subword._load(VOCABULARY)
+    monkeypatch.setitem(subword._LOADED, VOCABULARY, lambda texts: held.append(sum(map(len, texts))) or encode(texts))
+    values = ["some words of a text " * 500] * 200 + [None, ""]
+    found = subword.vocabulary_tokenizer(VOCABULARY)(pd.Series(values))
+    assert found.iloc[0] == [str(k) for k in encode(values[:1])[0]] and found.iloc[-2] is None and found.iloc[-1] == []
+    assert len(held) > 1 and max(held) <= subword.RUN_CHARS
+    held.clear()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(202)), pa.array(values), pa.array([False] * 202)], ["doc_id", "text", "last"])
+    parts = list(subword._part_encoder(VOCABULARY)([batch]))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(202))
+    assert len(parts) > 1 and max(held) <= subword.RUN_CHARS + 3 * 202
