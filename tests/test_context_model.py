@@ -108,3 +108,24 @@ def test_context_beats_single_counts(spark):
     from bitledger.operators.perplexity import corpus_perplexity
 
     assert with_context < 0.5 * corpus_perplexity(docs(spark, texts)).first().perplexity
+
+
+@pytest.mark.parametrize("texts", [["a b c d"], ["a b c d e"], ["a b", "", "c d", "e f", "g h", "a"], ["a"] * 9, ["a b c d e f g h i j"]])
+def test_windows_that_do_not_overlap_are_not_put_together(spark, texts, monkeypatch):
+    from bitledger.operators import corpus as windows
+
+    def refuse(*_):
+        raise AssertionError("pairs of windows were put together")
+
+    monkeypatch.setattr(windows, "window_tokens", refuse)
+    monkeypatch.setattr(cm, "window_tokens", refuse, raising=False)
+    for length in (4, 1):
+        row = cm.context_perplexity(docs(spark, texts), stride=length, max_length=length).first()
+        want = windowed(stream(texts), model_of(stream(texts)), length, length) if length > 1 else None
+        assert row.n_tokens == len(stream(texts)) and row.perplexity == (want and pytest.approx(want, abs=1e-4))
+
+
+def test_steps_of_the_model_read_no_text_twice(spark):
+    model = cm.fit_bigrams(docs(spark, corpus(4)))
+    for table in (model.pairs, model.contexts, model.unigrams):
+        assert "split(" not in table._jdf.queryExecution().optimizedPlan().toString()
