@@ -69,8 +69,11 @@ def read_appended(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def write_results_json(df: DataFrame, path: str) -> None:
-    """All rows as JSON, one object per line; null fields are written out."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """All rows as JSON, one object per line; null fields are written out.
+
+    Names repeat in every line, so the files are written by gzip; readers see that by their names.
+    """
+    df.write.mode("overwrite").option("ignoreNullFields", False).option("compression", "gzip").json(path)
 
 
 def ordered_columns(df: DataFrame, columns: list[str]) -> DataFrame:

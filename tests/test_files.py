@@ -267,3 +267,12 @@ def test_scratch_paths_are_removed(spark):
     session._SCRATCH[:] = kept
     with pytest.raises(ValueError):
         session.remove_path(spark, "/tmp/elsewhere")
+
+
+def test_json_takes_less_room_than_its_text(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id", "CONCAT('./results/model_', id % 7) AS model_name", "IF(id % 2 = 0, id / 7, NULL) AS latency_ms")
+    tables.write_results_json(rows, f"{tmp_path}/out")
+    text = rows.selectExpr("SUM(LENGTH(to_json(struct(*), map('ignoreNullFields', 'false'))) + 1) AS n").first().n
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*")) < 0.3 * text
+    back = spark.read.schema(rows.schema).json(f"{tmp_path}/out")
+    assert back.exceptAll(rows).count() == 0 and back.count() == 20_000
