@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitledger.functions import fixed_values as fixed
@@ -18,19 +18,15 @@ from bitledger.functions import fixed_values as fixed
 def _best_choice_accuracy(choices: DataFrame, score: Column, name: str) -> DataFrame:
     """Share of documents whose best-scored choice is gold; the first of equal scores wins.
 
-    Equal scores of a document are settled first. Both steps hash plain numbers, while one
-    step over (score, choice) pairs would have to sort all choices.
+    A document's choices are sorted and the first one kept, before the shuffle too. Sorted rows are
+    packed; hash tables of documents and scores would take several times their memory.
     """
-    # Dealt by document once, both steps find their rows in place.
-    dealt = choices.select("task", "doc_id", "choice", "is_gold", score.alias("_score")).repartition("task", "doc_id")
-    return (
-        dealt.groupBy("task", "doc_id", "_score")
-        .agg(F.min_by("is_gold", "choice").alias("is_gold"))
-        .groupBy("task", "doc_id")
-        .agg(F.max_by("is_gold", "_score").alias("hit"))
-        .groupBy("task")
-        .agg(F.avg(F.col("hit").cast("double")).alias(name), F.count("*").alias("n"))
-    )
+    best = Window.partitionBy("task", "doc_id").orderBy(F.desc("_score"), F.asc_nulls_last("choice"))
+    scored = choices.select("task", "doc_id", "choice", "is_gold", score.alias("_score"))
+    hits = scored.withColumn("_k", F.row_number().over(best)).where("_k = 1")
+    # A document without a scored choice counts, but has no hit.
+    hit = F.when(F.col("_score").isNotNull() & F.col("choice").isNotNull(), F.col("is_gold").cast("double"))
+    return hits.groupBy("task").agg(F.avg(hit).alias(name), F.count("*").alias("n"))
 
 
 def mc_accuracy(choices: DataFrame) -> DataFrame:

@@ -155,3 +155,13 @@ def test_bootstrap_weights_are_poisson(spark):
     assert sum(counts.values()) == 20_000
     for k, share in enumerate((0.3679, 0.3679, 0.1839, 0.0613)):
         assert counts[k] / 20_000 == pytest.approx(share, abs=0.015)
+
+
+def test_choices_are_not_hashed_by_document(spark):
+    rows = [("t", 1, 2, -1.0, 1, True), ("t", 1, 1, -1.0, 1, False), ("t", 2, 1, None, 1, True), ("t", 3, 1, -2.0, 1, True), ("t", 3, 2, None, 1, False)]
+    df = spark.createDataFrame(rows, "task string, doc_id bigint, choice int, loglik double, choice_len bigint, is_gold boolean")
+    found = scoring.mc_accuracy(df)
+    # A tie goes to the first choice; a document without a score counts, but has no hit.
+    assert [tuple(r) for r in found.collect()] == [("t", 0.5, 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "max_by" not in plan
