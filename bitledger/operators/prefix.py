@@ -2,69 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Copies of one row are written out in blocks of this size, so no task writes them all.
 COPIES_PER_BLOCK = 64
-# About FANOUT^3 rows are sampled to cut the order into ranges.
-FANOUT = 16
-SAMPLED_ROWS = FANOUT**3
+# About as many rows are sampled to cut the order into ranges; a power of two.
+SAMPLED_ROWS = 4096
 # Distinct values up to which their ranks are a table from the driver.
 SMALL_VALUES = 10_000
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _every(values: str, step: int) -> Column:
-    return F.filter(values, lambda x, i: (i + 1) % step == 0)
-
-
 def _with_range(df: DataFrame, groups: list[str], order_cols: list[str]) -> DataFrame:
-    """Rows with ``_range``, their place among the bounds of their group.
+    """Rows with ``_range``, their place among bounds that cut the order of groups and rows.
 
-    Bounds are the rows, by all order columns, whose hash is a multiple of a number that follows
-    from the number of rows: they depend on the data alone, so every evaluation of the plan finds
-    the same ones, and few distinct values of the first column do not make few ranges.
+    Bounds are the rows, by group and all order columns, whose hash is a multiple of a number that
+    follows from the number of rows: they depend on the data alone, so every evaluation of the plan
+    finds the same ones, and few distinct values of the first column do not make few ranges. One
+    sorted array holds those of all groups, and a row finds its place there by halving: it is not
+    sent to the task of its group and carries no bounds along.
     """
-    lead = F.struct(*order_cols)
+    lead = F.struct(*groups, *order_cols)
     one_in = F.greatest(F.floor(F.count("*") / F.lit(SAMPLED_ROWS)), F.lit(1)).cast("bigint")
-    drawn = df.select(*groups, lead.alias("_lead")).withColumn("_m", df.agg(one_in.alias("m")).scalar())
+    drawn = df.select(lead.alias("_lead")).withColumn("_m", df.agg(one_in.alias("m")).scalar())
     drawn = drawn.where(F.pmod(F.xxhash64("_lead"), F.col("_m")) == 0)
-    bounds = drawn.groupBy(*groups).agg(F.array_sort(F.collect_set("_lead")).alias("_b"))
-    # Searched in three steps: coarse bounds first, then those in between.
-    coarse, middle = _every("_b", FANOUT**2), _every("_b", FANOUT)
-    bounds = bounds.select(
-        *[F.col(g).alias(f"_{g}") for g in groups], F.struct(F.col("_b").alias("b"), middle.alias("m"), coarse.alias("c")).alias("_s")
-    )
-    if groups:
-        same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
-        placed = df.join(bounds, same, "left").drop(*[f"_{g}" for g in groups])
-    else:
-        placed = df.withColumn("_s", bounds.scalar())
-
-    def below(values: Column, row: Column) -> Column:
-        # A group without bounds has one range.
-        return F.greatest(F.size(F.filter(values, lambda x: x < row)), F.lit(0))
-
-    step = F.lit(FANOUT)
-
-    def place(row: Column) -> Column:
-        def fine(k: Column) -> Column:
-            return k + below(F.slice("_s.b", k + 1, step), row)
-
-        def finer(k: Column) -> Column:
-            return _let((k + below(F.slice("_s.m", k + 1, step), row)) * step, fine)
-
-        return _let(below(F.col("_s.c"), row) * step, finer)
-
-    return placed.withColumn("_range", _let(lead, place)).drop("_s")
+    bounds = drawn.agg(F.array_sort(F.collect_set("_lead")).alias("_b")).scalar()
+    placed = df.withColumns({"_lead": lead, "_range": F.lit(0)})
+    # Fewer than 2 * SAMPLED_ROWS bounds are expected, so these steps reach them all.
+    step = 2 * SAMPLED_ROWS
+    while step:
+        passed = F.get(bounds, F.col("_range") + F.lit(step - 1)) < F.col("_lead")
+        placed = placed.withColumn("_range", F.col("_range") + F.when(passed, F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    return placed.drop("_lead")
 
 
 def running_total(
@@ -85,24 +56,22 @@ def running_total(
     ranged = _with_range(df, groups, order_cols)
     # At most (ranges + groups) rows: small next to the data, one window per group.
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    range_starts = (
-        ranged.groupBy(*groups, "_range")
-        .agg(F.sum(value_col).alias("_sum"))
-        .select(
-            *[F.col(g).alias(f"_{g}") for g in groups],
-            F.col("_range").alias("_r"),
-            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"),
-        )
+    range_starts = ranged.groupBy(*groups, "_range").agg(F.sum(value_col).alias("_sum"))
+    range_starts = range_starts.select(
+        *groups, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_add"), F.lit(True).alias("_head")
     )
-    within = Window.partitionBy(*groups, "_range").orderBy(*order_cols).rowsBetween(
-        Window.unboundedPreceding, -1
+    # The start of a range is a row ahead of it: a join by groups that may be null would move all rows once more.
+    rows = ranged.withColumns({"_add": F.col(value_col), "_head": F.lit(False)})
+    within = (
+        Window.partitionBy("_range", *groups)
+        .orderBy(F.desc("_head"), *order_cols)
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
     return (
-        ranged.withColumn("_within", F.coalesce(F.sum(value_col).over(within), F.lit(0)))
-        .join(range_starts, [*same, F.col("_range") == F.col("_r")])
-        .withColumn(out_col, F.col("_start") + F.col("_within"))
-        .drop("_start", "_within", "_range", "_r", *[f"_{g}" for g in groups])
+        rows.unionByName(range_starts, allowMissingColumns=True)
+        .withColumn(out_col, F.sum("_add").over(within))
+        .where(~F.col("_head"))
+        .drop("_add", "_head", "_range")
     )
 
 

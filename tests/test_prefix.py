@@ -67,3 +67,25 @@ def test_long_common_prefixes_are_cut(spark):
     assert prefix._with_range(df, [], ["k"]).select("_range").distinct().count() > 1000
     rows = sorted((r.k, r.s) for r in running_total(df, ["k"], "v", "s").collect())
     assert [s for _, s in rows] == list(range(9000))
+
+
+def test_rows_of_one_group_are_not_sent_to_one_task(spark):
+    """Ranges are found where the rows are; range sums reach them without a join that moves them again."""
+    df = spark.range(0, 40_000, 1, 8).select((F.col("id") % 1).alias("g"), F.xxhash64("id").alias("v"), "id")
+    ranged = prefix._with_range(df, ["g"], ["v"])
+    parts = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("_range")).collect()
+    assert [r.n for r in parts] == [5000] * 8
+    assert "Join" not in number_rows(df, ["g"], ["v"], "n")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_total_of_missing_groups_and_values(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.5, float("nan"), None, -2.0]), k, rng.choice([None, 1, 2])) for k in range(9000)]
+    df = spark.createDataFrame(rows, "g string, v double, k bigint, n int")
+    got = running_total(df, ["v", "k"], "n", "s", ["g"])
+    assert got.columns == ["g", "v", "k", "n", "s"] and dict(got.dtypes)["n"] == "int"
+    want, seen = {}, {}
+    for g, v, k, n in sorted(rows, key=lambda r: (r[1] is not None, r[1] != r[1], r[1] if r[1] == r[1] and r[1] else 0, r[2])):
+        want[k] = (g, n, seen.get(g, 0))
+        seen[g] = seen.get(g, 0) + (n or 0)
+    assert {r.k: (r.g, r.n, r.s) for r in got.collect()} == want
