@@ -231,10 +231,10 @@ def _subword_sample(spark, sf):
 
 
 def _subword_windows(spark, sf):
-    windows = corpus.window_tokens(subword.stored_tokens(_documents(spark, sf), VOCABULARY))
+    windows = corpus.window_tokens(subword.stored_tokens(_documents(spark, sf), VOCABULARY, as_text=False))
     return windows.select(
         "begin", "target_len", F.size("tokens").cast("bigint").alias("n_tokens"),
-        F.md5(F.array_join("tokens", " ")).alias("digest"),
+        F.md5(F.array_join(F.col("tokens").cast("array<string>"), " ")).alias("digest"),
     )
 
 
