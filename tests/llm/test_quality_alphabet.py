@@ -1,14 +1,20 @@
 """Texts with more characters than a Latin alphabet: each counts as itself, in all trigrams."""
 
 import random
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from bitledger.llm import quality as ql
-from tests.llm.helpers import documents, rows_by_id
-from tests.llm.test_quality import brute_logs, labels
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline as cp  # noqa: E402
+
+from bitledger.llm import quality as ql  # noqa: E402
+from tests.llm.helpers import documents, rows_by_id  # noqa: E402
+from tests.llm.test_quality import brute_logs, labels  # noqa: E402
 
 # Words of a script with 900 characters, and some of others.
 SCRIPT = [chr(0x4E00 + 7 * k) for k in range(900)]
@@ -56,6 +62,18 @@ def test_all_trigrams_are_counted(spark, monkeypatch, held):
     assert got == dict(want)
 
 
+def test_the_pipeline_drops_noise_of_a_large_script(spark, tmp_path):
+    rng = random.Random(9)
+    # Letters that come more often than any of the script.
+    others = "".join(chr(0x400 + k) for k in range(140)) * 3
+    texts = [others + prose(rng, 60) for _ in range(150)] + [others + noise(rng, 60) for _ in range(20)]
+    docs = documents(spark, texts)
+    labels(spark, [(k, 1, 0) for k in range(150)]).write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in cp.quality(spark, docs, str(tmp_path)).collect()}
+    assert not kept & set(range(150, 170))
+    assert len(kept) >= 140
+
+
 def test_the_largest_codes_fit():
     letters = ql.Alphabet(np.full(0x110000, 0x110001, np.int32), 0x110002)
     codes = ql.trigrams("ab".encode(), letters)
